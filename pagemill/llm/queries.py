@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, minhash, packing, quality, toxicity
+from . import exact_dedup, language_id, minhash, packing, quality, sentencepiece_codec, sharding, toxicity, warc
 from ._shared import table
 
 
@@ -26,14 +26,27 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.pages_through_warc(table(spark, sf_dir, "pages"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = sentencepiece_codec.load_vocabulary(tokenizer_file("piece_bpe_32k.model"))
+    return sentencepiece_codec.digests(table(spark, sf_dir, "documents"), vocabulary)
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), Path(tokenizer_file("byte_bpe_50k.tiktoken")).read_bytes())
 
 
+def op8_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards_by_bytes(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -47,14 +60,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_minhash_near_dedup,
         op2_quality_rules,
+        op3_warc_salvage,
         op4_language_id,
+        op5_sentencepiece,
         op7_best_fit_packing,
+        op8_kd_tree_shards,
         op9_exact_dedup,
         op10_toxicity,
     )
 }
 
 SQL: dict[str, str] = {
+    "op3_warc_salvage": r"""
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+        FROM f
+    """,
     "op9_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS points,
