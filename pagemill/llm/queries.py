@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, minhash, packing, quality, sentencepiece_codec, sharding, toxicity, warc
+from . import exact_dedup, gru_lm, language_id, minhash, packing, quality, sentencepiece_codec, sharding, toxicity, warc
 from ._shared import table
 
 
@@ -39,6 +39,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op6_gru_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.language_model(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), Path(tokenizer_file("byte_bpe_50k.tiktoken")).read_bytes())
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_warc_salvage,
         op4_language_id,
         op5_sentencepiece,
+        op6_gru_language_model,
         op7_best_fit_packing,
         op8_kd_tree_shards,
         op9_exact_dedup,
