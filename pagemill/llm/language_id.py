@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import remainder
+from ._shared import remainder, shipped
 
 MARK = np.int32(1 << 30)
 _OTHER = re.compile(r"[\W\d_]+")
@@ -157,11 +157,12 @@ def train_language_id(docs: DataFrame, sample_chars: int = 40_000, sample_docs:
 
 def predict_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, lang_pred, score for every row; ``und`` and 0 for null, empty and letterless texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    built = shipped(docs.sparkSession, model)
 
     def predicted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = built()
         for batch in batches:
-            names, scores = shared.value.predict(list(batch["text"]))
+            names, scores = model.predict(list(batch["text"]))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": names, "score": scores})
 
     return docs.select("doc_id", "text").mapInPandas(predicted, "doc_id long, lang_pred string, score double")

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from ._shared import shipped
 
 SPACE = "▁"
 _SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -126,10 +126,10 @@ class Codec:
 
 def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id, ids (array of int), score of each whole text; null and empty texts are the lone space sign."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = shipped(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(shared.value)
+        codec = Codec(shared())
         for batch in batches:
             found = [codec.encode(t or "") for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": [list(array("I", b)) for _, b in found], "score": [s for s, _ in found]})
@@ -139,10 +139,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id, text of rows with ``ids``; null ids give an empty text."""
-    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = shipped(encoded.sparkSession, vocabulary)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(shared.value)
+        codec = Codec(shared())
         for batch in batches:
             texts = [codec.decode(array("I", [] if x is None else list(x)).tobytes()) for x in batch["ids"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text": texts})
@@ -152,10 +152,10 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 def digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id, n_pieces, ids_crc32, score, decoded_sha256, round_trip of each row: encoded, then decoded again."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = shipped(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(shared.value)
+        codec = Codec(shared())
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):

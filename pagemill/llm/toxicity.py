@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import remainder, written
+from ._shared import remainder, shipped, written
 
 BITS = 20
 LENGTHS = (3, 4, 5)
@@ -109,12 +109,13 @@ def train_toxicity(
     r = np.log((p / p.sum()) / (q / q.sum()))
     ratios = np.zeros(1 << BITS)
     ratios[counts["bucket"]] = np.where(np.abs(r) >= least_ratio, r, 0.0)
-    shared = spark.sparkContext.broadcast(ratios.astype(np.float32))
+    telling = shipped(spark, ratios != 0)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        used = telling()
         for batch in batches:
             at = [gram_buckets(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "at": [np.unique(x[shared.value[x] != 0]).astype(np.int32) for x in at]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "at": [np.unique(x[used[x]]).astype(np.int32) for x in at]})
 
     draw = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
     part = F.when(F.col("toxic") == 1, min(1.0, fit_rows / 2 / toxic)).otherwise(min(1.0, fit_rows / 2 / clean))
@@ -125,11 +126,12 @@ def train_toxicity(
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id, score of each whole text, empty texts (and null) too: their score is the bias alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    fitted = shipped(docs.sparkSession, model)
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        score = fitted().score
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": [shared.value.score(t) for t in batch["text"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": [score(t) for t in batch["text"]]})
 
     return docs.select("doc_id", "text").mapInPandas(scored, "doc_id long, score double")
 
@@ -150,10 +152,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, least_score: float = 0.7) -> Da
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, least_score: float = 0.7) -> DataFrame:
     """The rows of ``docs`` that score below ``least_score``, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    fitted = shipped(docs.sparkSession, model)
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.score(t) for t in texts], dtype="float64")
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        one = fitted().score
+        for texts in parts:
+            yield pd.Series([one(t) for t in texts], dtype="float64")
 
     return docs.filter(score(F.col("text")) < least_score)
