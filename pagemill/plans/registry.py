@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boxes, corpus, logs, planning, tensors
+from . import boxes, corpus, logs, planning, streams, tensors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for _part in (boxes, logs, tensors, planning, corpus):
+for _part in (boxes, logs, tensors, planning, corpus, streams):
     QUERIES |= _part.QUERIES
     SQL |= _part.SQL
