@@ -23,8 +23,8 @@ def current_results(events: DataFrame, opens: str = "capture", answers: str = "r
     return events.withColumn("_newest", newest).filter((F.col("kind") == answers) & (F.col("gen") == F.col("_newest"))).drop("_newest")
 
 
-def stream_current_results(events: DataFrame, opens: str = "capture", answers: str = "result", idle: str = "1 hour") -> DataFrame:
-    """The same over a stream: one number of state per session, dropped after ``idle`` without events."""
+def stream_current_results(events: DataFrame, opens: str = "capture", answers: str = "result", idle_ms: int = 3_600_000) -> DataFrame:
+    """The same over a stream: one number of state per session, dropped after ``idle_ms`` without events."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -39,7 +39,7 @@ def stream_current_results(events: DataFrame, opens: str = "capture", answers: s
             keep.append(kind == answers and gen == newest)
         if newest is not None:
             state.update((int(newest),))
-        state.setTimeoutDuration(idle)
+        state.setTimeoutDuration(idle_ms)
         yield rows[keep][["session", "ts", "seq", "kind", "gen"]]
 
     return events.groupBy("session").applyInPandasWithState(
