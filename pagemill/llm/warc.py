@@ -15,6 +15,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -161,8 +162,6 @@ def write_warc(records: DataFrame, folder: str, archive_bytes: int = 16 << 20) -
     """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
         store, top = fs.FileSystem.from_uri(folder)
         store.create_dir(top, recursive=True)
         part, rows, held, size = TaskContext.get().partitionId(), [], [], 0
@@ -228,6 +227,8 @@ def pages_through_warc(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     folder = f"{shared_folder(spark)}/archives"
     records = records_of_pages(pages).repartition("record_id").sortWithinPartitions("record_id", "payload_digest")
+    store, top = fs.FileSystem.from_uri(folder)
+    store.create_dir(top, recursive=True)  # without pages there are no archives in it
     written(write_warc(records, folder), "archives")
     page = lambda c: F.regexp_extract(c, "^urn:page:(-?[0-9]+)$", 1).try_cast("long")
     return read_warc(spark, folder).filter(F.col("gap").isNull()).select(
