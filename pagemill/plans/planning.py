@@ -122,7 +122,7 @@ def w3(spark, d):
     return pl.ratio_order(crops(spark, d)).select("image", "idx", "sorted_index")
 
 
-@query("w4_w6_batch_report", f"WITH {CROPS} SELECT image, sorted_index // 6 AS batch, count(*) AS n, max(rec_w) AS max_w, max(rec_w) * count(*) - sum(rec_w) AS waste FROM sorted GROUP BY image, sorted_index // 6")
+@query("w4_w6_batch_report", f"WITH {CROPS} SELECT image, sorted_index // 6 AS batch, count(*) AS n, max(rec_w) AS max_w, CAST(max(rec_w) * count(*) - sum(rec_w) AS BIGINT) AS waste FROM sorted GROUP BY image, sorted_index // 6")
 def w4(spark, d):
     return pl.batch_report(pl.fixed_batches(pl.ratio_order(crops(spark, d))))
 
