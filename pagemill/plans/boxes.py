@@ -12,11 +12,14 @@ from ..sources.views import DET, DET_B
 QUERIES, SQL = {}, {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, zero: tuple[str, ...] = ()):
+    """Register a query; in the columns of ``zero``, which rounding may turn into a negative zero, zero has no sign."""
+
     def add(f):
-        QUERIES[name] = f
+        QUERIES[name] = (lambda spark, d: f(spark, d).withColumns({c: F.when(F.col(c) == 0, 0.0).otherwise(F.col(c)) for c in zero})) if zero else f
         if sql:
-            SQL[name] = sql
+            plain = ", ".join(f"CASE WHEN {c} = 0 THEN 0 ELSE {c} END AS {c}" for c in zero)
+            SQL[name] = f"SELECT * REPLACE ({plain}) FROM ({sql})" if zero else sql
         return f
 
     return add
@@ -159,7 +162,7 @@ def f5(spark, d):
 
 
 @query("f6_oriented_rect", f"""WITH {DET} SELECT image, idx, round(x - cos(a) * w / 2 + sin(a) * h / 2, 6) AS x0, round(y - sin(a) * w / 2 - cos(a) * h / 2, 6) AS y0,
-    round(w + w * h * 1.5 / (w + h), 6) AS wide FROM (SELECT *, radians(part % 90) AS a FROM det)""")
+    round(w + w * h * 1.5 / (w + h), 6) AS wide FROM (SELECT *, radians(part % 90) AS a FROM det)""", zero=("x0", "y0"))
 def f6(spark, d):
     det = views.detections(spark, d)
     c = geo.rotated_corners(*[F.col(k) for k in "xywh"], F.radians(F.col("part") % 90))

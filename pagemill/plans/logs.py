@@ -13,11 +13,14 @@ from ..sources.views import BENCH
 QUERIES, SQL = {}, {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, zero: tuple[str, ...] = ()):
+    """Register a query; in the columns of ``zero``, which rounding may turn into a negative zero, zero has no sign."""
+
     def add(f):
-        QUERIES[name] = f
+        QUERIES[name] = (lambda spark, d: f(spark, d).withColumns({c: F.when(F.col(c) == 0, 0.0).otherwise(F.col(c)) for c in zero})) if zero else f
         if sql:
-            SQL[name] = sql
+            plain = ", ".join(f"CASE WHEN {c} = 0 THEN 0 ELSE {c} END AS {c}" for c in zero)
+            SQL[name] = f"SELECT * REPLACE ({plain}) FROM ({sql})" if zero else sql
         return f
 
     return add
@@ -118,7 +121,7 @@ def j4(spark, d):
 
 @query("j5_run_comparison", f"""WITH {SUMMARY} SELECT a.image, round(b.mean_ms - a.mean_ms, 6) AS mean_delta, round(b.median_ms - a.median_ms, 6) AS median_delta,
     b.mean_ms <= a.mean_ms AS mean_not_slower, b.median_ms <= a.median_ms AS median_not_slower, a.detection_count = b.detection_count AS same_count
-    FROM summary a JOIN summary b ON a.image = b.image AND a.run = 0 AND b.run = 1""")
+    FROM summary a JOIN summary b ON a.image = b.image AND a.run = 0 AND b.run = 1""", zero=("mean_delta", "median_delta"))
 def j5(spark, d):
     return logs.compare_runs(*_two(spark, d)).withColumns({c: F.round(c, 6) for c in ("mean_delta", "median_delta")})
 

@@ -12,11 +12,14 @@ from ..streaming import sessions
 QUERIES, SQL = {}, {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, zero: tuple[str, ...] = ()):
+    """Register a query; in the columns of ``zero``, which rounding may turn into a negative zero, zero has no sign."""
+
     def add(f):
-        QUERIES[name] = f
+        QUERIES[name] = (lambda spark, d: f(spark, d).withColumns({c: F.when(F.col(c) == 0, 0.0).otherwise(F.col(c)) for c in zero})) if zero else f
         if sql:
-            SQL[name] = sql
+            plain = ", ".join(f"CASE WHEN {c} = 0 THEN 0 ELSE {c} END AS {c}" for c in zero)
+            SQL[name] = f"SELECT * REPLACE ({plain}) FROM ({sql})" if zero else sql
         return f
 
     return add
@@ -78,7 +81,7 @@ def s5(spark, d):
     return with_bounds(parsed).select(F.col("image").cast("long").alias("image"), "idx", *"xywh")
 
 
-@query("s6_logit_dump", f"WITH {LOGITS} SELECT item, t, c, round(p, 5) AS p FROM logits WHERE t < 8")
+@query("s6_logit_dump", f"WITH {LOGITS} SELECT item, t, c, round(p, 5) AS p FROM logits WHERE t < 8", zero=("p",))
 def s6(spark, d):
     e = views.table(spark, d, "embeddings")
     item = F.struct(F.lit(0).alias("index"), F.col("vec_id").cast("int").alias("original_index"), F.col("embedding").alias("values"))

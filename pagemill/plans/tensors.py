@@ -11,11 +11,14 @@ from ..sources.views import LOGITS
 QUERIES, SQL = {}, {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, zero: tuple[str, ...] = ()):
+    """Register a query; in the columns of ``zero``, which rounding may turn into a negative zero, zero has no sign."""
+
     def add(f):
-        QUERIES[name] = f
+        QUERIES[name] = (lambda spark, d: f(spark, d).withColumns({c: F.when(F.col(c) == 0, 0.0).otherwise(F.col(c)) for c in zero})) if zero else f
         if sql:
-            SQL[name] = sql
+            plain = ", ".join(f"CASE WHEN {c} = 0 THEN 0 ELSE {c} END AS {c}" for c in zero)
+            SQL[name] = f"SELECT * REPLACE ({plain}) FROM ({sql})" if zero else sql
         return f
 
     return add
@@ -58,7 +61,7 @@ def a14(spark, d):
 
 
 @query("a6_tensor_diff", f"""WITH {PAIR} SELECT item, round(avg(abs(a - b)), 8) AS mean_diff, max(abs(a - b)) AS max_diff, round(avg(a), 8) AS mean_a, max(a) AS max_a,
-    round(avg(b), 8) AS mean_b, max(b) AS max_b FROM duo GROUP BY item""")
+    round(avg(b), 8) AS mean_b, max(b) AS max_b FROM duo GROUP BY item""", zero=("mean_a", "mean_b"))
 def a6(spark, d):
     e = views.table(spark, d, "embeddings").select(F.col("vec_id").alias("item"), F.col("embedding").alias("a"))
     pairs = e.join(e.select((F.col("item") - 1).alias("item"), F.col("a").alias("b")), "item")
@@ -86,12 +89,12 @@ def a8(spark, d):
 
 
 @query("a9_map_statistics", f"""WITH {LOGITS} SELECT item AS map_id, min(p) AS min, max(p) AS max, round(avg(p), 8) AS mean, round(sqrt(avg(p * p)), 8) AS rms, count(*) FILTER (WHERE p > 0) AS positive,
-    max(CASE WHEN t = 4 AND c = 4 THEN p END) AS center FROM logits GROUP BY item""")
+    max(CASE WHEN t = 4 AND c = 4 THEN p END) AS center FROM logits GROUP BY item""", zero=("mean",))
 def a9(spark, d):
     return tensors.map_statistics(views.pixels(spark, d)).withColumns({c: F.round(c, 8) for c in ("mean", "rms")})
 
 
-@query("a15_channel_means", f"WITH {LOGITS} SELECT item AS crop, t // 2 AS ch, round(avg(round(p * 2)), 8) AS mean FROM logits GROUP BY item, t // 2")
+@query("a15_channel_means", f"WITH {LOGITS} SELECT item AS crop, t // 2 AS ch, round(avg(round(p * 2)), 8) AS mean FROM logits GROUP BY item, t // 2", zero=("mean",))
 def a15(spark, d):
     return tensors.channel_means(_crops(spark, d)).withColumn("mean", F.round("mean", 8))
 
@@ -109,7 +112,7 @@ def f10(spark, d):
     return tensors.as_probabilities(views.pixels(spark, d)).withColumn("p", F.round("p", 9))
 
 
-@query("f11_normalised", f"WITH {LOGITS} SELECT item AS crop, c AS px, t % 2 AS py, t // 2 AS ch, round((round(p * 2) * 2 - t // 2) / CASE t // 2 WHEN 0 THEN 1 ELSE t // 2 END, 9) AS v FROM logits")
+@query("f11_normalised", f"WITH {LOGITS} SELECT item AS crop, c AS px, t % 2 AS py, t // 2 AS ch, round((round(p * 2) * 2 - t // 2) / CASE t // 2 WHEN 0 THEN 1 ELSE t // 2 END, 9) AS v FROM logits", zero=("v",))
 def f11(spark, d):
     p = _crops(spark, d)
     channels = p.select("ch").distinct().select("ch", F.lit(2.0).alias("scale"), F.col("ch").cast("double").alias("mean"), F.col("ch").cast("double").alias("std"))
@@ -126,7 +129,7 @@ def f12(spark, d):
 
 @query("j10_zonal_mean", f"""WITH {LOGITS}, q AS (SELECT item, box, item % 4 + box AS x0, item % 3 + box AS y0 FROM (SELECT DISTINCT item FROM logits), (SELECT unnest([0, 2, 9]) AS box))
     SELECT q.item AS map_id, q.box, count(p) AS n, round(coalesce(sum(p), 0), 8) AS total, round(coalesce(avg(p), 0), 8) AS mean
-    FROM q LEFT JOIN logits l ON l.item = q.item AND l.c + 0.5 BETWEEN q.x0 AND q.x0 + 3 AND l.t + 0.5 BETWEEN q.y0 AND q.y0 + 2 GROUP BY q.item, q.box""")
+    FROM q LEFT JOIN logits l ON l.item = q.item AND l.c + 0.5 BETWEEN q.x0 AND q.x0 + 3 AND l.t + 0.5 BETWEEN q.y0 AND q.y0 + 2 GROUP BY q.item, q.box""", zero=("total", "mean"))
 def j10(spark, d):
     p = views.pixels(spark, d)
     box = F.explode(F.array(F.lit(0), F.lit(2), F.lit(9))).alias("box")

@@ -23,6 +23,7 @@ def plain(v):
         return None
     if isinstance(v, (bool, str)):
         return str(v)
+    assert not (float(v) == 0 and math.copysign(1, float(v)) < 0), "a negative zero hashes differently"
     return f"{float(v):.9g}"
 
 
