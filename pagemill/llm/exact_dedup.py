@@ -60,4 +60,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_first_copies(docs: DataFrame, support: float = 0.001) -> DataFrame:
     """The rows of ``docs`` whose text stays, with all their columns (for unique, non-null ids)."""
     kept = exact_dedup(docs, support=support).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(*docs.columns)

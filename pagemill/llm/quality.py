@@ -197,4 +197,4 @@ def quality_rules(docs: DataFrame, **rules) -> DataFrame:
 def keep_good_texts(docs: DataFrame, **rules) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
     kept = quality_rules(docs, **rules).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
