@@ -140,7 +140,8 @@ def labelled_for_training(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text, toxic of the labelled rows that may be learned from; a document labelled twice is toxic if either says so."""
     allowed = remainder(F.col("doc_id"), 3) != 1
     marks = labels.filter(allowed & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.filter(allowed).select("doc_id", "text").join(marks, "doc_id")
+    # the same join at every size: labels grow with the texts, so they are never broadcast
+    return docs.filter(allowed).select("doc_id", "text").join(marks.hint("merge"), "doc_id")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, least_score: float = 0.7) -> DataFrame:
