@@ -143,9 +143,9 @@ def train_language_id(docs: DataFrame, sample_chars: int = 40_000, sample_docs:
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") <= sample_chars))
     known = known.select("lang", "text", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)).alias("draw"))
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
-    limit = F.least(F.lit(1.0), sample_docs / F.col("n")) * float(1 << 30)
-    drawn = known.join(sizes.select("lang", limit.alias("limit")), "lang").filter(F.col("draw") < F.col("limit"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).collect()  # one row a language
+    limits = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, sample_docs / r["n"]) * float(1 << 30))]) if sizes else None
+    drawn = known.filter(F.col("draw") < limits[F.col("lang")]) if sizes else known.limit(0)
     samples: dict[str, list[str]] = {}
     room: Counter = Counter()
     for r in drawn.select("lang", "draw", "text").toPandas().sort_values(["lang", "draw", "text"]).itertuples():
