@@ -226,7 +226,7 @@ def pages_through_warc(pages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to as read back from archives of ``pages``."""
     spark = pages.sparkSession
     folder = f"{shared_folder(spark)}/archives"
-    records = records_of_pages(pages).repartition("record_id").sortWithinPartitions("record_id", "payload_digest")
+    records = records_of_pages(pages).sortWithinPartitions("record_id", "payload_digest")
     store, top = fs.FileSystem.from_uri(folder)
     store.create_dir(top, recursive=True)  # without pages there are no archives in it
     written(write_warc(records, folder), "archives")
