@@ -6,10 +6,11 @@ are known in every task; how often the others occur is looked up by a join on th
 The network is a GRU in numpy. Its output softmax is factored by class: a class first,
 then a word of that class; one more class stands for all words beyond its vocabulary,
 which then have their share of the training counts, with one place for unseen words.
-Training runs in parallel replicas: every training text gives one stretch of tokens, cut
-into windows with truncated backpropagation and the state carried from window to window,
-and the replicas' weights are averaged after each round. Scoring carries the state
-through whole texts, so a score is the log-likelihood of the complete document.
+Training runs in parallel replicas over every token of every training text, once: texts
+are cut into windows with truncated backpropagation, the state is carried from window to
+window to the text's end, and the replicas' weights are averaged after each round.
+Scoring carries the state through whole texts, so a score is the log-likelihood of the
+complete document.
 """
 
 from __future__ import annotations
@@ -241,12 +242,25 @@ def common_words(counts: DataFrame, room: int) -> Lexicon:
     return Lexicon([w for _, w in pairs], np.array([c for c, _ in pairs], dtype=np.int64), total, distinct)
 
 
-def train(texts: DataFrame, lexicon: Lexicon, rounds: int = 2, stretch: int = 96, width: int = 32, rows: int = 128, rate: float = 0.01) -> np.ndarray:
-    """Weights after ``rounds`` rounds; ``texts`` (doc_id, text) are split among the rounds, and each gives one stretch.
+def learn(trainer: Trainer, lines: list[np.ndarray], width: int, rows: int) -> None:
+    """Steps over every token of ``lines``, in windows of ``width``; lines of like length share a batch and carry their state to their ends."""
+    order = sorted(range(len(lines)), key=lambda i: -len(lines[i]))
+    for k in np.random.default_rng(trainer.t).permutation(-(-len(order) // rows)):
+        chosen = [lines[i] for i in order[k * rows : (k + 1) * rows]]
+        h, last = np.zeros((len(chosen), HIDDEN), dtype=np.float32), np.full(len(chosen), START)
+        for t in range(0, len(chosen[0]), width):
+            parts = [x[t : t + width] for x in chosen if len(x) > t]
+            inputs, target, weight = _columns(parts, len(parts[0]))
+            inputs[0] = last[: len(parts)]
+            h, last = trainer.window(inputs, target, weight, h[: len(parts)]), target[-1]
+
 
-    A stretch of at most ``stretch`` tokens starts at a place drawn by a hash of the text;
-    shorter texts are taken whole. Replicas are averaged, each counting by its tokens, slice
-    by slice, so the driver gets one set of weights however many tasks there are.
+def train(texts: DataFrame, lexicon: Lexicon, rounds: int = 2, width: int = 32, rows: int = 128, rate: float = 0.01, held_tokens: int = 4_000_000) -> np.ndarray:
+    """Weights after ``rounds`` rounds; ``texts`` (doc_id, text) are split among the rounds, and each is learned whole.
+
+    A task holds texts of about ``held_tokens`` tokens (two bytes each) at a time, so that
+    texts of like length can be found. Replicas are averaged, each counting by its tokens,
+    slice by slice, so the driver gets one set of weights however many tasks there are.
     """
     spark = texts.sparkSession
     flat = initial_weights(lexicon.counts[:VOCABULARY], lexicon.rare_total)
@@ -258,25 +272,17 @@ def train(texts: DataFrame, lexicon: Lexicon, rounds: int = 2, stretch: int = 96
         step = rate / (1 + k)
 
         def replica(batches: Iterator[pd.DataFrame], shared=shared, step=step) -> Iterator[pd.DataFrame]:
-            trainer, get, held, seen = Trainer(shared.value, step), shared_words.value.get, [], 0
-
-            def learn(lines: list[np.ndarray]) -> None:
-                inputs, target, weight = _columns(lines, -(-max(map(len, lines)) // width) * width)
-                h = np.zeros((len(lines), HIDDEN), dtype=np.float32)
-                for t in range(0, len(inputs), width):
-                    h = trainer.window(inputs[t : t + width], target[t : t + width], weight[t : t + width], h)
-
+            trainer, get, held, waiting, seen = Trainer(shared.value, step), shared_words.value.get, [], 0, 0
             for batch in batches:
-                for text, draw in zip(batch["text"], batch["draw"], strict=True):
-                    line = tokens(text)
-                    at = draw % (len(line) - stretch + 1) if len(line) > stretch else 0
-                    held.append(np.array([get(x, RARE) for x in line[at : at + stretch]], dtype=np.int64))
-                    seen += len(held[-1])
-                    if len(held) == rows:
-                        learn(held)
-                        held = []
+                for text in batch["text"]:
+                    held.append(np.array([get(x, RARE) for x in tokens(text)], dtype=np.int16))
+                    waiting += len(held[-1])
+                    if waiting >= held_tokens:
+                        learn(trainer, held, width, rows)
+                        held, waiting, seen = [], 0, seen + waiting
             if held:
-                learn(held)
+                learn(trainer, held, width, rows)
+                seen += waiting
             if seen:
                 pieces = np.array_split(trainer.flat.astype(np.float64) * seen, slices)
                 yield pd.DataFrame({"slice": range(slices), "seen": seen, "weights": [p.tobytes() for p in pieces]})
@@ -286,8 +292,7 @@ def train(texts: DataFrame, lexicon: Lexicon, rounds: int = 2, stretch: int = 96
             return pd.DataFrame({"slice": group["slice"].iloc[:1], "weights": [total.astype(np.float32).tobytes()]})
 
         part = texts.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(rounds)) == k)
-        part = part.select("text", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)).alias("draw"))
-        replicas = part.mapInPandas(replica, "slice int, seen long, weights binary")
+        replicas = part.select("text").mapInPandas(replica, "slice int, seen long, weights binary")
         averaged = replicas.groupBy("slice").applyInPandas(mean, "slice int, weights binary").toPandas().sort_values("slice")
         if len(averaged):
             flat = np.concatenate([np.frombuffer(x, dtype=np.float32) for x in averaged["weights"]])

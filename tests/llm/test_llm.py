@@ -418,6 +418,35 @@ def test_language_model_counts(spark, sf):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_language_model_learns_whole_lines():
+    rng = np.random.default_rng(2)
+    lines = [rng.integers(0, gru_lm.VOCABULARY + 1, n).astype(np.int16) for n in (1, 32, 33, 500, 7, 64, 97)]
+    seen, states = [], []
+
+    class Recorder:
+        t = 0
+
+        def window(self, inputs, target, weight, h):
+            assert inputs.shape == target.shape == weight.shape and len(inputs) <= 32 and len(h) == inputs.shape[1]
+            states.append((h == 0).all())
+            seen.append(list(zip(inputs[weight > 0].tolist(), target[weight > 0].tolist(), strict=True)))
+            return np.ones_like(h)
+
+    gru_lm.learn(Recorder(), lines, 32, 3)
+    want = Counter(p for x in lines for p in zip([gru_lm.START, *x[:-1].tolist()], x.tolist(), strict=True))
+    assert Counter(p for x in seen for p in x) == want
+    assert states.count(True) == 3  # once a batch; else the state is carried
+
+
+def test_language_model_trains_on_every_token(spark):
+    d = docs(spark, [(1, "a b c d e " * 3000)])
+    lexicon = gru_lm.common_words(gru_lm.count_tokens(d), 100)
+    flat = gru_lm.train(d, lexicon)
+    index = lexicon.index()
+    line = np.array([index[w] for w in gru_lm.tokens("a b c d e " * 20)])
+    assert gru_lm.network_scores(flat, [line])[0] / len(line) > -0.5  # 96 tokens teach little more than the counts, about -1.6
+
+
 def test_language_model_edges(odd, none):
     got = gru_lm.language_model(odd).collect()
     assert len(got) == len(ODD) and all(np.isfinite(r.score) and r.score < 0 for r in got)
