@@ -6,13 +6,11 @@ but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import exact_dedup, minhash, packing, quality, toxicity
+from pagemill.llm import exact_dedup, minhash, quality, toxicity
 from pagemill.llm._shared import shared_folder, table
-from pagemill.llm.queries import tokenizer_file
+from pagemill.llm.queries import packed_documents
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +31,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, Path(tokenizer_file("byte_bpe_50k.tiktoken")).read_bytes())
+    return packed_documents(docs)
 
 
 STAGES = [

@@ -17,6 +17,7 @@ length goes; the pieces are numbered per length in parallel and look themselves
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from array import array
@@ -39,10 +40,23 @@ _PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+
 _NOT_PLAIN = re.compile("[^\t-\r\x20-\x7e¡-±´-¸º»¿-ɏ‐-‧€]")
 
 
+def added_tokens(definition: bytes) -> dict[str, int]:
+    """Text and id of the added tokens of a ``tokenizers`` JSON file; they must match as they are written."""
+    listed = json.loads(definition).get("added_tokens") or []
+    if any(x.get("single_word") or x.get("lstrip") or x.get("rstrip") for x in listed):
+        raise ValueError("an added token that depends on the text around it")
+    return {x["content"]: x["id"] for x in listed}
+
+
 class ByteTokenizer:
-    """Byte-level BPE from a rank file, with the ids of frequent pieces of text remembered."""
+    """Byte-level BPE from a rank file, with the ids of frequent pieces of text remembered.
+
+    Texts of ``added`` are one id each wherever they occur (the longest of those that
+    start first), and what lies between is encoded on its own; without them they are
+    spelled like any text.
+    """
 
-    def __init__(self, ranks: bytes, remembered: int = 400_000):
+    def __init__(self, ranks: bytes, added: dict[str, int] | None = None, remembered: int = 400_000):
         import regex
         import tiktoken
 
@@ -50,6 +64,8 @@ class ByteTokenizer:
         self.merge = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})._core_bpe.encode_single_piece
         self.full = regex.compile(PATTERN)
         self.room, self.known = remembered, {}
+        self.added = {k: array("I", [v]).tobytes() for k, v in (added or {}).items()}
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
     def _missing(self, piece: str) -> bytes:
         ids = array("I", self.merge(piece.encode("utf-8"))).tobytes()
@@ -59,6 +75,12 @@ class ByteTokenizer:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
+        if self.marks and self.marks.search(text):
+            parts = self.marks.split(text)  # every other one is an added token
+            return b"".join([self.added[x] if i % 2 else self._between(x) for i, x in enumerate(parts)])
+        return self._between(text)
+
+    def _between(self, text: str) -> bytes:
         pieces = (self.full if _NOT_PLAIN.search(text) else _PLAIN).findall(text)
         get = self.known.get
         return b"".join([get(p) or self._missing(p) for p in pieces])
@@ -72,12 +94,15 @@ def cut(ids: bytes, capacity: int) -> list[tuple[int, int, int]]:
     return [(a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
-def tokenized_pieces(docs: DataFrame, ranks: bytes, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32: each whole text as ids and ``end_id``, cut; null text is empty."""
+def tokenized_pieces(docs: DataFrame, ranks: bytes, capacity: int = 2048, end_id: int = 0, added: dict[str, int] | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32: each whole text as ids and ``end_id``, cut; null text is empty.
+
+    ``added`` are the tokens of ``added_tokens``.
+    """
     shared, end = docs.sparkSession.sparkContext.broadcast(ranks), array("I", [end_id]).tobytes()
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = ByteTokenizer(shared.value)
+        tokenizer = ByteTokenizer(shared.value, added)
         for batch in batches:
             rows = [
                 (doc_id, k, *p)
@@ -251,6 +276,6 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     return ranked.mapInPandas(placed, f"{types}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, ranks: bytes, capacity: int = 2048) -> DataFrame:
+def pack_documents(docs: DataFrame, ranks: bytes, capacity: int = 2048, added: dict[str, int] | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece of each row of ``docs``."""
-    return pack(written(tokenized_pieces(docs, ranks, capacity), "pieces"), capacity)
+    return pack(written(tokenized_pieces(docs, ranks, capacity, added=added), "pieces"), capacity)

@@ -18,6 +18,12 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def packed_documents(docs: DataFrame) -> DataFrame:
+    """Packing under the ids of byte_bpe_50k.json; its rank table gives the same ids for all but the added tokens."""
+    ranks, definition = (Path(tokenizer_file(f"byte_bpe_50k.{x}")).read_bytes() for x in ("tiktoken", "json"))
+    return packing.pack_documents(docs, ranks, added=packing.added_tokens(definition))
+
+
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -44,7 +50,7 @@ def op6_gru_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), Path(tokenizer_file("byte_bpe_50k.tiktoken")).read_bytes())
+    return packed_documents(table(spark, sf_dir, "documents"))
 
 
 def op8_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -503,6 +503,21 @@ def test_token_ids(text):
     assert np.frombuffer(own.encode(text), np.uint32).tolist() == tk.encode(text, add_special_tokens=False).ids
 
 
+MARKED = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n\n <|endoftext|", "it's <|endoftext|>日本 １２ <|endoftext|> ", "plain  text "]
+
+
+def test_added_tokens_have_their_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(queries.tokenizer_file("byte_bpe_50k.json"))
+    assert tk.encode(MARKED[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    docs(spark, list(enumerate(MARKED))).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op7_best_fit_packing(spark, str(tmp_path)).collect()}
+    for i, text in enumerate(MARKED):
+        ids = np.array([*tk.encode(text, add_special_tokens=False).ids, 0], dtype="<u4")
+        assert (got[i].length, got[i].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes())), text
+
+
 def test_packing_edges(odd, none):
     with open(queries.tokenizer_file("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = f.read()
