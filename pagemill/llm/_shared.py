@@ -40,6 +40,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_rows(docs: DataFrame) -> DataFrame:
+    """``docs``, written, with ``_row``: a number of each row's own, for what ids cannot tell apart."""
+    return written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
+def rows_kept(rows: DataFrame, kept: DataFrame, columns: list[str]) -> DataFrame:
+    """Those of ``rows`` whose ``_row`` is in ``kept``."""
+    return rows.join(kept.select("_row").hint("merge"), "_row", "left_semi").select(*columns)
+
+
 def shipped(spark: SparkSession, value: Any) -> Callable[[], Any]:
     """A function that gives ``value`` inside tasks, classes included, where the library is not installed."""
     held = spark.sparkContext.broadcast(cloudpickle.dumps(value))

@@ -10,10 +10,10 @@ are shuffled, and none of their groups exceeds ``support`` of the input.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import SPACE_CHARS, written
+from ._shared import SPACE_CHARS, rows_kept, with_rows, written
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = 0.001) -> DataFrame:
@@ -24,13 +24,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same id exactly one is kept. An empty table gives an empty result; other columns of
     the input are ignored, whatever their names.
     """
+    return _judged(docs, F.monotonically_increasing_id(), id_col, text_col, support).drop("row")
+
+
+def _judged(docs: DataFrame, row: Column, id_col: str, text_col: str, support: float) -> DataFrame:
+    """The rows of ``exact_dedup`` and ``row``, a number of each row's own."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     digests = written(
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.char_length(text).alias("points"),
             F.sha2(F.translate(text, SPACE_CHARS, ""), 256).alias("text_sha256"),
-            F.monotonically_increasing_id().alias("row"),
+            row.alias("row"),
         ),
         "digests",
     )
@@ -53,11 +58,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .withColumn("keep_row", F.first("row").over(best_first))
     )
     return hot.unionByName(cold).select(
-        "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256"
+        "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256", "row"
     )
 
 
 def keep_first_copies(docs: DataFrame, support: float = 0.001) -> DataFrame:
-    """The rows of ``docs`` whose text stays, with all their columns (for unique, non-null ids)."""
-    kept = exact_dedup(docs, support=support).filter("kept").select("doc_id")
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+    """The rows of ``docs`` whose text stays, with all their columns; ids may repeat or be null."""
+    rows = with_rows(docs)
+    judged = _judged(rows, F.col("_row"), "doc_id", "text", support)
+    return rows_kept(rows, judged.filter("kept").select(F.col("row").alias("_row")), docs.columns)

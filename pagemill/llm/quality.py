@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import SPACE_CHARS, let, words, written
+from ._shared import SPACE_CHARS, let, rows_kept, with_rows, words, written
 
 SPAN = 8
 SYMBOLS = "#*$%&|<>"
@@ -195,6 +195,7 @@ def quality_rules(docs: DataFrame, **rules) -> DataFrame:
 
 
 def keep_good_texts(docs: DataFrame, **rules) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns."""
-    kept = quality_rules(docs, **rules).filter("kept").select("doc_id")
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+    """The rows of ``docs`` that the rules keep, with all their columns; ids may repeat or be null."""
+    rows = with_rows(docs)
+    judged = quality_rules(rows.withColumn("doc_id", F.col("_row")), **rules)
+    return rows_kept(rows, judged.filter("kept").select(F.col("doc_id").alias("_row")), docs.columns)

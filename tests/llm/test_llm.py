@@ -564,3 +564,19 @@ def test_pipeline(spark, sf):
     assert set(packed.doc_id) == {r.doc_id for r in kept.collect()}
     near = brute_components([(r.doc_id, r.text) for r in kept.collect()])
     assert all(c == i for i, (_, c) in near.items())
+
+
+GOOD = " ".join(f"plain{i} prose{i % 7} about{i % 11} rivers{i} and{i % 5} hills{i}" for i in range(20))
+
+
+def test_stages_judge_rows_and_not_ids(spark):
+    other, near = GOOD.replace("plain", "other").replace("rivers", "lakes").replace("hills", "woods"), GOOD + " end"
+    rows = docs(spark, [(None, GOOD), (1, other), (1, other), (1, "- - -"), (2, near), (2, near + " more")])
+    texts = lambda df: sorted(r.text for r in df.collect())
+    assert texts(quality.keep_good_texts(rows)) == sorted([GOOD, other, other, near, near + " more"])
+    assert texts(exact_dedup.keep_first_copies(rows)) == sorted([GOOD, other, "- - -", near, near + " more"])
+    kept = minhash.keep_one_of_each(rows).collect()
+    assert sorted((r.doc_id or 0) for r in kept) == [1, 1, 2]  # a row with an id stands for the null id's
+    alone = docs(spark, [(None, GOOD), (None, other), (3, None)])
+    assert minhash.keep_one_of_each(alone).count() == exact_dedup.keep_first_copies(alone).count() == 3
+    assert minhash.keep_one_of_each(alone).columns == alone.columns
