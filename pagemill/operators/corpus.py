@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,6 +30,8 @@ def coverage(texts: DataFrame, dictionary: DataFrame, key: str = "image") -> Dat
 
 
 def sample_texts(texts: DataFrame, n: int = 10, key: str = "image", order: str = "idx") -> DataFrame:
-    """key, sample: the first ``n`` texts of a key."""
-    listed = texts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, "text"))).alias("s"))
-    return listed.select(key, F.transform(F.slice("s", 1, n), lambda s: s["text"]).alias("sample"))
+    """key, sample: the first ``n`` texts of a key. Each hashed part of a key gives its first ``n``, so no task holds a whole key."""
+    first = lambda df, *by: df.withColumn("_n", F.row_number().over(Window.partitionBy(key, *by).orderBy(order, "text"))).filter(F.col("_n") <= n)
+    few = first(texts.select(key, order, "text").withColumn("_part", F.pmod(F.xxhash64(order, "text"), F.lit(64))), "_part")
+    listed = first(few).groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, "text"))).alias("s"))
+    return listed.select(key, F.transform("s", lambda s: s["text"]).alias("sample"))
