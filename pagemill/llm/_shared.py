@@ -6,9 +6,11 @@ import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,21 +25,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders of those who clean up behind a job (see ``cleared``), innermost last.
+_cleaners: list[list[str]] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, or below a local one where that is unset (tests)."""
+    """A new folder below ``spark.checkpoint.dir``; where that is unset, and driver and executors are one process, below a folder of this session's own."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="pagemill-")
         spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/pagemill-{uuid.uuid4().hex}"
+    folder = f"{top.rstrip('/')}/pagemill-{uuid.uuid4().hex}"
+    if _cleaners:
+        _cleaners[-1].append(folder)
+    return folder
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at the end, every folder that was made within: for jobs whose result has been written elsewhere by then."""
+    _cleaners.append([])
+    try:
+        yield
+    finally:
+        for folder in _cleaners.pop():
+            delete(spark, folder)
+
 
+def written(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: this cuts the lineage, and any executor can read it.
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: this cuts the lineage, and any executor can read it."""
+    ``instead_of`` is a table of this kind that nothing needs any more once ``df`` is written.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = shared_folder(spark)
+    df.write.parquet(f"{folder}/{name}")
+    discard(instead_of)
+    out = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+    out._written_to = folder
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of ``written`` that nothing reads any more."""
+    for t in tables:
+        if folder := getattr(t, "_written_to", None):
+            delete(t.sparkSession, folder)
 
 
 def with_rows(docs: DataFrame) -> DataFrame:
@@ -63,6 +103,13 @@ def chunks(batches: Iterator[pd.DataFrame], rows: int = 1000) -> Iterator[pd.Dat
             yield batch.iloc[at : at + rows]
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches. Columns that are passed on as they are keep their type, nulls included."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus
