@@ -1,31 +1,29 @@
-"""Language identification by cross-parsing.
+"""Language identification by cross-parsing entropy.
 
 Per language a suffix automaton is built over a bounded sample of labelled text. A text
-is cut greedily into the longest phrases that the sample holds; the fewer phrases it
-takes, the closer the language; phrase counts of one text compare as they are, and the
-score divides them. The automata are completed into tables: a
-missing transition leads on from the start and carries a mark that a phrase has ended,
-so a whole column of texts is parsed side by side, one code point a step.
+is cut greedily into the longest phrases that the sample holds; a letter that the sample
+lacks is a phrase by itself. A phrase is worth the bits that name its place in the sample,
+log2 of the sample's length, so samples of different lengths compare: the language that
+needs the fewest bits wins. Each automaton has its own alphabet of any size. The moves of
+all automata lie in one packed array, through which a column of texts goes side by side,
+one code point a step; the few longest texts of a column go on one by one.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import remainder, shipped
+from ._shared import parts, remainder, shipped
+from .automata import HALF, LOW, packed
 
-MARK = np.int32(1 << 30)
 _OTHER = re.compile(r"[\W\d_]+")
-#: Code points beyond the most frequent ones share one symbol that no sample holds.
-SYMBOLS = 64
 
 
 def letters(text: str) -> str:
@@ -34,12 +32,22 @@ def letters(text: str) -> str:
 
 
 class SuffixAutomaton:
-    """All substrings of ``symbols``: one dict of transitions per state, state 0 the empty string."""
+    """All substrings of ``symbols``: one dict of transitions per state, state 0 the empty string. A null symbol parts two samples."""
 
-    def __init__(self, symbols: list[int]):
+    def __init__(self, symbols: list[int | None]):
         self.next: list[dict[int, int]] = [{}]
         link, length, last = [-1], [0], 0
         for c in symbols:
+            if c is None:
+                last = 0
+                continue
+            if c in self.next[last]:  # only after a break: the string may be known already
+                q = self.next[last][c]
+                if length[q] == length[last] + 1:
+                    last = q
+                    continue
+                last = self._clone(link, length, last, c, q)
+                continue
             state = len(self.next)
             self.next.append({})
             length.append(length[last] + 1)
@@ -50,129 +58,170 @@ class SuffixAutomaton:
                 p = link[p]
             if p >= 0:
                 q = self.next[p][c]
-                if length[q] == length[p] + 1:
-                    link[state] = q
-                else:
-                    clone = len(self.next)
-                    self.next.append(dict(self.next[q]))
-                    length.append(length[p] + 1)
-                    link.append(link[q])
-                    while p >= 0 and self.next[p].get(c) == q:
-                        self.next[p][c] = clone
-                        p = link[p]
-                    link[q] = link[state] = clone
+                link[state] = q if length[q] == length[p] + 1 else self._clone(link, length, p, c, q)
             last = state
 
-    def table(self, n_symbols: int) -> np.ndarray:
-        """Flat transitions, states premultiplied by ``n_symbols``; MARK is added where a phrase ends."""
-        root = np.full(n_symbols, MARK, dtype=np.int32)  # a symbol unknown to the sample is a phrase by itself
-        for c, s in self.next[0].items():
-            root[c] = s * n_symbols + MARK
-        out = np.tile(root, (len(self.next), 1))
-        for state, moves in enumerate(self.next):
-            for c, s in moves.items():
-                out[state, c] = s * n_symbols
-        return out.reshape(-1)
+    def _clone(self, link: list[int], length: list[int], p: int, c: int, q: int) -> int:
+        clone = len(self.next)
+        self.next.append(dict(self.next[q]))
+        length.append(length[p] + 1)
+        link.append(link[q])
+        link[q] = clone
+        while p >= 0 and self.next[p].get(c) == q:
+            self.next[p][c] = clone
+            p = link[p]
+        return clone
 
 
 @dataclass
 class LanguageModel:
     languages: list[str]
-    #: Code point to symbol, for code points below 65,536; the last symbol is for all others.
-    symbol_of: np.ndarray
-    tables: list[np.ndarray]
-
-    def phrases(self, texts: list[str]) -> np.ndarray:
-        """Phrases per text and language; texts are parsed side by side, the longest first."""
+    #: Code points of all samples in order, the symbol of each being its place from 1; 0 stands for any other.
+    alphabet: np.ndarray
+    #: Moves of all automata (see ``automata.packed``), the start of each, and where each goes from its start by each symbol.
+    table: np.ndarray
+    starts: np.ndarray
+    first: np.ndarray
+    #: Bits of a phrase of each language.
+    bits: np.ndarray
+    lists: list[list] = field(default_factory=list, repr=False)
+
+    def phrases(self, texts: list[str], aside: int = 24) -> np.ndarray:
+        """Phrases per text and language; texts are parsed side by side while more than ``aside`` of them go on."""
         codes = [np.frombuffer(letters(t).encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for t in texts]
         order = np.argsort([-len(c) for c in codes], kind="stable")
-        symbols = np.concatenate([self.symbol_of[np.minimum(codes[i], 65535)] for i in order]) if len(texts) else np.zeros(0, np.uint8)
-        lengths = np.array([len(codes[i]) for i in order])
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(texts) else lengths
-        state = np.zeros((len(self.tables), len(texts)), dtype=np.int32)
-        count = np.zeros((len(self.tables), len(texts)), dtype=np.int32)
-        active = len(texts)
-        for t in range(int(lengths[0]) if len(texts) else 0):
-            while lengths[active - 1] <= t:
+        lengths = np.array([len(codes[i]) for i in order], dtype=np.int64)
+        flat = np.concatenate([codes[i] for i in order]) if len(texts) else np.zeros(0, np.uint32)
+        at = np.minimum(np.searchsorted(self.alphabet, flat), max(len(self.alphabet) - 1, 0))
+        symbols = np.where(self.alphabet[at] == flat, at + 1, 0) if len(self.alphabet) else np.zeros(len(flat), np.int64)
+        begin = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(texts) else lengths
+        start = self.starts[:, None]
+        state = np.repeat(start, len(texts), axis=1)
+        count = np.zeros_like(state)
+        active, t = int(np.count_nonzero(lengths)), 0
+        while active > aside:
+            c = symbols[begin[:active] + t]
+            s = state[:, :active]
+            cell = self.table.take(s + c)
+            known = (cell >> HALF) == s
+            anew = self.first[:, c]
+            lost = anew == start  # a phrase by itself, after which none is open
+            count[:, :active] += np.where(known, 0, (s != start) + lost.astype(np.int64))
+            state[:, :active] = np.where(known, cell & LOW, anew)
+            t += 1
+            while active and lengths[active - 1] <= t:
                 active -= 1
-            c = symbols[starts[:active] + t]
-            for k, moves in enumerate(self.tables):
-                to = moves.take(state[k, :active] + c)
-                count[k, :active] += to >> 30
-                state[k, :active] = to & (MARK - 1)
-        out = np.zeros((len(texts), len(self.tables)), dtype=np.int64)
-        out[order] = count.T + 1  # the phrase that the end of the text closes
+        count += state != start  # the phrase that the end closes
+        if active:
+            if not self.lists:
+                self.lists = [self.table.tolist(), self.first.tolist()]
+            for i in range(active):
+                count[:, i] -= state[:, i] != self.starts
+                line = symbols[begin[i] + t : begin[i] + lengths[i]].tolist()
+                for k in range(len(self.starts)):
+                    count[k, i] += self._parsed(k, int(state[k, i]), line)
+        out = np.zeros((len(texts), len(self.starts)), dtype=np.int64)
+        out[order] = count.T
         return out
 
+    def _parsed(self, k: int, s: int, line: list[int]) -> int:
+        table, first = self.lists[0], self.lists[1][k]
+        start, low, n = int(self.starts[k]), int(LOW), 0
+        for c in line:
+            cell = table[s + c]
+            if cell >> HALF == s:
+                s = cell & low
+            else:
+                n += s != start
+                s = first[c]
+                n += s == start
+        return n + (s != start)
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         lettered = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
         names, scores = ["und"] * len(texts), [0.0] * len(texts)
         if self.languages and lettered:
-            found = self.phrases([texts[i] for i in lettered])
+            found = self.phrases([texts[i] for i in lettered]) * self.bits
             best = found.argmin(axis=1)  # a tie goes to the first language in order of name
-            rest = np.sort(found, axis=1)[:, 1] if found.shape[1] > 1 else found[:, 0] * 2
-            for i, b, least, other in zip(lettered, best, found.min(axis=1), rest, strict=True):
-                names[i], scores[i] = self.languages[b], float(1 - least / other)
+            least = found.min(axis=1)
+            rest = np.sort(found, axis=1)[:, 1] if found.shape[1] > 1 else least * 2
+            for i, b, x, y in zip(lettered, best, least, rest, strict=True):
+                names[i], scores[i] = self.languages[b], float(1 - x / y) if y else 0.0
         return names, scores
 
 
 def build_model(samples: dict[str, list[str]]) -> LanguageModel:
     languages = sorted(samples)
-    seen = Counter(c for texts in samples.values() for t in texts for c in letters(t) if ord(c) < 65535)
-    kept = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: SYMBOLS - 2]]
-    symbol_of = np.full(65536, SYMBOLS - 1, dtype=np.uint8)
-    for i, c in enumerate(kept):
-        symbol_of[ord(c)] = i
-    between = SYMBOLS - 2  # stands between two samples, and occurs in no text
-    tables = []
+    lines = {name: [letters(t) for t in samples[name]] for name in languages}
+    alphabet = np.array(sorted({ord(c) for texts in lines.values() for t in texts for c in t}), dtype=np.uint32)
+    symbol = {int(c): i for i, c in enumerate(alphabet, 1)}
+    moves: list[dict[int, int]] = []
+    roots, firsts = [], []
     for name in languages:
-        line: list[int] = []
-        for t in samples[name]:
-            line += [int(symbol_of[min(ord(c), 65535)]) for c in letters(t)] + [between]
-        automaton = SuffixAutomaton([c for c in line if c != SYMBOLS - 1])
-        tables.append(automaton.table(SYMBOLS))
-    return LanguageModel(languages, symbol_of, tables)
-
-
-def train_language_id(docs: DataFrame, sample_chars: int = 40_000, sample_docs: int = 200) -> LanguageModel:
+        line: list[int | None] = []
+        for t in lines[name]:
+            line += [*[symbol[ord(c)] for c in t], None]
+        own = SuffixAutomaton(line).next
+        base = len(moves)
+        moves += [{c: to + base for c, to in m.items()} for m in own]
+        roots.append(base)
+        firsts.append(moves[base])
+    place, table = packed(moves, len(alphabet) + 1)
+    starts = place[roots] if roots else np.zeros(0, np.int64)
+    first = np.repeat(starts[:, None], len(alphabet) + 1, axis=1)
+    for k, m in enumerate(firsts):
+        for c, to in m.items():
+            first[k, c] = place[to]
+    bits = np.array([np.log2(2 + sum(map(len, lines[name]))) for name in languages])
+    return LanguageModel(languages, alphabet, table, starts, first, bits)
+
+
+def train_language_id(docs: DataFrame, sample_chars: int = 40_000, stretch: int = 2_000, sample_docs: int = 200) -> LanguageModel:
     """Learn from rows of ``docs`` (doc_id, text, lang) with a text and a language.
 
-    Per language about ``sample_docs`` texts are drawn by a hash of the id, and whole texts
-    are taken from them in that order until ``sample_chars`` code points are reached; texts
-    that would exceed them are passed over. Both bounds are parameters of the fit alone.
+    Per language about ``sample_docs`` texts are drawn by a hash of id and text, whatever
+    their length. Of each at most ``stretch`` code points are taken, from a place that the
+    hash chooses, and in the order of the draw until ``sample_chars`` are reached. These
+    bounds are parameters of the fit alone. What comes to the driver is one row a language
+    and the drawn stretches.
     """
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") <= sample_chars))
-    known = known.select("lang", "text", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)).alias("draw"))
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).collect()  # one row a language
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 30))
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit(12)), F.greatest(F.char_length("text") - stretch, F.lit(0)).cast("long") + 1)
+    known = known.select("lang", draw.alias("draw"), F.substring("text", (place + 1).cast("int"), F.lit(stretch)).alias("text"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).collect()
     limits = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, sample_docs / r["n"]) * float(1 << 30))]) if sizes else None
     drawn = known.filter(F.col("draw") < limits[F.col("lang")]) if sizes else known.limit(0)
     samples: dict[str, list[str]] = {}
-    room: Counter = Counter()
-    for r in drawn.select("lang", "draw", "text").toPandas().sort_values(["lang", "draw", "text"]).itertuples():
-        if room[r.lang] + len(r.text) <= sample_chars:
-            samples.setdefault(r.lang, []).append(r.text)
-            room[r.lang] += len(r.text)
+    room: dict[str, int] = {}
+    for r in drawn.toPandas().sort_values(["lang", "draw", "text"]).itertuples():
+        left = sample_chars - room.get(r.lang, 0)
+        if left > 0:
+            samples.setdefault(r.lang, []).append(r.text[:left])
+            room[r.lang] = room.get(r.lang, 0) + len(r.text[:left])
     return build_model(samples)
 
 
 def predict_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """doc_id, lang_pred, score for every row; ``und`` and 0 for null, empty and letterless texts."""
+    """doc_id, lang_pred, score for every row; ``und`` and 0 for null, empty and letterless texts. Null and repeated ids stay as they are."""
     built = shipped(docs.sparkSession, model)
 
-    def predicted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = built()
-        for batch in batches:
-            names, scores = model.predict(list(batch["text"]))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": names, "score": scores})
+        for batch in parts(batches, 4000):
+            names, scores = model.predict(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInPandas(predicted, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(predicted, "doc_id long, lang_pred string, score double")
 
 
 def language_id(docs: DataFrame, **bounds) -> DataFrame:
     """doc_id, held_out, lang_pred, score, learning only from rows that are not held out.
 
-    Ties go to the language first in order of name; repeated rows are predicted alike; an
-    empty table gives an empty result; without labelled rows every text is ``und``.
+    The score is the share of bits saved against the second best language. Ties go to the
+    language first in order of name; repeated rows are predicted alike, and rows with a
+    null id like any other; an empty table gives an empty result; without labelled rows
+    every text is ``und``. Further columns are ignored.
     """
     held_out = remainder(F.col("doc_id"), 4) == 2
     model = train_language_id(docs.filter(~held_out), **bounds)
