@@ -1,122 +1,115 @@
 """Shards by k-d tree: nodes are split at weighted medians until their bytes reach a target.
 
-The points are what is known of a text besides its words: log size, bytes per code point
-and its checksum, each as a number of 30 bits. A node is split along the dimension in
-which it is widest, measured against the whole table. The median, weighted by bytes, is
-found digit by digit: each round adds up bytes per node and digit over all rows, and the
-driver sees at most 4,096 sums per node. Equal texts are one point, so they stay together,
-unless they alone would tip a split by more than ``apart``: then a hash of the id decides
-among them. Texts alike in the chosen dimension are told apart by the checksum first.
+Equal texts are one point, weighted by all their bytes, so that they stay together; a text
+whose copies alone would fill more than ``apart`` of a leaf is as many points as that
+takes, and a hash of the row says which copy belongs to which. A point's dimensions are
+what is known besides the words: language, source, log size and bytes per code point, each
+as a number of 30 bits. A node that is to become n leaves is split along the dimension in
+which it is widest, measured against the whole table, at the weighted quantile that leaves
+n // 2 leaves on the left. Points alike in it are told apart by the text's checksum.
+
+The quantile is found digit by digit: a round adds up bytes per node and digit over all
+points, and a window over those few sums takes the digit in which the quantile lies. The
+nodes are a table like any other; the driver sees only how many there are.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from itertools import accumulate
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import numbered, written
 
-#: Right shifts of the 12-bit digits of a 30-bit coordinate, a 32-bit checksum and a 64-bit hash.
-_SHIFTS = ((18, 6, 0), (20, 8, 0), (52, 40, 28, 16, 4, 0))
-DIMENSIONS = ("x0", "x1", "x2")
-
-
-def _digits(value: Column, shifts: tuple[int, ...], bits: int) -> list[Column]:
-    out, above = [], bits
-    for s in shifts:
-        out.append(F.shiftrightunsigned(value, s).bitwiseAND(F.lit((1 << (above - s)) - 1)))
-        above = s
-    return out
+DIMENSIONS = ("lang", "source", "x0", "x1")
+#: Right shifts that leave one digit more each, of a key of 30 bits of a dimension and 32 of a checksum.
+_SHIFTS = (46, 30, 14, 0)
+#: Rows of a small table up to which it is broadcast: about 1 MB.
+_FEW = 10_000
 
 
-def points(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32 and the three coordinates of each row; null text has one byte and the checksum of nothing."""
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row, doc_id, size, text_crc32 and the coordinates of each row; null text has one byte and the checksum of nothing, a missing column is like null."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    raw = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("bytes"), F.char_length(text).alias("n"), F.crc32(text).alias("text_crc32"))
+    named = lambda c: F.pmod(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("")), F.lit(1 << 30)).alias(c)
+    raw = docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("bytes"),
+        F.char_length(text).alias("n"), F.crc32(text).alias("text_crc32"), named("lang"), named("source"))
     most = float((1 << 30) - 1)
     scale = lambda x: F.least(F.lit(most), F.greatest(F.lit(0.0), x * most)).cast("long")
     return raw.select(
-        "doc_id", (F.col("bytes") + 1).alias("size"), "text_crc32",
-        scale(F.log2(F.col("bytes") + 1) / 40).alias("x0"),
-        scale((F.col("bytes") / F.greatest("n", F.lit(1)) - 1) / 3).alias("x1"),
-        F.shiftrightunsigned("text_crc32", 2).alias("x2"),
-    )
+        "row", "doc_id", (F.col("bytes") + 1).alias("size"), "text_crc32", "lang", "source",
+        scale(F.log2(F.col("bytes") + 1) / 40).alias("x0"), scale((F.col("bytes") / F.greatest("n", F.lit(1)) - 1) / 3).alias("x1"))
+
+
+def _beside(rows: DataFrame, small: DataFrame, n: int, on: str | list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with a table of ``n`` rows, which is broadcast only while it is small."""
+    return rows.join(F.broadcast(small) if n <= _FEW else small.hint("merge"), on, how)
 
 
-def _by_node(nodes, value) -> Column:
-    """``value(node)`` by the row's node."""
-    out = F.lit(None)
-    for n in nodes:
-        out = F.when(F.col("node") == n, value(n)).otherwise(out)
-    return out
+def _keyed(points: DataFrame) -> DataFrame:
+    """Add ``key``: the coordinate along ``dim``, then the checksum, with the parts of one text set apart."""
+    tie = F.pmod(F.col("text_crc32") + F.col("part") * 2_654_435_761, F.lit(1 << 32))
+    return points.withColumn("key", F.shiftleft(F.get(F.array(*DIMENSIONS), F.coalesce("dim", F.lit(0))), 32).bitwiseOR(tie))
 
 
-def _split(rows: DataFrame, slack: float, apart: float, root: dict[str, int]) -> DataFrame:
-    """Halve every node of ``rows`` by bytes; the small table of points is written anew, so plans stay short."""
+def _split(points: DataFrame, nodes: DataFrame, n: int, slack: float) -> DataFrame:
+    """Points with the node they come to when each of the ``n`` nodes (node, leaves) is split; a node is named by its first leaf."""
     widths = [x for d in DIMENSIONS for x in (F.min(d).alias(f"low_{d}"), F.max(d).alias(f"high_{d}"))]
-    stats = {r["node"]: r for r in rows.groupBy("node").agg(F.sum("size").alias("size"), *widths).collect()}
-    if not stats:
-        return rows
-    wide = {n: max(DIMENSIONS, key=lambda d: (r[f"high_{d}"] - r[f"low_{d}"]) / max(1, root[d])) for n, r in stats.items()}
-    chosen = _by_node(stats, lambda n: F.col(wide[n]))
-    digits = _digits(chosen, _SHIFTS[0], 30) + _digits(F.col("text_crc32"), _SHIFTS[1], 32) + _digits(F.xxhash64("doc_id"), _SHIFTS[2], 64)
-    keyed = rows.withColumns({f"d{k}": d.cast("long") for k, d in enumerate(digits)})
-    prefix: dict[int, tuple] = {n: () for n in stats}
-    before = dict.fromkeys(stats, 0)
-    inclusive = dict.fromkeys(stats, True)
-    going = set(stats)
-    for k in range(len(digits)):
-        if not going:
+    whole = points.agg(*[F.greatest(F.max(d) - F.min(d), F.lit(1)).alias(f"all_{d}") for d in DIMENSIONS])  # one row
+    stats = points.groupBy("node").agg(F.sum("weight").alias("total"), *widths).crossJoin(F.broadcast(whole))
+    wide = F.array(*[(F.col(f"high_{d}") - F.col(f"low_{d}")) / F.col(f"all_{d}") for d in DIMENSIONS])
+    state = written(_beside(stats, nodes, n, "node").filter("leaves > 1").select(
+        "node", "leaves", "total", (F.array_position(wide, F.array_max(wide)) - 1).cast("int").alias("dim"),
+        (F.col("total") * F.floor(F.col("leaves") / 2) / F.col("leaves")).alias("goal"),
+        F.lit(0).cast("long").alias("prefix"), F.lit(62).alias("shift"), F.lit(0).cast("long").alias("before"), F.lit(True).alias("inclusive"), F.lit(True).alias("going")), "nodes")
+    for shift in _SHIFTS:
+        if not state.filter("going").limit(1).count():
             break
-        inside = _by_node(going, lambda n: _all_equal(prefix[n]))
-        sums = keyed.filter(inside).groupBy("node", F.col(f"d{k}").alias("digit")).agg(F.sum("size").alias("size")).collect()
-        for n in list(going):
-            own = sorted((r["digit"], r["size"]) for r in sums if r["node"] == n)
-            upto = [before[n] + x for x in accumulate(s for _, s in own)]
-            half = stats[n]["size"] / 2
-            at = min(bisect_left(upto, half), len(own) - 1)
-            prefix[n] += (own[at][0],)
-            low, high = upto[at] - own[at][1], upto[at]
-            before[n] = low
-            inclusive[n] = high - half <= half - low
-            allowed = apart if k >= len(_SHIFTS[0] + _SHIFTS[1]) - 1 else slack
-            if min(high - half, half - low) <= allowed * stats[n]["size"]:
-                going.discard(n)
-    left = _by_node(stats, lambda n: _below(prefix[n], inclusive[n]))
-    halves = (2 * F.col("node") + F.when(left, 0).otherwise(1)).cast("int")
-    return written(keyed.withColumn("node", halves).select(*rows.columns), "halves")
-
-
-def _all_equal(prefix: tuple) -> Column:
-    out = F.lit(True)
-    for k, v in enumerate(prefix):
-        out = out & (F.col(f"d{k}") == v)
-    return out
-
-
-def _below(prefix: tuple, inclusive: bool) -> Column:
-    out = F.lit(inclusive)
-    for k in reversed(range(len(prefix))):
-        out = (F.col(f"d{k}") < prefix[k]) | ((F.col(f"d{k}") == prefix[k]) & out)
-    return out
-
-
-def kd_shards(docs: DataFrame, shards: int = 16, slack: float = 0.002, apart: float = 0.02) -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot for each row of ``docs``; sizes of shards are near equal.
-
-    ``shards`` is a power of two, the whole table's bytes over the target bytes of a leaf.
-    Ties in all dimensions are one text (or one checksum) and are parted by a hash of the
-    id only where they must be; repeated rows then stay together. Tables with fewer rows
-    than shards leave shards empty; an empty table gives an empty result.
+        inside = _keyed(_beside(points, state.filter("going").select("node", "dim", "prefix", "shift"), n, "node")).filter(F.expr("shiftright(key, shift) = prefix"))
+        sums = inside.groupBy("node", F.shiftright("key", shift).alias("digit")).agg(F.sum("weight").alias("w"))
+        upto = F.sum("w").over(Window.partitionBy("node").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0))
+        reached = _beside(sums.withColumn("upto", upto), state.select("node", "goal", "before"), n, "node").filter(F.col("before") + F.col("upto") >= F.col("goal"))
+        found = reached.groupBy("node").agg(F.min(F.struct("digit", "w", "upto")).alias("at"))
+        high = F.col("before") + F.col("at.upto")
+        low = high - F.col("at.w")
+        off = F.least(high - F.col("goal"), F.col("goal") - low)
+        hit = F.col("going") & F.col("at").isNotNull()
+        step = lambda new, old: F.when(hit, new).otherwise(F.col(old)).alias(old)  # noqa: E731, B023
+        state = written(state.join(found, "node", "left").select(
+            "node", "leaves", "total", "dim", "goal", step(F.col("at.digit"), "prefix"), step(F.lit(shift), "shift"), step(low, "before"),
+            step(high - F.col("goal") <= F.col("goal") - low, "inclusive"), (hit & (off > slack * F.col("total"))).alias("going")), "nodes", instead_of=state)
+    cut = F.col("prefix") - F.when(F.col("inclusive"), 0).otherwise(1)
+    placed = _keyed(_beside(points, state.select("node", "leaves", "dim", "shift", cut.alias("cut")), n, "node", "left"))
+    right = F.when(F.expr("shiftright(key, shift) > cut"), F.floor(F.col("leaves") / 2)).otherwise(0)
+    return written(placed.withColumn("node", (F.col("node") + right).cast("int")).select(*points.columns), "halves", instead_of=points)
+
+
+def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, slack: float = 0.002, apart: float = 0.02) -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot for each row of ``docs``; the bytes of shards are near equal.
+
+    There are ``shards`` leaves, any number from 1, or as many as bring each to at most
+    about ``target_bytes``. A split may miss its quantile by ``slack`` of the node. Ties in
+    all dimensions are one text (or one checksum), and so are repeated rows; they stay
+    together up to ``apart`` of a leaf. Null ids are ids like any other. Tables with fewer
+    texts than shards leave shards empty; an empty table gives an empty result.
     """
-    rows = written(points(docs), "points").withColumn("node", F.lit(0))
-    spread = rows.agg(*[(F.max(d) - F.min(d)).alias(d) for d in DIMENSIONS]).first().asDict()
-    for _ in range(shards.bit_length() - 1):
-        rows = _split(rows, slack, apart, {d: spread[d] or 0 for d in DIMENSIONS})
-    placed = rows.select("doc_id", "size", "text_crc32", F.col("node").cast("int").alias("shard"))
+    rows = written(_rows(docs, "doc_id", "text"), "rows")
+    total = rows.agg(F.sum("size")).first()[0] or 1
+    leaves = shards or max(1, -(-total // target_bytes))
+    most = max(1.0, apart * total / leaves)
+    heavy = rows.groupBy("text_crc32", "size").agg((F.count("*") * F.col("size")).alias("weight")).filter(F.col("weight") > most)
+    heavy = written(heavy.select("text_crc32", "size", F.ceil(F.col("weight") / most).alias("parts")), "heavy")  # at most leaves / apart rows
+    part = F.pmod(F.xxhash64("row"), F.coalesce("parts", F.lit(1)))
+    parted = _beside(rows, heavy, heavy.count(), ["text_crc32", "size"], "left").withColumn("part", part)
+    of = ["text_crc32", "size", "part"]
+    points = parted.groupBy(*of).agg((F.count("*") * F.col("size")).alias("weight"), *[F.min(d).alias(d) for d in DIMENSIONS])
+    points = written(points.withColumn("node", F.lit(0)), "points")
+    tree = [(0, leaves)]
+    while any(n > 1 for _, n in tree):
+        nodes = docs.sparkSession.createDataFrame(tree, "node int, leaves int")
+        points = _split(points, nodes, len(tree), slack)
+        tree = [x for at, n in tree for x in ([(at, n // 2), (at + n // 2, n - n // 2)] if n > 1 else [(at, n)])]
+    placed = parted.join(points.select(*of, F.col("node").alias("shard")), of).select("doc_id", "size", "text_crc32", "shard")
     return numbered(placed, ["shard"], ["doc_id", "text_crc32"], "slot")
 
 
