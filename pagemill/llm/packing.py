@@ -5,8 +5,9 @@ have each length, at most ``capacity`` numbers however many pieces there are:
 
 1. Large lengths (over an eighth of the capacity) are dealt, longest first, to groups of
    equal cardinality, and each is rounded up to the longest of its group.
-2. The few sizes left are filled into configurations, each the fullest that still holds
-   the largest size to come, and used as often as its sizes allow.
+2. How often to use which configuration of those few sizes is a linear program: it is
+   solved by generating columns, priced by a knapsack over the capacity. Its whole parts
+   are used; the few sizes left over are filled into the fullest configurations.
 3. The actual lengths take the places of their groups, which leaves gaps.
 4. Small lengths go, longest first, to the narrowest gap that holds them.
 
@@ -27,11 +28,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import numbered, written
+from ._shared import numbered, parts, written
 
 #: Splits text before the merges; the rank files are made for it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -97,23 +98,21 @@ def cut(ids: bytes, capacity: int) -> list[tuple[int, int, int]]:
 def tokenized_pieces(docs: DataFrame, ranks: bytes, capacity: int = 2048, end_id: int = 0, added: dict[str, int] | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each whole text as ids and ``end_id``, cut; null text is empty.
 
-    ``added`` are the tokens of ``added_tokens``.
+    ``added`` are the tokens of ``added_tokens``. Repeated rows and null ids are rows like any other.
     """
     shared, end = docs.sparkSession.sparkContext.broadcast(ranks), array("I", [end_id]).tobytes()
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = ByteTokenizer(shared.value, added)
-        for batch in batches:
-            rows = [
-                (doc_id, k, *p)
-                for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True)
-                for k, p in enumerate(cut(tokenizer.encode(text) + end, capacity))
-            ]
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"doc_id": batch["doc_id"].dtype})
+        for batch in parts(batches):
+            cuts = [cut(tokenizer.encode(text) + end, capacity) for text in batch.column("text").to_pylist()]
+            of = np.repeat(np.arange(len(cuts)), [len(c) for c in cuts])
+            rows = np.array([(k, *p) for c in cuts for k, p in enumerate(c)], dtype=np.int64).reshape(-1, 4).T
+            columns = [batch.column("doc_id").take(pa.array(of)), pa.array(rows[0].astype(np.int32)), *map(pa.array, rows[1:])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInPandas(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return texts.mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 @dataclass
@@ -180,16 +179,85 @@ def _fullest(sizes: list[int], left: list[int], capacity: int) -> list[int]:
     return take
 
 
-def plan_packing(counts: dict[int, int], capacity: int = 2048, groups: int = 512) -> list[Run]:
+def _best_column(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The configuration of most worth: a knapsack, size after size."""
+    stages = np.zeros((len(sizes) + 1, capacity + 1))
+    for i, (size, w) in enumerate(zip(sizes.tolist(), worth.tolist(), strict=True)):
+        best = stages[i + 1]
+        best[:] = stages[i]
+        if w > 0:
+            for at in range(size, capacity + 1, size):  # a block may build on the block before it
+                np.maximum(best[at : at + size], best[at - size : at][: capacity + 1 - at] + w, out=best[at : at + size])
+    take, c = np.zeros(len(sizes)), capacity
+    for i in range(len(sizes), 0, -1):
+        while c >= sizes[i - 1] and stages[i, c] > stages[i - 1, c]:
+            take[i - 1] += 1
+            c -= int(sizes[i - 1])
+    return float(stages[-1, capacity]), take
+
+
+def linear_program(sizes: list[int], counts: list[int], capacity: int, most_steps: int = 4000) -> tuple[np.ndarray, np.ndarray, float]:
+    """Configurations (rows), how often to use each (fractions) so that all ``counts`` are held, and what a sequence less would save.
+
+    The revised simplex method over generated columns. Stops where no configuration is
+    worth more than a sequence, which is the optimum, or after ``most_steps``.
+    """
+    size, demand = np.array(sizes), np.array(counts, dtype=float)
+    basis = np.diag((capacity // size).astype(float))
+    inverse = np.diag(1 / np.diag(basis))
+    x, dear = inverse @ demand, 0.0
+    for step in range(most_steps):
+        if step % 100 == 99:
+            inverse = np.linalg.inv(basis)
+            x = inverse @ demand
+        dear, column = _best_column(size, inverse.sum(axis=0), capacity)
+        if dear <= 1 + 1e-9:
+            break
+        d = inverse @ column
+        ratio = np.where(d > 1e-9, np.maximum(x, 0) / np.where(d > 1e-9, d, 1), np.inf)
+        out = int(ratio.argmin())
+        basis[:, out] = column
+        x = x - ratio[out] * d
+        x[out] = ratio[out]
+        row = inverse[out] / d[out]
+        inverse = inverse - np.outer(d, row)
+        inverse[out] = row
+    return basis.T.round().astype(int), np.maximum(x, 0), dear
+
+
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """No packing has fewer sequences: neither than the bytes take, nor than there are lengths of more than half."""
+    return max(-(-sum(k * n for k, n in counts.items()) // capacity), sum(n for k, n in counts.items() if 2 * k > capacity))
+
+
+def plan_packing(counts: dict[int, int], capacity: int = 2048, groups: int = 128) -> list[Run]:
     """Runs that hold ``counts[length]`` pieces of each length from 1 to ``capacity``."""
     counts = {k: n for k, n in counts.items() if n}
-    large = _grouped({k: n for k, n in counts.items() if 8 * k > capacity}, groups)
+    runs = [Run(counts[capacity], capacity, [(capacity, 0, 0)])] if capacity in counts else []  # full by themselves
+    large = _grouped({k: n for k, n in counts.items() if capacity > k and 8 * k > capacity}, groups)
+    merged: list[list[list[int]]] = []
+    for g in large:  # groups that round up to one size are one size
+        if merged and merged[-1][0][0] == g[0][0]:
+            merged[-1] += g
+        else:
+            merged.append(g)
+    large = merged
     sizes, left = [g[0][0] for g in large], [sum(r[2] for r in g) for g in large]
-    runs: list[Run] = []
-    while any(left):
-        take = _fullest(sizes, left, capacity)
-        times = min(n // k for n, k in zip(left, take, strict=True) if k)
-        left = [n - k * times for n, k in zip(left, take, strict=True)]
+    chosen = []
+    if large:
+        for take, x in zip(*linear_program(sizes, left, capacity)[:2], strict=True):
+            used = [k for k in range(len(sizes)) if take[k]]
+            times = min([int(x + 1e-7), *[left[k] // int(take[k]) for k in used]])
+            if times:
+                chosen.append((take.tolist(), times))
+                left = [n - int(k) * times for n, k in zip(left, take, strict=True)]
+    while any(left) or chosen:
+        if chosen:
+            take, times = chosen.pop()
+        else:
+            take = _fullest(sizes, left, capacity)
+            times = min(n // k for n, k in zip(left, take, strict=True) if k)
+            left = [n - k * times for n, k in zip(left, take, strict=True)]
         places = []  # for each place of the configuration, the actual runs that take it
         for g, k in enumerate(take):
             for _ in range(k):
@@ -263,17 +331,18 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     shared = pieces.sparkSession.sparkContext.broadcast(np.array(slots, dtype=np.int64).reshape(-1, 4))
     kept = pieces.columns
 
-    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         length, first, base, offset = shared.value.T
         starts = (length << 48) + first
         for batch in batches:
-            rank = batch["rank"].to_numpy(dtype=np.int64)
-            at = np.searchsorted(starts, (batch["length"].to_numpy(dtype=np.int64) << 48) + rank, side="right") - 1
-            yield batch[kept].assign(sequence_id=base[at] + rank - first[at], offset=offset[at])
+            rank, own = (batch.column(c).to_numpy().astype(np.int64) for c in ("rank", "length"))
+            at = np.searchsorted(starts, (own << 48) + rank, side="right") - 1
+            columns = [*[batch.column(c) for c in kept], pa.array(base[at] + rank - first[at]), pa.array(offset[at])]
+            yield pa.RecordBatch.from_arrays(columns, [*kept, "sequence_id", "offset"])
 
     ranked = numbered(pieces, ["length"], [c for c in ("doc_id", "piece", "start") if c in kept], "rank")
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked.mapInPandas(placed, f"{types}, sequence_id long, offset long")
+    return ranked.mapInArrow(placed, f"{types}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, ranks: bytes, capacity: int = 2048, added: dict[str, int] | None = None) -> DataFrame:
