@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import exact_dedup, gru_lm, language_id, minhash, packing, quality, sentencepiece_codec, sharding, toxicity, warc
-from ._shared import table
+from ._shared import shared_folder, table, written
 
 
 def tokenizer_file(name: str) -> str:
@@ -36,6 +39,41 @@ def op3_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.pages_through_warc(table(spark, sf_dir, "pages"))
 
 
+def _spoiled(spark: SparkSession, source: str, target: str, every: int) -> int:
+    """Copies of archives with a byte in the middle of each ``every``-th page's record turned over; returns how many."""
+
+    def spoil(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = []
+            for path in batch.column("path").to_pylist():
+                store, place = fs.FileSystem.from_uri(path)
+                with store.open_input_file(place) as file:
+                    data = bytearray(file.read())
+                for r in warc.salvage(bytes(data)):
+                    page = r["record_id"].rpartition(":")[2]
+                    if page and int(page) % every == 0:
+                        data[r["offset"] + r["length"] // 2] ^= 255
+                        hits.append(r["record_id"])
+                store, top = fs.FileSystem.from_uri(target)
+                store.create_dir(top, recursive=True)
+                with store.open_output_stream(f"{top}/{path.rpartition('/')[2]}", compression=None) as out:
+                    out.write(bytes(data))
+            yield pa.RecordBatch.from_arrays([pa.array(hits, pa.string())], ["record_id"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(source).select("path")
+    return written(files.mapInArrow(spoil, "record_id string"), "spoiled").count()
+
+
+def warc_damaged_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, recovered: which pages the salvage reader brings back from archives in which every 97th page's record is damaged."""
+    pages, top = table(spark, sf_dir, "pages"), shared_folder(spark)
+    n = warc.archived(pages, f"{top}/archives")
+    bad = _spoiled(spark, f"{top}/archives", f"{top}/damaged", 97)
+    read = written(warc.read_warc(spark, f"{top}/damaged", with_payload=False).drop("payload"), "read")
+    found = warc.pages_of_records(warc.quarantined(read, n - bad, f"{top}/gaps")).select("page_id", F.lit(True).alias("found"))
+    return pages.select("page_id").join(found, "page_id", "left").select("page_id", F.coalesce("found", F.lit(False)).alias("recovered"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
@@ -71,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_minhash_near_dedup,
         op2_quality_rules,
         op3_warc_salvage,
+        warc_damaged_archives,
         op4_language_id,
         op5_sentencepiece,
         op6_gru_language_model,
@@ -91,6 +130,7 @@ SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
         FROM f
     """,
+    "warc_damaged_archives": "SELECT page_id, page_id % 97 <> 0 AS recovered FROM pages",
     "op9_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS points,

@@ -3,6 +3,8 @@
 Each record is a gzip member of its own. The reader checks every member and record; where
 a check fails it searches for the next member that holds a record, or the next version
 line in a plain archive, goes on from there, and reports the bytes in between as a gap.
+It reads ranges of a file, keeps a few blocks of it and at most one record, and passes over
+every byte a bounded number of times, whatever the size of the archive.
 """
 
 from __future__ import annotations
@@ -12,9 +14,10 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +29,9 @@ LEAST_PAYLOAD = 100
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _VERSION = re.compile(rb"WARC/\d\.\d\r?\n")
 _GZIP = b"\x1f\x8b\x08"
+_START = re.compile(rb"\x1f\x8b\x08|WARC/\d\.\d\r?\n")
+#: A header ends within so many bytes, and a record holds at most so many, if nothing else is said.
+_HEADER, MOST_BYTES = 1 << 20, 1 << 29
 RECORD = (
     "archive string, offset long, length long, gap string, record_type string, record_id string, uri string, "
     "refers_to string, payload_bytes long, payload_digest string, payload binary"
@@ -55,26 +61,68 @@ class BadRecord(ValueError):
     """Why a record was turned down."""
 
 
-def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
+class Bytes:
+    """A file as ranges, read in blocks of which a few are kept."""
+
+    def __init__(self, read_at: Callable[[int, int], bytes], size: int, block: int = 1 << 20, kept: int = 4):
+        self.read_at, self.size, self.block, self.kept, self.blocks = read_at, size, block, kept, {}
+
+    @classmethod
+    def of(cls, data: bytes) -> Bytes:
+        return cls(lambda at, n: data[at : at + n], len(data))
+
+    def _block(self, k: int) -> bytes:
+        if k not in self.blocks:
+            if len(self.blocks) >= self.kept:
+                self.blocks.pop(next(iter(self.blocks)))
+            self.blocks[k] = self.read_at(k * self.block, min(self.block, self.size - k * self.block))
+        return self.blocks[k]
+
+    def get(self, at: int, n: int) -> bytes:
+        """Up to ``n`` bytes from ``at``; fewer at the end."""
+        stop = min(at + n, self.size)
+        if at >= stop:
+            return b""
+        first, last = at // self.block, (stop - 1) // self.block
+        if first == last:
+            return self._block(first)[at - first * self.block : stop - first * self.block]
+        return b"".join([self._block(k)[max(0, at - k * self.block) : stop - k * self.block] for k in range(first, last + 1)])
+
+    def search(self, pattern: re.Pattern, at: int, longest: int = 16) -> int:
+        """Where the next match of up to ``longest`` bytes begins; the end if there is none."""
+        while at < self.size:
+            step = self.block - at % self.block
+            if found := pattern.search(self.get(at, step + longest)):
+                return at + found.start()
+            at += step
+        return self.size
+
+
+def parse_record(data: Bytes, at: int = 0, most: int = MOST_BYTES) -> tuple[dict, int]:
     """The record at ``at`` of uncompressed bytes, and where it ends."""
-    if not (version := _VERSION.match(data, at)):
+    top = data.get(at, 4096)
+    if not (version := _VERSION.match(top)):
         raise BadRecord("no version line")
-    end = data.find(b"\r\n\r\n", version.end() - 2)
+    while (end := top.find(b"\r\n\r\n", version.end() - 2)) < 0 and len(top) < _HEADER and at + len(top) < data.size:
+        top = data.get(at, 4 * len(top))
     if end < 0:
         raise BadRecord("header without end")
     head: dict[str, str] = {}
-    for line in data[version.end() : end].split(b"\r\n"):
+    for line in top[version.end() : end].split(b"\r\n"):
         name, colon, value = line.partition(b":")
         if not colon:
             raise BadRecord("header line without a colon")
         head[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
-    if not head.get("content-length", "").isdigit() or "warc-type" not in head:
+    stated = head.get("content-length", "")
+    if not (stated.isascii() and stated.isdigit()) or "warc-type" not in head:
         raise BadRecord("no length or type")
-    start = end + 4
-    stop = start + int(head["content-length"])
-    if data[stop : stop + 4] != b"\r\n\r\n":
+    start = at + end + 4
+    if int(stated) > most:
+        raise BadRecord("record larger than is allowed")
+    stop = start + int(stated)
+    if data.get(stop, 4) != b"\r\n\r\n":
         raise BadRecord("length does not lead to the end of a record")
-    block = data[start:stop]
+    block = data.get(start, stop - start)
     algorithm, _, wanted = head.get("warc-block-digest", "").partition(":")
     if algorithm == "sha256" and hashlib.sha256(block).hexdigest() != wanted:
         raise BadRecord("block digest differs")
@@ -94,53 +142,58 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
     }, stop + 4
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    unpack = zlib.decompressobj(31)
+def _member(data: Bytes, at: int, most: int) -> tuple[bytes, int]:
+    """What the gzip member at ``at`` holds, and where it ends. It is unpacked piece by piece, so a damaged one is left early."""
+    unpack, out, step = zlib.decompressobj(31), bytearray(), 4096
     try:
-        out = unpack.decompress(memoryview(data)[at:])
+        while not unpack.eof:
+            piece = data.get(at, step)
+            if not piece:
+                raise BadRecord("gzip member without end")
+            at, step = at + len(piece), min(4 * step, data.block)
+            while piece and not unpack.eof:
+                out += unpack.decompress(piece, 1 << 20)
+                piece = unpack.unconsumed_tail
+                if len(out) > most:
+                    raise BadRecord("record larger than is allowed")
     except zlib.error as e:
         raise BadRecord("damaged gzip member") from e
-    if not unpack.eof:
-        raise BadRecord("gzip member without end")
-    return out, len(data) - len(unpack.unused_data)
+    return bytes(out), at - len(unpack.unused_data)
 
 
-def _read_at(data: bytes, at: int) -> tuple[dict, int]:
-    if data[at : at + 3] == _GZIP:
-        plain, end = _member(data, at)
-        record, used = parse_record(plain)
+def _read_at(data: Bytes, at: int, most: int) -> tuple[dict, int]:
+    if data.get(at, 3) == _GZIP:
+        plain, end = _member(data, at, most)
+        record, used = parse_record(Bytes.of(plain), 0, most)
         if used != len(plain):
             raise BadRecord("member holds more than a record")
         return record, end
-    return parse_record(data, at)
+    return parse_record(data, at, most)
 
 
-def _next_start(data: bytes, at: int) -> int:
-    """The next place from ``at`` where a record can be read; the end if there is none."""
-    while True:
-        member, line = data.find(_GZIP, at), _VERSION.search(data, at)
-        places = [p for p in (member, line.start() if line else -1) if p >= 0]
-        if not places:
-            return len(data)
-        at = min(places)
+def _next_start(data: Bytes, at: int, most: int) -> tuple[int, tuple[dict, int] | None]:
+    """The next place from ``at`` where a record can be read, and the record; the end if there is none."""
+    while (at := data.search(_START, at)) < data.size:
         try:
-            _read_at(data, at)
-            return at
+            return at, _read_at(data, at, most)
         except BadRecord:
             at += 1
+    return data.size, None
 
 
-def salvage(data: bytes) -> Iterator[dict]:
-    """Records in order, and gaps (with their reason) for the bytes that hold none."""
-    at = 0
-    while at < len(data):
+def salvage(data: bytes | Bytes, most: int = MOST_BYTES) -> Iterator[dict]:
+    """Records in order, and gaps (with their reason) for the bytes that hold none. A record of more than ``most`` bytes is a gap."""
+    data = data if isinstance(data, Bytes) else Bytes.of(data)
+    at, read = 0, None
+    while at < data.size:
         try:
-            record, end = _read_at(data, at)
+            record, end = read or _read_at(data, at, most)
             yield record | {"offset": at, "length": end - at, "gap": None}
+            at, read = end, None
         except BadRecord as why:
-            end = _next_start(data, at + 1)
+            end, read = _next_start(data, at + 1, most)
             yield {"offset": at, "length": end - at, "gap": str(why)}
-        at = end
+            at = end
 
 
 def _stored(store, top: str, name: str, members: list[bytes]) -> tuple[str, int]:
@@ -179,22 +232,47 @@ def write_warc(records: DataFrame, folder: str, archive_bytes: int = 16 << 20) -
     return records.mapInPandas(write, "archive string, records long")
 
 
-def read_warc(spark: SparkSession, folder: str) -> DataFrame:
+def read_warc(spark: SparkSession, folder: str, with_payload: bool = True, most: int = MOST_BYTES) -> DataFrame:
     """All records and gaps of the archives in ``folder`` (*.warc, *.warc.gz), with the columns of ``RECORD``.
 
-    ``gap`` is null for records and the reason for gaps. An empty file gives no row.
+    ``gap`` is null for records and the reason for gaps. An empty file gives no row. A task
+    reads its archives in ranges and holds one record of at most ``most`` bytes, and rows of
+    as many bytes at a time. Without ``with_payload`` payloads are checked but left null.
     """
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in RECORD.split(", ")]
+        types = {"offset": pa.int64(), "length": pa.int64(), "payload_bytes": pa.int64(), "payload": pa.binary()}
+
+        def table(rows: list[dict]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], types.get(n, pa.string())) for n in names], names)
+
         for batch in batches:
-            for path, data in zip(batch["path"], batch["content"], strict=True):
-                rows = [x | {"archive": path.rpartition("/")[2]} for x in salvage(bytes(data))]
-                for i in range(0, len(rows), 1000):
-                    yield pd.DataFrame(rows[i : i + 1000], columns=names)
+            for path, size in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True):
+                store, place = fs.FileSystem.from_uri(path)
+                with store.open_input_file(place) as file:
+                    rows, held = [], 0
+                    for x in salvage(Bytes(lambda at, n, file=file: file.read_at(n, at), size), most):
+                        held += len(x.get("payload") or b"") if with_payload else 0
+                        rows.append(x | {"archive": path.rpartition("/")[2]} | ({} if with_payload else {"payload": None}))
+                        if len(rows) == 1000 or held > 16 << 20:
+                            yield table(rows)
+                            rows, held = [], 0
+                    if rows:
+                        yield table(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(folder)
-    return files.select("path", "content").mapInPandas(read, RECORD)
+    return files.select("path", "length").mapInArrow(read, RECORD)
+
+
+def quarantined(read: DataFrame, written_records: int, folder: str) -> DataFrame:
+    """The records of what was ``read`` (a table); gaps go to a table in ``folder``. Records that are missing without a gap are an error."""
+    lost = read.filter(F.col("gap").isNotNull())
+    n = read.agg(F.count_if(F.col("gap").isNull()).alias("records"), F.count("gap").alias("gaps")).first()
+    lost.select("archive", "offset", "length", "gap").write.mode("overwrite").parquet(folder)
+    if n["records"] != written_records and not n["gaps"]:
+        raise ValueError(f"{n['records']} records read of {written_records} written, and no gap says where the others are")
+    return read.filter(F.col("gap").isNull())
 
 
 def records_of_pages(pages: DataFrame, least_payload: int = LEAST_PAYLOAD) -> DataFrame:
@@ -222,14 +300,26 @@ def records_of_pages(pages: DataFrame, least_payload: int = LEAST_PAYLOAD) -> Da
         F.when(F.col("first").isNotNull(), name("first")).alias("refers_to"))
 
 
-def pages_through_warc(pages: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to as read back from archives of ``pages``."""
-    spark = pages.sparkSession
-    folder = f"{shared_folder(spark)}/archives"
+def archived(pages: DataFrame, folder: str) -> int:
+    """Write a record for each page to archives in ``folder``; returns how many."""
     records = records_of_pages(pages).sortWithinPartitions("record_id", "payload_digest")
     store, top = fs.FileSystem.from_uri(folder)
     store.create_dir(top, recursive=True)  # without pages there are no archives in it
-    written(write_warc(records, folder), "archives")
+    return written(write_warc(records, folder), "archives").agg(F.sum("records")).first()[0] or 0
+
+
+def pages_of_records(records: DataFrame) -> DataFrame:
     page = lambda c: F.regexp_extract(c, "^urn:page:(-?[0-9]+)$", 1).try_cast("long")
-    return read_warc(spark, folder).filter(F.col("gap").isNull()).select(
-        page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+    return records.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
+def pages_through_warc(pages: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to as read back from archives of ``pages``.
+
+    What the reader could not read is in the table ``gaps`` beside the archives; a record
+    that is missing without a gap stops the job.
+    """
+    top = shared_folder(pages.sparkSession)
+    n = archived(pages, f"{top}/archives")
+    read = written(read_warc(pages.sparkSession, f"{top}/archives", with_payload=False).drop("payload"), "read")
+    return pages_of_records(quarantined(read, n, f"{top}/gaps"))
