@@ -2,7 +2,10 @@
 
 A text's features are the hashed n-grams that occur in it (presence, not counts), lower
 case, over code points. Ratios are counted over all labelled texts, in tasks, then added
-up per bucket. The linear weights are fitted to at most ``fit_rows`` of those texts.
+up per bucket. A bucket in fewer than ``least_documents`` texts, or with a log ratio of
+less than ``least_ratio`` either way, has no say: its ratio counts as 0. The linear
+weights are fitted to about ``fit_rows`` of the labelled texts, with at most
+``fit_features`` features in all, which bounds what the driver holds.
 """
 
 from __future__ import annotations
@@ -12,10 +15,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import remainder, shipped, written
+from ._shared import discard, parts, remainder, shipped, written
 
 BITS = 20
 LENGTHS = (3, 4, 5)
@@ -82,13 +86,14 @@ def _fit(rows: list[np.ndarray], toxic: np.ndarray, ratios: np.ndarray, rounds:
 
 
 def train_toxicity(
-    labelled: DataFrame, fit_rows: int = 6000, least_documents: int = 3, least_ratio: float = 1.0, rounds: int = 150, decay: float = 1e-4
+    labelled: DataFrame, fit_rows: int = 6000, least_documents: int = 3, least_ratio: float = 1.0, rounds: int = 150, decay: float = 1e-4, fit_features: int = 16_000_000
 ) -> ToxicityModel:
     """Fit to ``labelled`` (doc_id, text, toxic 0 or 1; other labels and nulls are left out).
 
     Ratios come from every row. The weights are fitted to a sample of about ``fit_rows``
-    rows, half of each class, chosen by a hash of the id; it does not grow with the input.
-    Without rows of both classes every score is the share of toxic rows (0.5 without rows).
+    rows, half of each class, chosen by a hash of id and text; texts are taken in that order,
+    and one that would bring its class over half of ``fit_features`` is passed over. The
+    sample does not grow with the input. Without rows of both classes every score is the share of toxic rows (0.5 without rows).
     """
     spark = labelled.sparkSession
     known = labelled.filter(F.col("toxic").isin(0, 1)).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
@@ -111,15 +116,26 @@ def train_toxicity(
     ratios[counts["bucket"]] = np.where(np.abs(r) >= least_ratio, r, 0.0)
     telling = shipped(spark, ratios != 0)
 
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         used = telling()
-        for batch in batches:
-            at = [gram_buckets(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "at": [np.unique(x[used[x]]).astype(np.int32) for x in at]})
-
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    part = F.when(F.col("toxic") == 1, min(1.0, fit_rows / 2 / toxic)).otherwise(min(1.0, fit_rows / 2 / clean))
-    sample = known.filter(draw < part).mapInPandas(features, "doc_id long, toxic int, at array<int>").toPandas().sort_values(["toxic", "doc_id"])
+        for batch in parts(batches):
+            at = [gram_buckets(t) for t in batch.column("text").to_pylist()]
+            found = [np.unique(x[used[x]]).astype(np.int32) for x in at]
+            columns = [batch.column("toxic"), batch.column("draw"), pa.array([len(x) for x in found], pa.int64()), pa.array(found, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["toxic", "draw", "n", "at"])
+
+    draw = F.xxhash64("doc_id", "text", F.lit(7))
+    share = F.when(F.col("toxic") == 1, min(1.0, fit_rows / 2 / toxic)).otherwise(min(1.0, fit_rows / 2 / clean))
+    drawn = known.withColumn("draw", draw).filter(F.pmod("draw", F.lit(1 << 30)) / float(1 << 30) < share)
+    drawn = written(drawn.mapInArrow(features, "toxic int, draw long, n long, at array<int>"), "drawn")
+    room, taken = {0: fit_features // 2, 1: fit_features // 2}, []
+    for r in drawn.select("toxic", "draw", "n").toPandas().sort_values(["toxic", "draw"]).drop_duplicates().itertuples():
+        if r.n <= room[r.toxic]:
+            room[r.toxic] -= r.n
+            taken.append((r.toxic, r.draw))
+    chosen = spark.createDataFrame(taken, "toxic int, draw long")
+    sample = drawn.join(F.broadcast(chosen), ["toxic", "draw"]).select("toxic", "draw", "at").dropDuplicates(["toxic", "draw"]).toPandas().sort_values(["toxic", "draw"])
+    discard(known, drawn)
     weights, bias = _fit([np.asarray(x, dtype=np.int64) for x in sample["at"]], sample["toxic"].to_numpy(), ratios, rounds, decay)
     return ToxicityModel(weights, bias)
 
@@ -128,16 +144,20 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id, score of each whole text, empty texts (and null) too: their score is the bias alone."""
     fitted = shipped(docs.sparkSession, model)
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = fitted().score
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": [score(t) for t in batch["text"]]})
+        for batch in parts(batches):
+            found = pa.array([score(t) for t in batch.column("text").to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), found], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInPandas(scored, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(scored, "doc_id long, score double")
 
 
 def labelled_for_training(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, toxic of the labelled rows that may be learned from; a document labelled twice is toxic if either says so."""
+    """doc_id, text, toxic of the labelled rows that may be learned from; a document labelled twice is toxic if either says so.
+
+    Labels of a null id, or without a value of 0 or 1, teach nothing.
+    """
     allowed = remainder(F.col("doc_id"), 3) != 1
     marks = labels.filter(allowed & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # the same join at every size: labels grow with the texts, so they are never broadcast
@@ -145,7 +165,11 @@ def labelled_for_training(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, least_score: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs``, repeated rows too."""
+    """doc_id, held_out, score, predicted for every row of ``docs``: repeated rows alike, rows with a null id by their text.
+
+    Null and empty texts score what the model makes of no n-grams. An empty table gives an
+    empty result; further columns are ignored.
+    """
     model = train_toxicity(labelled_for_training(docs, labels))
     return score_toxicity(docs, model).select(
         "doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= least_score).cast("int").alias("predicted"))
