@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pagemill.llm import exact_dedup, minhash, quality, toxicity
-from pagemill.llm._shared import shared_folder, table
+from pagemill.llm._shared import cleared, delete, shared_folder, table
 from pagemill.llm.queries import packed_documents
 
 
@@ -47,10 +47,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    folder = shared_folder(spark)
-    for k, (_, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/stage{k}")
-        docs = spark.read.parquet(f"{folder}/stage{k}")
+    """Apply the stages to documents, each written to the shared folder and read again; what a stage needed goes once it is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        folder = shared_folder(spark)
+        with cleared(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name.replace(' ', '_')}")
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(f"{folder}/{name.replace(' ', '_')}"), folder
     return STAGES[-1][1](spark, docs, sf_dir)
