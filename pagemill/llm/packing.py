@@ -196,24 +196,24 @@ def _best_column(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[f
     return float(stages[-1, capacity]), take
 
 
-def linear_program(sizes: list[int], counts: list[int], capacity: int, most_steps: int = 4000) -> tuple[np.ndarray, np.ndarray, float]:
+def linear_program(sizes: list[int], counts: list[int], capacity: int, tolerance: float = 1e-9, most_steps: int = 4000) -> tuple[np.ndarray, np.ndarray, float]:
     """Configurations (rows), how often to use each (fractions) so that all ``counts`` are held, and what a sequence less would save.
 
     The revised simplex method over generated columns. Stops where no configuration is
-    worth more than a sequence, which is the optimum, or after ``most_steps``.
+    worth more than a sequence by more than ``tolerance``: at most that share is then
+    above the optimum. The matrices are small, so products are sums of rows: threads of a
+    linear algebra library would cost more than they save.
     """
     size, demand = np.array(sizes), np.array(counts, dtype=float)
     basis = np.diag((capacity // size).astype(float))
     inverse = np.diag(1 / np.diag(basis))
-    x, dear = inverse @ demand, 0.0
-    for step in range(most_steps):
-        if step % 100 == 99:
-            inverse = np.linalg.inv(basis)
-            x = inverse @ demand
+    x, dear = np.diag(inverse) * demand, 0.0
+    for _ in range(most_steps):
         dear, column = _best_column(size, inverse.sum(axis=0), capacity)
-        if dear <= 1 + 1e-9:
+        if dear <= 1 + tolerance:
             break
-        d = inverse @ column
+        used = np.flatnonzero(column)
+        d = (inverse[:, used] * column[used]).sum(axis=1)
         ratio = np.where(d > 1e-9, np.maximum(x, 0) / np.where(d > 1e-9, d, 1), np.inf)
         out = int(ratio.argmin())
         basis[:, out] = column
@@ -245,7 +245,7 @@ def plan_packing(counts: dict[int, int], capacity: int = 2048, groups: int = 128
     sizes, left = [g[0][0] for g in large], [sum(r[2] for r in g) for g in large]
     chosen = []
     if large:
-        for take, x in zip(*linear_program(sizes, left, capacity)[:2], strict=True):
+        for take, x in zip(*linear_program(sizes, left, capacity, 1e-4)[:2], strict=True):
             used = [k for k in range(len(sizes)) if take[k]]
             times = min([int(x + 1e-7), *[left[k] // int(take[k]) for k in used]])
             if times:
