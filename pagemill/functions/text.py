@@ -17,9 +17,13 @@ def key_values(line: Column) -> Column:
     cut = lambda t: F.instr(t, "=")
     pairs = F.transform(tokens, lambda t, i: F.struct(
         F.substring(t, F.lit(1), cut(t) - 1).alias("key"), F.substring(t, cut(t) + 1, F.length(t)).alias("value"), i.alias("i")))
-    # each key keeps its last pair, so the map never meets a key twice, whatever the session says about that
-    last = F.filter(pairs, lambda p: ~F.exists(pairs, lambda q: (q["key"] == p["key"]) & (q["i"] > p["i"])))
-    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["key"], p["value"])))
+
+    def of(pairs: Column) -> Column:
+        # each key keeps its last pair, so the map never meets a key twice, whatever the session says about that
+        last = F.filter(pairs, lambda p: ~F.exists(pairs, lambda q: (q["key"] == p["key"]) & (q["i"] > p["i"])))
+        return F.map_from_entries(F.transform(last, lambda p: F.struct(p["key"], p["value"])))
+
+    return F.transform(F.array(pairs), of)[0]  # the line is cut once, however often its pairs are looked at
 
 
 def typed_value(raw: Column) -> Column:
@@ -48,3 +52,9 @@ def dump_name(name: Column) -> Column:
     return F.struct(
         F.concat_ws("_", F.slice(parts, 1, 2)).alias("stage"), number(F.get(parts, F.lit(2))).alias("x"), number(F.get(parts, F.lit(3))).alias("y"),
         number(F.get(sides, F.lit(0))).alias("w"), number(F.get(sides, F.lit(1))).alias("h"))
+
+
+def json_text(text: Column) -> Column:
+    """A text as JSON; null as an empty one."""
+    listed = F.to_json(F.array(F.coalesce(text, F.lit(""))))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
-from ..functions.text import trimmed
+from ..functions.text import json_text, trimmed
 
 BOX = "x:double,y:double,w:double,h:double"
 MEMBER = f"struct<y:double,x:double,idx:int,w:double,h:double,text:string>"
@@ -92,8 +92,38 @@ def text_blocks(detections: DataFrame, source: str = "en", x_gap: float = 20, y_
     return kept.select("image", (F.col("block") + 1).alias("block"), block_text(shown, source).alias("text"), "g.x", "g.y", "g.w", "g.h", members.alias("members"))
 
 
-def overlay_payload(blocks: DataFrame) -> DataFrame:
-    """image, payload: the blocks of an image as JSON, without empty member lists."""
-    group = F.struct("block", "text", F.struct("x", "y", F.col("w").alias("width"), F.col("h").alias("height")).alias("bounds"), F.when(F.size("members") > 0, F.col("members")).alias("members"))
+def uncrowded(detections: DataFrame, most: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """Detections of images with at most ``most`` boxes, and (image, boxes) of the others.
+
+    The folds here grow faster than the boxes of an image; an image beyond the detector's
+    own cap is reported instead of holding up a task.
+    """
+    sizes = detections.groupBy("image").agg(F.count("*").alias("boxes"))
+    crowded = sizes.filter(F.col("boxes") > most)
+    return detections.join(crowded, "image", "left_anti"), crowded
+
+
+def overlay_payload(blocks: DataFrame, sizes: DataFrame | None = None, debug: DataFrame | None = None) -> DataFrame:
+    """image, payload: the blocks of an image as JSON, without empty member lists.
+
+    ``sizes`` (image, orig_width, orig_height, debug_trace) adds the image's size, and the
+    trace flag where it is true; images without blocks then have an empty list. ``debug``
+    (image, idx, x, y, w, h, text, score, accepted) adds the debug detections of the images
+    that have some, each as bounds, text, score and acceptance.
+    """
+    bounds = F.struct("x", "y", F.col("w").alias("width"), F.col("h").alias("height"))
+    group = F.struct("block", "text", bounds.alias("bounds"), F.when(F.size("members") > 0, F.col("members")).alias("members"))
     listed = blocks.groupBy("image").agg(F.sort_array(F.collect_list(group)).alias("groups"))
-    return listed.select("image", F.to_json(F.struct(F.transform("groups", lambda g: F.struct(g["text"].alias("text"), g["bounds"].alias("bounds"), g["members"].alias("members"))).alias("groups")), {"ignoreNullFields": "true"}).alias("payload"))
+    shown = F.transform("groups", lambda g: F.struct(g["text"].alias("text"), g["bounds"].alias("bounds"), g["members"].alias("members")))
+    parts = [F.lit('{"groups":'), F.coalesce(F.to_json(shown, {"ignoreNullFields": "true"}), F.lit("[]"))]
+    if sizes is not None:
+        listed = sizes.select("image", "orig_width", "orig_height", "debug_trace").join(listed, "image", "left")
+    if debug is not None:
+        one = F.concat(F.lit("["), F.to_json(bounds), F.lit(","), json_text(F.col("text")), F.lit(","), F.col("score").cast("string"), F.lit(","), F.col("accepted").cast("string"), F.lit("]"))
+        by_image = debug.groupBy("image").agg(F.sort_array(F.collect_list(F.struct("idx", one.alias("d")))).alias("debug"))
+        listed = listed.join(by_image, "image", "left")
+        parts.append(F.coalesce(F.concat(F.lit(',"debug_detections":['), F.array_join(F.transform("debug", lambda x: x["d"]), ","), F.lit("]")), F.lit("")))
+    if sizes is not None:
+        parts += [F.lit(',"orig_width":'), F.col("orig_width").cast("string"), F.lit(',"orig_height":'), F.col("orig_height").cast("string")]
+        parts.append(F.when(F.col("debug_trace"), ',"debug_trace":true').otherwise(""))
+    return listed.select("image", F.concat(*parts, F.lit("}")).alias("payload"))

@@ -5,7 +5,7 @@ Lines are rows (line_no, value); ``sources.readers.read_lines`` makes them from
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -27,9 +27,19 @@ def scan_bench(lines: DataFrame, prefix: str = FFI_PREFIX) -> DataFrame:
     return last.select("image", "r.detection_count", "r.elapsed_ms", F.when(F.col("image").isNull(), "not a record").when(empty, "no samples").alias("error"))
 
 
+def checked_bench(bench: DataFrame) -> DataFrame:
+    """``bench`` as scanned, unless it holds no record or one with an error: either stops the job."""
+    found = bench.agg(F.count("*").alias("n"), F.min("error").alias("error")).first()
+    if not found["n"]:
+        raise ValueError("no benchmark record in the log")
+    if found["error"]:
+        raise ValueError(f"benchmark log: {found['error']}")
+    return bench.drop("error")
+
+
 def scan_prefixed(lines: DataFrame, paths: DataFrame) -> DataFrame:
     """family, line_no, image, detection_count, elapsed_ms of lines that start with either prefix; ``paths`` (prepared, original) renames images."""
-    v = F.trim("value")
+    v = tx.trimmed(F.col("value"))
     family = F.when(v.startswith(APP_PREFIX), "app").when(v.startswith(FFI_PREFIX), "ffi")
     skip = F.when(F.col("family") == "app", len(APP_PREFIX)).otherwise(len(FFI_PREFIX))
     hit = lines.withColumn("v", v).withColumn("family", family).filter(F.col("family").isNotNull())
@@ -45,8 +55,8 @@ def scan_json(lines: DataFrame, schema: str) -> DataFrame:
 
 def scan_profile(lines: DataFrame, prefix: str = PROFILE_PREFIX) -> DataFrame:
     """line_no, raw: lines that start with ``prefix`` once stripped, without it (the line is stripped before it is cut)."""
-    v = F.trim("value")
-    return lines.filter(v.startswith(prefix)).select("line_no", F.trim(F.substring(v, F.lit(len(prefix) + 1), F.length("value"))).alias("raw"))
+    v = tx.trimmed(F.col("value"))
+    return lines.filter(v.startswith(prefix)).select("line_no", tx.trimmed(F.substring(v, F.lit(len(prefix) + 1), F.length("value"))).alias("raw"))
 
 
 def profile_entries(profile: DataFrame) -> DataFrame:

@@ -53,21 +53,28 @@ def effective_limits(images: DataFrame, limit: int = SCREENSHOT_LIMIT) -> DataFr
         "eff_w": F.when(~long_side, width).when(wide, over("image_w")).otherwise(0)})
 
 
+def _sized(images: DataFrame) -> DataFrame:
+    """Add error for images without a size."""
+    return images.withColumn("error", F.when(~((F.col("image_w") > 0) & (F.col("image_h") > 0)) | F.col("image_w").isNull() | F.col("image_h").isNull(), "empty image"))
+
+
 def fit_resize(images: DataFrame) -> DataFrame:
-    """Add target_w, target_h and the factors back, sx and sy, for limits max_w and max_h; nothing changes if the image fits."""
+    """Add target_w, target_h and the factors back, sx and sy, for limits max_w and max_h; nothing changes if the image fits. Images of no size have an error."""
     ratio = lambda limit, size: F.when((F.col(limit) > 0) & (F.col(size) > F.col(limit)), F.col(limit) / F.col(size)).otherwise(1.0)
     r = F.least(ratio("max_w", "image_w"), ratio("max_h", "image_h"))
-    target = lambda size: F.when(F.col("_r") < 1, F.greatest(F.round(F.col(size) * F.col("_r")).cast("int"), F.lit(1))).otherwise(F.col(size))
-    return images.withColumn("_r", r).withColumns({"target_w": target("image_w"), "target_h": target("image_h")}).withColumns(
+    good = lambda v: F.when(F.col("error").isNull(), v)
+    target = lambda size: good(F.when(F.col("_r") < 1, F.greatest(F.round(F.col(size) * F.col("_r")).cast("int"), F.lit(1))).otherwise(F.col(size)))
+    return _sized(images).withColumn("_r", r).withColumns({"target_w": target("image_w"), "target_h": target("image_h")}).withColumns(
         {"sx": F.col("image_w") / F.col("target_w"), "sy": F.col("image_h") / F.col("target_h")}).drop("_r")
 
 
 def detector_size(images: DataFrame, side: int = 64, kind: str = "min", max_side: int = 4000) -> DataFrame:
-    """Add det_w, det_h: tiny images padded to 32, scaled by ``kind`` (max, min or resize_long), capped, then to multiples of 32."""
+    """Add det_w, det_h: tiny images padded to 32, scaled by ``kind`` (max, min or resize_long), capped, then to multiples of 32. Images of no size have an error."""
     side = max(side, 1)
     cap = max(max_side, side)
+    images = _sized(images)
     tiny = F.col("image_w") + F.col("image_h") < 64
-    padded = images.withColumns({f"_{k}": F.when(tiny, F.greatest(F.lit(32), F.col(f"image_{k}"))).otherwise(F.col(f"image_{k}")) for k in "wh"})
+    padded = images.withColumns({f"_{k}": F.when(F.col("error").isNull(), F.when(tiny, F.greatest(F.lit(32), F.col(f"image_{k}"))).otherwise(F.col(f"image_{k}"))) for k in "wh"})
     longest, shortest = F.greatest("_w", "_h"), F.least("_w", "_h")
     scale = {
         "max": F.when(longest > side, side / longest).otherwise(1.0),
@@ -76,7 +83,7 @@ def detector_size(images: DataFrame, side: int = 64, kind: str = "min", max_side
     scaled = padded.withColumn("_s", scale.cast("double")).withColumns({k: (F.col(k) * F.col("_s")).cast("int") for k in ("_w", "_h")})
     top = F.greatest("_w", "_h")
     capped = scaled.withColumn("_c", F.when(top > cap, cap / top).otherwise(1.0)).withColumns({k: (F.col(k) * F.col("_c")).cast("int") for k in ("_w", "_h")})
-    aligned = lambda k: F.greatest(F.lit(DET_ALIGN), (F.round(F.col(k) / DET_ALIGN) * DET_ALIGN).cast("int"))
+    aligned = lambda k: F.when(F.col("error").isNull(), F.greatest(F.lit(DET_ALIGN), (F.round(F.col(k) / DET_ALIGN) * DET_ALIGN).cast("int")))
     return capped.withColumns({"det_w": aligned("_w"), "det_h": aligned("_h")}).drop("_w", "_h", "_s", "_c")
 
 

@@ -8,21 +8,9 @@ from ..functions import geometry as geo
 from ..operators import blocks, boxes, parity
 from ..sources import views
 from ..sources.views import DET, DET_B
+from .registration import registration
 
-QUERIES, SQL = {}, {}
-
-
-def query(name: str, sql: str | None = None, zero: tuple[str, ...] = ()):
-    """Register a query; in the columns of ``zero``, which rounding may turn into a negative zero, zero has no sign."""
-
-    def add(f):
-        QUERIES[name] = (lambda spark, d: f(spark, d).withColumns({c: F.when(F.col(c) == 0, 0.0).otherwise(F.col(c)) for c in zero})) if zero else f
-        if sql:
-            plain = ", ".join(f"CASE WHEN {c} = 0 THEN 0 ELSE {c} END AS {c}" for c in zero)
-            SQL[name] = f"SELECT * REPLACE ({plain}) FROM ({sql})" if zero else sql
-        return f
-
-    return add
+QUERIES, SQL, query = registration()
 
 
 def _clean(spark, d):
@@ -32,11 +20,6 @@ def _clean(spark, d):
 CLEAN = DET + r""", clean AS (SELECT * REPLACE (regexp_replace(text, '^\s+|\s+$', '', 'g') AS text) FROM det WHERE regexp_replace(text, '^\s+|\s+$', '', 'g') <> '')"""
 
 
-@query("g7_text_blocks")
-def g7(spark, d):
-    return blocks.text_blocks(boxes.with_accepted(views.detections(spark, d), 0.1).filter("accepted"), with_members=True)
-
-
 @query("p1_clean_text", f"WITH {CLEAN} SELECT image, idx, text FROM clean")
 def p1(spark, d):
     return _clean(spark, d).select("image", "idx", "text")
@@ -116,6 +99,84 @@ CAN = f"""((b.x <= g.x + g.w + {REACH} AND b.x + b.w >= g.x - {REACH} AND ((b.y
     OR ({CENTER} <= greatest(g.h, b.h) * 0.6::DOUBLE AND {GAP} <= {REACH}))"""
 
 
+def _over(a: str, b: str) -> str:
+    inter = INTER.replace("g.", f"{a}.").replace("b.", f"{b}.") if (a, b) != ("g", "b") else INTER
+    return f"({inter} / greatest(least({a}.w * {a}.h, {b}.w * {b}.h), 1) >= 0.9 AND (contains({a}.t, {b}.t) OR contains({b}.t, {a}.t)))"
+
+
+MEMBERS = "STRUCT(y DOUBLE, x DOUBLE, idx INTEGER, w DOUBLE, h DOUBLE, t VARCHAR)[]"
+#: Greedy groups of each image, one box a step; then groups without what a larger kept one covers, one group a step.
+BLOCKS = """RECURSIVE {det}, clean AS ({clean}),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY y, x, idx) AS rn FROM clean),
+fold AS (
+    SELECT image, CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE, m {members})[]) AS gs FROM (SELECT DISTINCT image FROM clean)
+    UNION ALL
+    SELECT f.image, b.rn, CASE WHEN pick.nested THEN f.gs
+        WHEN pick.best IS NULL THEN list_append(f.gs, struct_pack(x := b.x, y := b.y, w := b.w, h := b.h, m := [struct_pack(y := b.y, x := b.x, idx := b.idx, w := b.w, h := b.h, t := b.text)]))
+        ELSE list_transform(f.gs, lambda g, i: CASE WHEN i <> pick.best THEN g ELSE struct_pack(x := least(g.x, b.x), y := least(g.y, b.y),
+            w := greatest(g.x + g.w, b.x + b.w) - least(g.x, b.x), h := greatest(g.y + g.h, b.y + b.h) - least(g.y, b.y),
+            m := list_append(g.m, struct_pack(y := b.y, x := b.x, idx := b.idx, w := b.w, h := b.h, t := b.text))) END) END
+    FROM fold f JOIN ordered b ON b.image = f.image AND b.rn = f.rn + 1, LATERAL (
+        SELECT min_by(i, (score, i)) AS best, coalesce(bool_or(nested), false) AS nested FROM (
+            SELECT i, {center} * 10000 + {gap} AS score, len(list_filter(g.m, lambda m: {nested})) > 0 AS nested
+            FROM (SELECT i, f.gs[i] AS g FROM (SELECT unnest(range(1, len(f.gs) + 1)) AS i)) WHERE {can})) pick),
+grouped AS (SELECT image, max_by(gs, rn) AS gs FROM fold GROUP BY image),
+named AS (SELECT image, i, g.x, g.y, g.w, g.h, list_transform(g.m, lambda m: m.t) AS texts FROM (SELECT image, i, gs[i] AS g FROM (SELECT image, gs, unnest(range(1, len(gs) + 1)) AS i FROM grouped))),
+told AS (SELECT *, list_reduce(texts, lambda a, z: CASE WHEN a = z THEN a ELSE a || ' ' || z END) AS t FROM named),
+areas AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY w * h DESC, i) AS rn FROM told),
+keep AS (
+    SELECT image, CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE, t VARCHAR, rn BIGINT)[]) AS kept FROM (SELECT DISTINCT image FROM areas)
+    UNION ALL
+    SELECT k.image, g.rn, CASE WHEN len(list_filter(k.kept, lambda b: {covered})) > 0 THEN k.kept
+        ELSE list_append(k.kept, struct_pack(x := g.x, y := g.y, w := g.w, h := g.h, t := g.t, rn := g.rn)) END
+    FROM keep k JOIN areas g ON g.image = k.image AND g.rn = k.rn + 1),
+left_over AS (SELECT image, unnest(max_by(kept, rn)) AS k FROM keep GROUP BY image),
+blocks AS (SELECT a.image, CAST(row_number() OVER (PARTITION BY a.image ORDER BY a.y, a.x, a.rn) AS INTEGER) AS block, a.t AS text, a.x, a.y, a.w, a.h, a.texts
+    FROM areas a JOIN left_over l ON l.image = a.image AND l.k.rn = a.rn)"""
+
+
+def _blocks_sql(kept: str) -> str:
+    m = lambda e: e.replace("g.", "m.")
+    nested = f"({m(INTER)} / greatest(least(m.w * m.h, b.w * b.h), 1) >= 0.9 AND (contains(m.t, b.text) OR contains(b.text, m.t)))"
+    trimmed = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
+    clean = f"SELECT * REPLACE ({trimmed} AS text) FROM det WHERE {trimmed} <> '' AND {kept}"
+    return BLOCKS.format(det=DET, clean=clean, members=MEMBERS, center=CENTER, gap=GAP, nested=nested, can=CAN, covered=_over("g", "b"))
+
+
+@query("g7_text_blocks", f"WITH {_blocks_sql('score >= 0.1')} SELECT image, block, text, x, y, w, h, array_to_string(texts, '|') AS members FROM blocks")
+def g7(spark, d):
+    found = blocks.text_blocks(boxes.with_accepted(views.detections(spark, d), 0.1).filter("accepted"), with_members=True)
+    return found.withColumn("members", F.array_join("members", "|"))
+
+
+@query("g4_greedy_groups", f"""WITH {_blocks_sql('true')} SELECT image, i AS pos, x, y, w, h, len(texts) AS members FROM named""")
+def g4(spark, d):
+    """Groups before those that a larger one covers are dropped."""
+    items = F.sort_array(F.collect_list(F.struct("y", "x", "idx", "w", "h", "text"))).cast(f"array<{blocks.MEMBER}>")
+    groups = _clean(spark, d).groupBy("image").agg(items.alias("items")).select("image", F.posexplode(blocks.fold_groups(F.col("items"), 20, 15)).alias("p", "g"))
+    return groups.select("image", (F.col("p") + 1).cast("long").alias("pos"), "g.x", "g.y", "g.w", "g.h", F.size("g.members").cast("long").alias("members"))
+
+
+SIZES = "sizes AS (SELECT DISTINCT image, 800 + image % 3 AS orig_width, 736 AS orig_height, image % 4 = 0 AS debug_trace FROM det)"
+
+
+@query("k2_overlay_payload", f"""WITH {_blocks_sql('true')}, {SIZES},
+    shown AS (SELECT image, string_agg('{{"text":' || to_json(text) || ',"bounds":' || to_json(struct_pack(x := x, y := y, width := w, height := h)) ||
+        CASE WHEN image % 2 = 0 THEN ',"members":' || to_json(texts) ELSE '' END || '}}', ',' ORDER BY block) AS groups FROM blocks GROUP BY image),
+    debug AS (SELECT image, string_agg('[' || to_json(struct_pack(x := x, y := y, width := w, height := h)) || ',' || to_json(text) || ',' || round(score, 0) || ',' || (score >= 0.5) || ']', ',' ORDER BY idx) AS d
+        FROM det WHERE image % 3 = 0 GROUP BY image)
+    SELECT s.image, '{{"groups":[' || coalesce(g.groups, '') || ']' || coalesce(',"debug_detections":[' || d.d || ']', '') || ',"orig_width":' || orig_width || ',"orig_height":' || orig_height ||
+        CASE WHEN debug_trace THEN ',"debug_trace":true' ELSE '' END || '}}' AS payload FROM sizes s LEFT JOIN shown g ON g.image = s.image LEFT JOIN debug d ON d.image = s.image""")
+def k2(spark, d):
+    """Payloads with members for even images, debug detections for every third, and the trace flag for every fourth."""
+    det = views.detections(spark, d)
+    sizes = det.select("image").distinct().select("image", (800 + F.col("image") % 3).alias("orig_width"), F.lit(736).alias("orig_height"), (F.col("image") % 4 == 0).alias("debug_trace"))
+    found = blocks.text_blocks(det, with_members=True)
+    found = found.withColumn("members", F.when(F.col("image") % 2 == 0, F.col("members")).otherwise(F.array().cast("array<string>")))
+    debug = boxes.with_accepted(det.filter("image % 3 = 0"), 0.5).withColumn("score", F.round("score", 0))
+    return blocks.overlay_payload(found, sizes, debug)
+
+
 @query("g1_g2_g3_merge_pairs", f"""WITH {CLEAN} SELECT g.image, g.idx AS g_idx, b.idx AS b_idx, {CENTER} * 10000 + {GAP} AS score,
     {INTER} / greatest(least(g.w * g.h, b.w * b.h), 1) AS overlap,
     {INTER} / greatest(least(g.w * g.h, b.w * b.h), 1) >= 0.9 AND (contains(g.text, b.text) OR contains(b.text, g.text)) AS nested
@@ -146,13 +207,31 @@ def f3(spark, d):
     return p.select("image", "idx", geo.shoelace_area(q).alias("area"), geo.point_distance(q[2], q[3]).alias("bottom"), geo.cross(q[0], q[1], q[3]).alias("crossed"))
 
 
-@query("f4_corner_orders")
+POINTS4 = "list_transform([1, 2, 3, 4], lambda i: printf('%.4f,%.4f', {0}[i].x, {0}[i].y))"
+
+
+@query("f4_corner_orders", f"""WITH {DET},
+    turned AS (SELECT *, w / 2 AS dx, h / 2 AS dy, cos(radians(part % 90 + 0.5::DOUBLE)) AS ux, sin(radians(part % 90 + 0.5::DOUBLE)) AS uy FROM det),
+    corners AS (SELECT image, idx, list_transform([[-1, -1], [1, -1], [1, 1], [-1, 1]], lambda c: struct_pack(x := x + c[1] * ux * dx - c[2] * uy * dy, y := y + c[1] * uy * dx + c[2] * ux * dy)) AS p FROM turned),
+    shuffled AS (SELECT image, idx, [p[3], p[1], p[4], p[2]] AS p FROM corners),
+    mean AS (SELECT *, (p[1].x + p[2].x + p[3].x + p[4].x) / 4 AS cx, (p[1].y + p[2].y + p[3].y + p[4].y) / 4 AS cy FROM shuffled),
+    angles AS (SELECT image, idx, p, list_sort(list_transform(p, lambda q, i: struct_pack(a := atan2(q.y - cy, q.x - cx), i := i, x := q.x, y := q.y))) AS s FROM mean),
+    firsts AS (SELECT *, list_position(list_transform(s, lambda q: q.x + q.y), list_min(list_transform(s, lambda q: q.x + q.y))) AS f FROM angles),
+    clock AS (SELECT image, idx, p, list_concat(s[f:], s[:f - 1]) AS c FROM firsts),
+    sides AS (SELECT image, idx, CASE WHEN (c[2].x - c[1].x) * (c[3].y - c[1].y) - (c[2].y - c[1].y) * (c[3].x - c[1].x) < 0 THEN [c[1], c[4], c[3], c[2]] ELSE c END AS c,
+        list_sort(list_transform(p, lambda q: struct_pack(k := round(q.x * 10000) / 10000, y := q.y, x := q.x))) AS s FROM clock),
+    crops AS (SELECT image, idx, c, [CASE WHEN s[2].y > s[1].y THEN s[1] ELSE s[2] END, CASE WHEN s[4].y > s[3].y THEN s[3] ELSE s[4] END,
+        CASE WHEN s[4].y > s[3].y THEN s[4] ELSE s[3] END, CASE WHEN s[2].y > s[1].y THEN s[2] ELSE s[1] END] AS q FROM sides)
+    SELECT image, idx, array_to_string({POINTS4.format('c')}, ' ') AS clockwise, array_to_string({POINTS4.format('q')}, ' ') AS crop,
+        round(least(sqrt((q[1].x - q[2].x) ** 2 + (q[1].y - q[2].y) ** 2), sqrt((q[1].x - q[4].x) ** 2 + (q[1].y - q[4].y) ** 2)), 6) AS short_side FROM crops""")
 def f4(spark, d):
+    """Corners of turned rectangles, dealt out of order; half a degree keeps two corners from being equally far up and left."""
     det = views.detections(spark, d)
-    turned = geo.rotated_corners(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.radians(F.col("part") % 90))
+    turned = geo.rotated_corners(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.radians(F.col("part") % 90 + 0.5))
     shuffled = det.select("image", "idx", F.transform(F.array(F.lit(2), F.lit(0), F.lit(3), F.lit(1)), lambda i: F.get(turned, i)).alias("p"))
-    return shuffled.select("image", "idx", geo.order_clockwise(F.col("p")).alias("clockwise"), geo.crop_order(F.col("p")).alias("crop"),
-                           geo.short_side(geo.crop_order(F.col("p"))).alias("short_side"))
+    told = lambda q: F.array_join(F.transform(q, lambda p: F.format_string("%.4f,%.4f", p["x"], p["y"])), " ")
+    ordered = shuffled.select("image", "idx", geo.order_clockwise(F.col("p")).alias("c"), geo.crop_order(F.col("p")).alias("q"))
+    return ordered.select("image", "idx", told("c").alias("clockwise"), told("q").alias("crop"), F.round(geo.short_side(F.col("q")), 6).alias("short_side"))
 
 
 @query("f5_crop_size", f"WITH {DET} SELECT image, idx, CAST(greatest(trunc(w), 1) AS INTEGER) AS out_w, CAST(greatest(trunc(h), 1) AS INTEGER) AS out_h FROM det")
@@ -176,7 +255,7 @@ def _runs(spark, d):
 
 
 IOU = "w * h / nullif(a_area + b_area - w * h, 0)"
-PAIRS = CLEAN.replace("FROM det WHERE regexp", "FROM det WHERE regexp") + ", " + DET_B.replace("FROM det ", "FROM clean ") + f""",
+PAIRS = CLEAN + ", " + DET_B.replace("FROM det ", "FROM clean ") + f""",
 inter AS (
     SELECT a.image, a.idx AS l, b.idx AS r, a.text AS l_text, b.text AS r_text, a.w * a.h AS a_area, b.w * b.h AS b_area,
            greatest(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x), 0) AS w, greatest(least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y), 0) AS h
@@ -246,11 +325,6 @@ def a17(spark, d):
     return parity.parity_gate(parity.parity_counters(a, b, parity.greedy_match(pairs)))
 
 
-@query("k2_overlay_payload")
-def k2(spark, d):
-    return blocks.overlay_payload(blocks.text_blocks(views.detections(spark, d)))
-
-
 @query("p15_a16_smoke_gate", f"WITH {CLEAN} SELECT (SELECT count(*) FROM det) AS detections, count(*) AS recognised, count(*) > 0 AS passed FROM clean")
 def a16(spark, d):
     det = views.detections(spark, d).agg(F.count("*").alias("detections"))

@@ -5,19 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import corpus, routing
-from ..sources import views
+from ..sources import readers, views
+from .registration import registration
 
-QUERIES, SQL = {}, {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registration()
 
 
 def texts(spark, d):
@@ -43,10 +34,9 @@ def a5(spark, d):
     return corpus.coverage(texts(spark, d), dictionary(spark, d)).withColumn("coverage", F.round("coverage", 6))
 
 
-@query("t3_sample_texts", "SELECT source AS image, string_agg(left(text, 20), '|' ORDER BY doc_id) AS sample FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 10 GROUP BY source")
+@query("t3_sample_texts", "SELECT source AS image, string_agg(text, '|' ORDER BY doc_id) AS sample FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 10 GROUP BY source")
 def t3(spark, d):
-    s = corpus.sample_texts(texts(spark, d).withColumn("text", F.left("text", F.lit(20))))
-    return s.select("image", F.array_join("sample", "|").alias("sample"))
+    return corpus.sample_texts(texts(spark, d)).select("image", F.array_join("sample", "|").alias("sample"))
 
 
 CODES = ["chi", " ZH-Hant", "ru", "ku", "sa", "english", "japan", "zh-sg", "xx", "ch_tra", "", "bg", "ar", "th", "rs_latin"]
@@ -94,6 +84,16 @@ def s8(spark, d):
     return used.join(F.broadcast(codes), F.col("lang") == F.col("code"), "left").agg(F.count("*").alias("in_use"), F.count("code").alias("listed"))
 
 
+@query("s8_language_file", "SELECT lang AS code, 'language ' || lang AS label FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)")
+def s8_file(spark, d):
+    """The languages in use, written as a language file (a list in one document) and read again."""
+    used = views.table(spark, d, "documents").filter(F.col("lang").isNotNull()).select("lang").distinct()
+    entry = F.struct(F.col("lang").alias("code"), F.concat(F.lit("language "), F.col("lang")).alias("label"))
+    path = f"{readers.scratch(spark)}/langs"
+    used.agg(F.to_json(F.sort_array(F.collect_list(entry))).alias("value")).write.text(path)  # one entry a language
+    return readers.read_languages(spark, path)
+
+
 @query("j9_asset_check", """WITH need AS (SELECT p_partkey AS root, unnest(['det', 'cls', 'rec']) AS role FROM part),
     have AS (SELECT root, role, (root + length(role)) % 7 <> 0 AS dir, CASE role WHEN 'det' THEN root % 5 <> 0 ELSE true END AS m, CASE role WHEN 'rec' THEN root % 3 <> 0 ELSE true END AS p FROM need),
     f AS (SELECT root, role, dir AND (m OR p) AS dir, dir AND m AS m, dir AND p AS p FROM have)

@@ -7,18 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import planning as pl
 from ..sources import views
 from ..sources.views import DET
+from .registration import registration
 
-QUERIES, SQL = {}, {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registration()
 
 
 def images(spark, d):
@@ -60,20 +51,24 @@ def p7(spark, d):
     return pl.effective_limits(asked).select("image", "max_w", "max_h", "eff_h", "eff_w")
 
 
-@query("p8_fit_resize", f"""WITH {LIMITS}, r AS (SELECT *, least(CASE WHEN max_w > 0 AND image_w > max_w THEN max_w / image_w ELSE 1 END, CASE WHEN max_h > 0 AND image_h > max_h THEN max_h / image_h ELSE 1 END) AS ratio FROM limits WHERE image_w > 0 AND image_h > 0),
+@query("p8_fit_resize", f"""WITH {LIMITS}, r AS (SELECT *, least(CASE WHEN max_w > 0 AND image_w > max_w THEN max_w / image_w ELSE 1 END, CASE WHEN max_h > 0 AND image_h > max_h THEN max_h / image_h ELSE 1 END) AS ratio FROM limits),
     t AS (SELECT *, CAST(CASE WHEN ratio < 1 THEN greatest(round(image_w * ratio), 1) ELSE image_w END AS INTEGER) AS target_w, CAST(CASE WHEN ratio < 1 THEN greatest(round(image_h * ratio), 1) ELSE image_h END AS INTEGER) AS target_h FROM r)
-    SELECT image, target_w, target_h, round(image_w / target_w, 9) AS sx, round(image_h / target_h, 9) AS sy FROM t""")
+    SELECT image, CASE WHEN image_w > 0 AND image_h > 0 THEN NULL ELSE 'empty image' END AS error, CASE WHEN image_w > 0 AND image_h > 0 THEN target_w END AS target_w,
+           CASE WHEN image_w > 0 AND image_h > 0 THEN target_h END AS target_h, CASE WHEN image_w > 0 AND image_h > 0 THEN round(image_w / target_w, 9) END AS sx,
+           CASE WHEN image_w > 0 AND image_h > 0 THEN round(image_h / target_h, 9) END AS sy FROM t""")
 def p8(spark, d):
-    r = pl.fit_resize(pl.resize_limits(images(spark, d).filter("image_w > 0 and image_h > 0")))
-    return r.select("image", "target_w", "target_h", F.round("sx", 9).alias("sx"), F.round("sy", 9).alias("sy"))
+    r = pl.fit_resize(pl.resize_limits(images(spark, d)))
+    return r.select("image", "error", "target_w", "target_h", F.round("sx", 9).alias("sx"), F.round("sy", 9).alias("sy"))
 
 
 @query("p9_detector_size", f"""WITH {IMAGES}, p AS (SELECT image, CASE WHEN image_w + image_h < 64 THEN greatest(32, image_w) ELSE image_w END AS w, CASE WHEN image_w + image_h < 64 THEN greatest(32, image_h) ELSE image_h END AS h FROM images WHERE image_w > 0 AND image_h > 0),
+    e AS (SELECT image FROM images WHERE NOT (image_w > 0 AND image_h > 0)),
     s AS (SELECT image, CAST(trunc(w * k) AS INTEGER) AS w, CAST(trunc(h * k) AS INTEGER) AS h FROM (SELECT *, CASE WHEN least(w, h) < 736 THEN 736 / least(w, h) ELSE CAST(1 AS DOUBLE) END AS k FROM p)),
     c AS (SELECT image, CAST(trunc(w * k) AS INTEGER) AS w, CAST(trunc(h * k) AS INTEGER) AS h FROM (SELECT *, CASE WHEN greatest(w, h) > 4000 THEN 4000 / greatest(w, h) ELSE CAST(1 AS DOUBLE) END AS k FROM s))
-    SELECT image, CAST(greatest(32, round(w / 32) * 32) AS INTEGER) AS det_w, CAST(greatest(32, round(h / 32) * 32) AS INTEGER) AS det_h FROM c""")
+    SELECT image, NULL AS error, CAST(greatest(32, round(w / 32) * 32) AS INTEGER) AS det_w, CAST(greatest(32, round(h / 32) * 32) AS INTEGER) AS det_h FROM c
+    UNION ALL SELECT image, 'empty image', NULL, NULL FROM e""")
 def p9(spark, d):
-    return pl.detector_size(images(spark, d).filter("image_w > 0 and image_h > 0"), 736).select("image", "det_w", "det_h")
+    return pl.detector_size(images(spark, d), 736).select("image", "error", "det_w", "det_h")
 
 
 def crops(spark, d):

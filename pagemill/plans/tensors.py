@@ -7,27 +7,14 @@ from pyspark.sql import functions as F
 from ..operators import tensors
 from ..sources import views
 from ..sources.views import LOGITS
+from .registration import registration
 
-QUERIES, SQL = {}, {}
-
-
-def query(name: str, sql: str | None = None, zero: tuple[str, ...] = ()):
-    """Register a query; in the columns of ``zero``, which rounding may turn into a negative zero, zero has no sign."""
-
-    def add(f):
-        QUERIES[name] = (lambda spark, d: f(spark, d).withColumns({c: F.when(F.col(c) == 0, 0.0).otherwise(F.col(c)) for c in zero})) if zero else f
-        if sql:
-            plain = ", ".join(f"CASE WHEN {c} = 0 THEN 0 ELSE {c} END AS {c}" for c in zero)
-            SQL[name] = f"SELECT * REPLACE ({plain}) FROM ({sql})" if zero else sql
-        return f
-
-    return add
+QUERIES, SQL, query = registration()
 
 
 def _dictionary(spark, d):
-    """Six letters, so that class 7 lies beyond the dictionary; made from the regions' first rows."""
-    letters = F.array(*[F.lit(c) for c in "abcdef"])
-    return views.table(spark, d, "region").limit(1).select(F.posexplode(letters).alias("class_idx", "ch"))
+    """Six letters, so that class 7 lies beyond the dictionary."""
+    return spark.createDataFrame(list(enumerate("abcdef")), "class_idx int, ch string")
 
 
 def _other(logits):

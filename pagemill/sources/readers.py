@@ -2,24 +2,49 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
+from ..functions.text import json_text
 
 POINTS = "array<array<double>>"
 DETECTION = f"run string, image string, idx int, polygon {POINTS}, bounds struct<x:double,y:double,width:double,height:double>, text string, score double"
 REQUEST = "id int, source string, image_path string, score_thresh double"
 DET_MAP = "image_width int, image_height int, input_shape array<int>, pred_shape array<int>, input_values array<float>, values array<float>"
 DET_CANDIDATES = (
-    "src_width int, src_height int, pred_width int, pred_height int, items array<struct<index:int,mini_side:double,score:double,"
-    "score_mask_pixels:int,score_sum:double,accepted:boolean,reject_reason:string>>")
+    f"src_width int, src_height int, pred_width int, pred_height int, items array<struct<index:int,component_bbox:array<int>,contour:{POINTS},mini_box:{POINTS},"
+    f"mini_side:double,score_bbox:array<int>,score_mask_pixels:int,score_sum:double,score:double,unclipped_box:{POINTS},scaled_box:{POINTS},accepted:boolean,reject_reason:string>>")
 REC_CANDIDATES = (
     "image_width int, image_height int, items array<struct<original_index:int,sorted_index:int,ratio:double,crop_width:int,crop_height:int,"
     f"cls_label:int,cls_score:double,rotated_180:boolean,crop_quad:{POINTS},polygon:{POINTS}>>")
 REC_LOGITS = (
-    "batch_n int, batch_w int, time_steps int, num_classes int, layout int, items array<struct<index:int,original_index:int,ratio:double,"
-    "decoded_text:string,decoded_score:double,rec_width:int,values:array<float>>>")
+    "batch_n int, batch_w int, time_steps int, num_classes int, layout int, input_shape array<int>, output_shape array<int>, items array<struct<index:int,"
+    f"original_index:int,ratio:double,polygon:{POINTS},crop_box:{POINTS},crop_width:int,crop_height:int,decoded_text:string,decoded_score:double,image_width:int,"
+    "image_height:int,raw_channel_means:array<double>,raw_pixels:array<int>,rec_width:int,input_values:array<float>,values:array<float>>>")
+
+
+LANGUAGE = "code string, label string"
+REPORT = "image long, x double, y double, w double, h double"
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors share, below ``spark.checkpoint.dir``; a local one only where driver and executors are one process."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="pagemill-")
+    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def read_languages(spark: SparkSession, path: str) -> DataFrame:
+    """code, label of a language file: one JSON list of entries."""
+    return spark.read.schema(LANGUAGE).json(path, multiLine=True)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -64,6 +89,14 @@ def logit_cells(items: DataFrame, key: str = "original_index") -> DataFrame:
     return cells.select("item", F.floor(F.col("k") / F.col("num_classes")).cast("int").alias("t"), (F.col("k") % F.col("num_classes")).alias("c"), F.col("v").cast("double").alias("p"))
 
 
+def map_pixels(maps: DataFrame, key: str = "dump") -> DataFrame:
+    """map_id, px, py, p of dumped maps; the last two numbers of ``pred_shape`` are height and width, and values beyond them are left out."""
+    h, w = F.element_at("pred_shape", -2), F.element_at("pred_shape", -1)
+    cells = maps.filter((F.size("pred_shape") >= 2) & (h > 0) & (w > 0)).select(F.col(key).alias("map_id"), h.alias("h"), w.alias("w"), F.posexplode("values").alias("k", "v"))
+    cells = cells.filter(F.col("k") < F.col("h") * F.col("w"))
+    return cells.select("map_id", (F.col("k") % F.col("w")).alias("px"), F.floor(F.col("k") / F.col("w")).cast("int").alias("py"), F.col("v").cast("double").alias("p"))
+
+
 def dictionary(entries: DataFrame) -> DataFrame:
     """class_idx, ch from rows (pos, ch): empty entries go, the rest is numbered anew from 0, and a space is added at the end if there is none.
 
@@ -101,27 +134,78 @@ def parsed_requests(lines: DataFrame) -> DataFrame:
         good(F.coalesce("r.score_thresh", F.lit(0.5))).alias("score_thresh"), "error")
 
 
-def nearest_dumps(dumps: DataFrame, candidates: DataFrame) -> DataFrame:
-    """name, nearest: the candidate of the same stage with the least |dx|, then |dy|, |dw|, |dh|, then name; names that do not parse come last.
+def _nearest(queries: DataFrame, candidates: DataFrame, keys: list[str], field: str) -> DataFrame:
+    """Queries (q, ..., and the candidate's ``keys``) with the candidates' value of ``field`` that is nearest to their own, both if two are.
 
-    Both sides: name, d (stage, x, y, w, h).
+    An as-of search to either side among the distinct values of each key: what a key
+    gathers is bounded by the range of coordinates, not by the number of dumps.
     """
-    far = 10**9
-    gap = lambda k: F.coalesce(F.abs(F.col(f"e.{k}") - F.col(f"d.{k}")), F.lit(far))
-    whole = F.col("e.x").isNotNull() & F.col("e.y").isNotNull() & F.col("e.w").isNotNull() & F.col("e.h").isNotNull()
-    distance = F.struct(*[F.when(whole, gap(k)).otherwise(far).alias(k) for k in "xywh"], F.col("other").alias("other"))
-    j = dumps.join(candidates.select(F.col("name").alias("other"), F.col("d").alias("e")), F.col("d.stage") == F.col("e.stage"))
-    return j.groupBy("name").agg(F.min_by("other", distance).alias("nearest"))
+    own = f"own_{field}"
+    there = candidates.select(*keys, field).distinct().select(*keys, F.col(field).alias("at"), F.col(field).alias("known"))
+    asked = queries.select(*keys, F.col(own).alias("at")).distinct().withColumn("known", F.lit(None).cast("int"))
+    line = Window.partitionBy(*keys).orderBy("at")
+    low = F.last("known", ignorenulls=True).over(line.rangeBetween(Window.unboundedPreceding, 0))
+    high = F.first("known", ignorenulls=True).over(line.rangeBetween(0, Window.unboundedFollowing))
+    found = there.unionByName(asked).select(*keys, "at", "known", low.alias("low"), high.alias("high")).filter("known is null")
+    d = F.least(F.col("at") - F.col("low"), F.col("high") - F.col("at"))
+    sides = F.array_distinct(F.array_compact(F.array(F.when(F.col("at") - F.col("low") == d, F.col("low")), F.when(F.col("high") - F.col("at") == d, F.col("high")))))
+    found = found.select(*keys, F.col("at").alias(own), d.alias("d"), F.explode(sides).alias(field))
+    joined = queries.join(found, [*keys, own])
+    least = Window.partitionBy("q")
+    return joined.withColumn("least", F.min("d").over(least)).filter("d = least").drop("d", "least")
 
 
-def detections_json(detections: DataFrame) -> DataFrame:
-    """image, json: polygons rounded to six places, text and score of an image's detections."""
-    p = F.transform(geo.bounds_polygon(*[F.col(c) for c in "xywh"]), lambda q: F.array(F.round(q["x"], 6), F.round(q["y"], 6)))
-    row = F.struct("idx", p.alias("polygon"), "text", F.round("score", 6).alias("score"))
-    listed = detections.groupBy("image").agg(F.sort_array(F.collect_list(row)).alias("d"))
-    return listed.select("image", F.to_json(F.struct(F.transform("d", lambda x: F.struct(x["polygon"].alias("polygon"), x["text"].alias("text"), x["score"].alias("score"))).alias("detections"))).alias("json"))
+def nearest_dumps(dumps: DataFrame, candidates: DataFrame) -> DataFrame:
+    """name, nearest: the candidate of the same stage with the least |dx|, then |dy|, |dw|, |dh|, then name.
+
+    Both sides: name, d (stage, x, y, w, h). Candidates whose numbers do not parse come
+    last, by name; a dump whose own numbers do not parse gets the first name of its stage.
+    Dumps of a stage without candidates are left out, repeated names are one dump. Nothing
+    lists the pairs of a stage: one coordinate after another is searched to either side.
+    """
+    number = [F.col(f"d.{k}").alias(k) for k in "xywh"]
+    whole = reduce(lambda a, b: a & b, [F.col(f"d.{k}").isNotNull() for k in "xywh"])
+    flat = candidates.select(F.col("d.stage").alias("stage"), F.col("name").alias("other"), *number, whole.alias("whole"))
+    asked = dumps.select("name", "d").distinct()
+    queries = asked.filter(whole).select(F.col("name").alias("q"), F.col("d.stage").alias("stage"), *[F.col(f"d.{k}").alias(f"own_{k}") for k in "xywh"])
+    keys = ["stage"]
+    for field in "xywh":
+        queries = _nearest(queries, flat.filter("whole"), keys, field)
+        keys = [*keys, field]
+    names = flat.filter("whole").groupBy(*keys).agg(F.min("other").alias("other"))
+    near = queries.join(names, keys).groupBy(F.col("q").alias("name")).agg(F.min("other").alias("near"))
+    first = flat.groupBy("stage").agg(F.min(F.when(F.col("whole"), F.col("other"))).alias("of_whole"), F.min("other").alias("of_all"))
+    rest = asked.select("name", F.col("d.stage").alias("stage"), whole.alias("parsed")).join(first, "stage")
+    rest = rest.select("name", F.when(F.col("parsed"), F.coalesce("of_whole", "of_all")).otherwise(F.col("of_all")).alias("rest"))
+    return rest.join(near, "name", "left").select("name", F.coalesce("near", "rest").alias("nearest"))
+
+
+def detections_json(detections: DataFrame, with_debug: bool = False) -> DataFrame:
+    """image, json: polygon and text of an image's detections in order, coordinates with six decimals.
+
+    ``accepted``, where there is such a column, says which are detections proper.
+    ``with_debug`` adds all of them as ``debug_detections`` with score and acceptance.
+    """
+    fixed = lambda c: F.format_string("%.6f", c.cast("double"))
+    corners = F.transform(geo.bounds_polygon(*[F.col(c) for c in "xywh"]), lambda q: F.concat(F.lit("["), fixed(q["x"]), F.lit(","), fixed(q["y"]), F.lit("]")))
+    head = F.concat(F.lit('{"polygon":['), F.array_join(corners, ","), F.lit('],"text":'), json_text(F.col("text")))
+    accepted = F.col("accepted") if "accepted" in detections.columns else F.lit(True)
+    score = F.coalesce("score", F.lit(0.0)) if "score" in detections.columns else F.lit(0.0)
+    tail = F.concat(F.lit(',"score":'), fixed(score), F.lit(',"accepted":'), accepted.cast("string"), F.lit("}"))
+    rows = detections.select("image", F.struct("idx", accepted.alias("accepted"), F.concat(head, F.lit("}")).alias("plain"), F.concat(head, tail).alias("debug")).alias("d"))
+    listed = rows.groupBy("image").agg(F.sort_array(F.collect_list("d")).alias("d"))
+    plain = F.array_join(F.transform(F.filter("d", lambda x: x["accepted"]), lambda x: x["plain"]), ",")
+    parts = [F.lit('{"detections":['), plain, F.lit("]")]
+    if with_debug:
+        parts += [F.lit(',"debug_detections":['), F.array_join(F.transform("d", lambda x: x["debug"]), ","), F.lit("]")]
+    return listed.select("image", F.concat(*parts, F.lit("}")).alias("json"))
 
 
 def write_report(rows: DataFrame, path: str, by: str = "run") -> None:
     """One JSON row per image, in a folder per run."""
     rows.write.mode("overwrite").partitionBy(by).json(path)
+
+
+def read_report(spark: SparkSession, path: str, schema: str = REPORT, by: str = "run int") -> DataFrame:
+    """The rows of ``write_report``, their run taken from the folders."""
+    return spark.read.schema(f"{schema}, {by}").json(path)

@@ -23,8 +23,13 @@ def current_results(events: DataFrame, opens: str = "capture", answers: str = "r
     return events.withColumn("_newest", newest).filter((F.col("kind") == answers) & (F.col("gen") == F.col("_newest"))).drop("_newest")
 
 
-def stream_current_results(events: DataFrame, opens: str = "capture", answers: str = "result", idle_ms: int = 3_600_000) -> DataFrame:
-    """The same over a stream: one number of state per session, dropped after ``idle_ms`` without events."""
+def stream_current_results(events: DataFrame, opens: str = "capture", answers: str = "result", delay: str = "10 minutes", idle_ms: int = 3_600_000) -> DataFrame:
+    """The same over a stream: one number of state per session, dropped ``idle_ms`` of event time after its last event.
+
+    Events may come up to ``delay`` late; within a batch they are put in order, and what is
+    later than that is dropped. Timeouts follow the watermark, so a run over what is there
+    ends by itself.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -39,11 +44,13 @@ def stream_current_results(events: DataFrame, opens: str = "capture", answers: s
             keep.append(kind == answers and gen == newest)
         if newest is not None:
             state.update((int(newest),))
-        state.setTimeoutDuration(idle_ms)
-        yield rows[keep][["session", "ts", "seq", "kind", "gen"]]
+            state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms)
+        kept = rows[keep][["session", "ts", "seq", "kind", "gen"]]
+        if len(kept):
+            yield kept
 
-    return events.groupBy("session").applyInPandasWithState(
-        step, "session long, ts timestamp, seq long, kind string, gen long", "newest long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark("ts", delay).groupBy("session").applyInPandasWithState(
+        step, "session long, ts timestamp, seq long, kind string, gen long", "newest long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def active_replies(events: DataFrame) -> DataFrame:
@@ -51,6 +58,11 @@ def active_replies(events: DataFrame) -> DataFrame:
     return current_results(events, "request", "reply")
 
 
+def stream_active_replies(events: DataFrame, **bounds) -> DataFrame:
+    """The same over a stream; see ``stream_current_results`` for the bounds."""
+    return stream_current_results(events, "request", "reply", **bounds)
+
+
 def elapsed_ms(started: Column, now: Column) -> Column:
     """Whole milliseconds from start to now; null without a start, and for differences that are negative or not finite."""
     gap = now - started

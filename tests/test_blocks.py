@@ -1,10 +1,12 @@
 """Text blocks against known results and against a plain model."""
 
+import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from pagemill.operators.blocks import overlay_payload, text_blocks
+from pagemill.operators.blocks import overlay_payload, text_blocks, uncrowded
 
 SCHEMA = "image int, idx int, x double, y double, w double, h double, text string"
 
@@ -32,6 +34,51 @@ def test_known(spark, boxes, source, want):
     assert blocks(spark, boxes, source=source) == want
 
 
+@pytest.mark.parametrize(
+    "boxes, source, want",
+    [
+        ([], "en", []),
+        ([(10, 10, 80, 20, "Hello")], "en", ["Hello"]),
+        ([(0, 0, 50, 20, "Left"), (100, 0, 50, 20, "Right")], "en", ["Left", "Right"]),
+        ([(0, 0, 60, 22, "Alpha"), (84, 2, 70, 22, "Beta")], "en", ["Alpha Beta"]),
+        ([(0, 0, 120, 22, "The quick"), (70, 0, 100, 22, "quick brown"), (150, 0, 80, 22, "fox")], "en", ["The quick quick brown fox"]),
+        ([(0, 0, 80, 22, "2026-04"), (84, 0, 40, 22, "04")], "ch", ["2026-0404"]),
+        ([(0, 0, 100, 20, "Line"), (0, 25, 100, 20, "two")], "en", ["Line two"]),
+        ([(0, 0, 100, 20, "Para"), (0, 40, 100, 20, "Two")], "en", ["Para", "Two"]),
+        ([(0, 0, 50, 20, "  "), (0, 30, 50, 20, "你好"), (0, 60, 80, 20, "Answer")], "en", ["你好 Answer"]),
+        ([(0, 0, 40, 20, "你好"), (50, 0, 40, 20, "世界")], "ch", ["你好世界"]),
+        ([(0, 30, 100, 20, "Two"), (0, 0, 100, 20, "One")], "en", ["One Two"]),
+        ([(0, 0, 50, 20, "Alpha"), (0, 100, 50, 20, "Beta"), (0, 200, 50, 20, "Gamma")], "en", ["Alpha", "Beta", "Gamma"]),
+        ([(0, 0, 80, 20, "Left"), (500, 0, 80, 20, "Right"), (0, 25, 80, 20, "line"), (500, 25, 80, 20, "two")], "en", ["Left line", "Right two"]),
+        ([(500, 0, 80, 20, "Right"), (0, 25, 80, 20, "left")], "en", ["Right", "left"]),
+        ([(10, 10, 220, 24, "The quick brown fox"), (40, 10, 100, 24, "quick brown")], "en", ["The quick brown fox"]),
+        ([(10, 10, 220, 24, "ABCDE"), (20, 10, 60, 24, "XYZ")], "ch", ["ABCDEXYZ"]),
+    ],
+)
+def test_known_texts(spark, boxes, source, want):
+    assert [t for t, _ in blocks(spark, boxes, source=source)] == want
+
+
+def test_known_bounds(spark):
+    assert blocks(spark, [(10, 5, 50, 20, "Hello"), (70, 5, 50, 20, "World")]) == [("Hello World", (10, 5, 110, 20))]
+
+
+def test_crowded_images_are_reported(spark):
+    rows = spark.createDataFrame([(i, k, 0.0, 30.0 * k, 5.0, 5.0, "a") for i in (1, 2) for k in range(3 * i)], SCHEMA)
+    fit, crowded = uncrowded(rows, most=4)
+    assert fit.select("image").distinct().collect() == [(1,)] and [tuple(r) for r in crowded.collect()] == [(2, 6)]
+
+
+def test_payload_with_sizes_and_debug(spark):
+    rows = spark.createDataFrame([(1, 1, 0.0, 0.0, 50.0, 20.0, "A")], SCHEMA)
+    sizes = spark.createDataFrame([(1, 100, 50, False), (2, 10, 5, True)], "image int, orig_width int, orig_height int, debug_trace boolean")
+    debug = rows.withColumns({"score": F.lit(0.5), "accepted": F.lit(True)})
+    got = {r.image: json.loads(r.payload) for r in overlay_payload(text_blocks(rows), sizes, debug).collect()}
+    assert got[2] == {"groups": [], "orig_width": 10, "orig_height": 5, "debug_trace": True}
+    assert set(got[1]) == {"groups", "orig_width", "orig_height", "debug_detections"}
+    assert got[1]["debug_detections"] == [[{"x": 0, "y": 0, "width": 50, "height": 20}, "A", 0.5, True]]
+
+
 def model(boxes, x_gap=20, y_gap=15):
     def inter(a, b):
         w = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])

@@ -1,11 +1,13 @@
 """Readers on real files, streaming rules against their batch form, and expressions without SQL."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from pagemill.functions import geometry as geo
+from pagemill.functions import text
 from pagemill.operators import logs, routing
 from pagemill.sources import readers
 from pagemill.streaming import sessions
@@ -33,6 +35,67 @@ def test_indented_profile_line_is_stripped_first(spark):
     assert entry.raw == "a=1, b=x=y, a=2," and entry.fields == {"a": "2,", "b": "x=y,"}
 
 
+def test_tab_indented_lines_are_kept(spark):
+    lines = spark.createDataFrame([(1, "\t run_pipeline profile a=1\t"), (2, '\t[FFI_BENCH] {"image":"a.png","detection_count":1,"elapsed_ms":[2]}')], "line_no int, value string")
+    assert [r.raw for r in logs.scan_profile(lines).collect()] == ["a=1"]
+    none = spark.createDataFrame([], "prepared string, original string")
+    assert [(r.family, r.image) for r in logs.scan_prefixed(lines, none).collect()] == [("ffi", "a.png")]
+
+
+@pytest.mark.parametrize("value, why", [("noise", "no benchmark record"), ("[FFI_BENCH] oops", "not a record"), ('[FFI_BENCH] {"image":"a","elapsed_ms":[]}', "no samples")])
+def test_a_log_without_good_records_is_an_error(spark, value, why):
+    with pytest.raises(ValueError, match=why):
+        logs.checked_bench(logs.scan_bench(spark.createDataFrame([(1, value)], "line_no int, value string")))
+
+
+def test_language_file(spark, tmp_path):
+    (tmp_path / "langs.json").write_text('[\n  { "code": "ch", "label": "Chinese" },\n  { "code": "en", "label": "English" }\n]\n')
+    assert [tuple(r) for r in readers.read_languages(spark, str(tmp_path)).collect()] == [("ch", "Chinese"), ("en", "English")]
+
+
+def test_detections_json_is_written_with_six_decimals(spark):
+    rows = spark.createDataFrame([(1, 1, 1.0, 2.0, 3.5, 4.0, 'a"b', 0.25, False), (1, 2, 0.0, 0.0, 1.0, 1.0, "c", 0.9, True), (2, 1, 0.0, 0.0, 1.0, 1.0, None, 0.1, False)],
+        "image int, idx int, x double, y double, w double, h double, text string, score double, accepted boolean")
+    plain = {r.image: r.json for r in readers.detections_json(rows).collect()}
+    assert plain[1] == '{"detections":[{"polygon":[[0.000000,0.000000],[1.000000,0.000000],[1.000000,1.000000],[0.000000,1.000000]],"text":"c"}]}'
+    assert plain[2] == '{"detections":[]}'
+    debug = json.loads({r.image: r.json for r in readers.detections_json(rows, with_debug=True).collect()}[1])
+    assert [(d["text"], d["score"], d["accepted"]) for d in debug["debug_detections"]] == [('a"b', 0.25, False), ("c", 0.9, True)]
+    assert debug["debug_detections"][0]["polygon"][2] == [4.5, 6.0]
+
+
+def test_report_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 0.0, 1.0, 2.0, 3.0, 0), (2, 0.5, 1.0, 2.0, 3.0, 1)], "image long, x double, y double, w double, h double, run int")
+    readers.write_report(rows, str(tmp_path / "r"))
+    assert sorted(tuple(r) for r in readers.read_report(spark, str(tmp_path / "r")).collect()) == sorted(tuple(r) for r in rows.collect())
+
+
+def test_nearest_dumps_against_brute_force(spark):
+    rng = random.Random(4)
+    name = lambda stage, p: f"{stage}_{p[0]}_{p[1]}_{p[2]}x{p[3]}"
+    some = lambda n, stage: {name(stage, [rng.randrange(12) for _ in range(4)]) for _ in range(n)}
+    asked = some(80, "det_crop") | some(20, "rec_crop") | {"det_crop_a_1_2x3", "cls_crop_1_1_1x1", "odd_crop_1_2_3x4"}
+    there = {f"sidecar_{x}" for x in some(40, "det_crop") | some(3, "rec_crop")} | {"sidecar_det_crop_x_y_1x1", "sidecar_odd_crop_1", "sidecar_odd_crop_0_b_1x2"}
+
+    def parsed(x):
+        parts = x.removeprefix("sidecar_").split("_")
+        try:
+            w, h = map(int, parts[4].split("x", 1))
+            return "_".join(parts[:2]), (int(parts[2]), int(parts[3]), w, h)
+        except (ValueError, IndexError):
+            return "_".join(parts[:2]), None
+
+    want = {}
+    for a in asked:
+        stage, p = parsed(a)
+        own = [(parsed(b)[1], b) for b in there if parsed(b)[0] == stage]
+        far = (10**9,) * 4
+        if own:
+            want[a] = min((tuple(abs(u - v) for u, v in zip(q, p, strict=True)) if q and p else far, b) for q, b in own)[1]
+    table = lambda names: spark.createDataFrame([(x,) for x in sorted(names)], "name string").withColumn("d", text.dump_name(F.col("name")))
+    assert {r.name: r.nearest for r in readers.nearest_dumps(table(asked), table(there)).collect()} == want
+
+
 def test_detections_of_either_shape(spark, tmp_path):
     rows = [{"image": "i", "idx": 1, "polygon": [[0, 0], [5, 0], [5, 2], [0, 2]], "text": "a"}, {"image": "i", "idx": 2, "bounds": {"x": 0, "y": 0, "width": 5, "height": 2}, "text": "b"}]
     (tmp_path / "d.json").write_text("\n".join(map(json.dumps, rows)))
@@ -84,6 +147,41 @@ def test_stale_results_stream_equals_batch(spark, tmp_path):
     assert {r.seq for r in spark.sql("select seq from fresh").collect()} == want
 
 
+def test_stale_results_stream_over_several_batches(spark, tmp_path):
+    """One file a batch: the state outlives batches, and a run over what is there ends."""
+    events = _events(spark)
+    for k in range(1, 7):
+        events.filter(F.col("seq") == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in"))
+    q = sessions.stream_current_results(source).writeStream.format("memory").queryName("fresh_parts").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(180)
+    assert {r.seq for r in spark.sql("select seq from fresh_parts").collect()} == {2, 5}
+
+
+def test_active_replies_stream_equals_batch(spark, tmp_path):
+    events = _events(spark).withColumn("kind", F.when(F.col("kind") == "capture", "request").otherwise("reply"))
+    want = {r.seq for r in sessions.active_replies(events).collect()}
+    assert want == {2, 5}
+    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = sessions.stream_active_replies(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")))
+    q = stream.writeStream.format("memory").queryName("replies").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    assert {r.seq for r in spark.sql("select seq from replies").collect()} == want
+
+
+def test_elapsed_stream_equals_batch(spark, tmp_path):
+    ids = spark.createDataFrame([(1, 1_000, 1_250), (2, 2_000, 1_500), (3, 3_000, 3_000), (4, 5_000, 5_000 + 3_600_000)], "id long, a long, b long")
+    starts, ends = ids.select("id", F.timestamp_millis("a").alias("started_at")), ids.select("id", F.timestamp_millis("b").alias("ended_at"))
+    assert {(r.id, r.elapsed) for r in sessions.with_elapsed(starts, ends).collect()} == {(1, 250), (2, None), (3, 0), (4, 3_600_000)}
+    starts.coalesce(1).write.parquet(str(tmp_path / "a"))
+    ends.coalesce(1).write.parquet(str(tmp_path / "b"))
+    read = lambda df, name: spark.readStream.schema(df.schema).parquet(str(tmp_path / name))
+    stream = sessions.with_elapsed(read(starts, "a"), read(ends, "b"), stream=True)
+    q = stream.writeStream.format("memory").queryName("elapsed").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    assert {(r.id, r.elapsed) for r in spark.sql("select * from elapsed").collect()} == {(1, 250), (3, 0)}  # in time, and after its start
+
+
 def test_request_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/r.txt").write_text('{"id":1,"source":"en","image_path":"a"}\noops\n{"id":2,"source":"en"}\n')
