@@ -109,6 +109,39 @@ def test_near_duplicates_chain_and_blocks(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_near_duplicates_in_a_crowded_bucket(spark, monkeypatch):
+    """Members far from each other and clusters of their own in shared buckets, so that buckets are banded again and visited in blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    rng = random.Random(6)
+    frame = [f"w{i}" for i in range(80)]
+    rows = []
+    for k in range(60):
+        line = list(frame)
+        for at in rng.sample(range(80), rng.choice([1, 2, 6, 9])):  # similarities from 0.4 to 0.95, over and under the mark
+            line[at] = f"v{rng.randrange(6)}"
+        rows.append((k, " ".join(line)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs(spark, rows)).collect()}
+    assert got == brute_components(rows)
+
+
+def test_rows_of_one_id_and_different_texts(spark):
+    rows = [(5, GOOD), (5, "quite another text with seven words here"), (3, GOOD + " end"), (None, GOOD)]
+    got = minhash.near_duplicates(docs(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, True), (3, 3, True), (5, 3, False), (5, 5, True)]
+
+
+def test_near_duplicate_recall(spark):
+    """All rows against queries with an id divisible by 50, on full sets."""
+    d = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").collect()
+    sets = {}
+    for i, t in d:
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    component = {r.doc_id: r.component_id for r in minhash.near_duplicates(table(spark, "/root/testdata/sf0.01", "documents")).collect()}
+    links = [(a, b) for a in sets if a % 50 == 0 and sets[a] for b in sets if a != b and 100 * (n := len(sets[a] & sets[b])) >= 75 * (len(sets[a]) + len(sets[b]) - n)]
+    assert links and sum(component[a] == component[b] for a, b in links) == len(links)
+
+
 def test_near_duplicates_edges(odd, none):
     got = minhash.near_duplicates(odd).collect()
     assert len(got) == len(ODD)
