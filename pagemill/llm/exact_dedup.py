@@ -10,7 +10,7 @@ are shuffled, and none of their groups exceeds ``support`` of the input.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import SPACE_CHARS, rows_kept, with_rows, written
@@ -49,14 +49,11 @@ def _judged(docs: DataFrame, row: Column, id_col: str, text_col: str, support: f
         "winners",
     )
     hot = digests.join(F.broadcast(winners), "text_sha256")
-    group = Window.partitionBy("text_sha256")
-    best_first = group.orderBy(F.col("points").desc(), F.col("doc_id").asc_nulls_last(), "row")
-    cold = (
-        digests.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
-        .withColumn("group_size", F.count("*").over(group))
-        .withColumn("keep_id", F.first("doc_id").over(best_first))
-        .withColumn("keep_row", F.first("row").over(best_first))
-    )
+    rest = digests.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
+    # counted and compared before the shuffle, so what travels for a group is one row a task, and then its rows once
+    best = rest.groupBy("text_sha256").agg(F.count("*").alias("group_size"), F.max_by(F.struct("doc_id", "row"), rank).alias("best"))
+    best = best.select("text_sha256", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"))
+    cold = rest.join(best.hint("merge"), "text_sha256")
     return hot.unionByName(cold).select(
         "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256", "row"
     )
