@@ -8,7 +8,9 @@ then a word of that class; one more class stands for all words beyond its vocabu
 which then have their share of the training counts, with one place for unseen words.
 Training runs in parallel replicas over every token of every training text, once: texts
 are cut into windows with truncated backpropagation, the state is carried from window to
-window to the text's end, and the replicas' weights are averaged after each round.
+window to the text's end, and the replicas' weights are averaged after each round. A hash
+of id and text deals texts to replicas of a bounded size, and orders them there, so the
+weights do not depend on how the input is split into tasks.
 Scoring carries the state through whole texts, so a score is the log-likelihood of the
 complete document.
 """
@@ -21,10 +23,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import remainder, shipped, written
+from ._shared import parts, remainder, shipped, written
 
 #: The token that ends a text; no word is empty.
 END = b""
@@ -81,46 +84,67 @@ def initial_weights(counts: np.ndarray, rare: int) -> np.ndarray:
     return flat
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-
 def _steps(w: dict, x: np.ndarray, h: np.ndarray, keep: bool):
     """Run the GRU over inputs (T, B, 3H); returns states (T, B, H) and what backpropagation needs."""
     out = np.empty((*x.shape[:2], HIDDEN), dtype=np.float32)
     saved = []
     for t in range(len(x)):
         u = h @ w["w_h"]
-        zr = _sigmoid(x[t, :, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
+        zr = x[t, :, : 2 * HIDDEN] + u[:, : 2 * HIDDEN]
+        zr *= 0.5  # a sigmoid, by way of tanh
+        np.tanh(zr, out=zr)
+        zr += 1
+        zr *= 0.5
         z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        n = np.tanh(x[t, :, 2 * HIDDEN :] + r * u[:, 2 * HIDDEN :])
-        new = n + z * (h - n)
+        n = r * u[:, 2 * HIDDEN :]
+        n += x[t, :, 2 * HIDDEN :]
+        np.tanh(n, out=n)
+        new = out[t]
+        np.subtract(h, n, out=new)
+        new *= z
+        new += n
         if keep:
             saved.append((h, z, r, n, u[:, 2 * HIDDEN :]))
-        out[t] = h = new
+        h = new
     return out, saved
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The probabilities of rows of logits, in place, and what their logarithms are short of the logits."""
+    most = x.max(axis=1, keepdims=True)
+    x -= most
+    np.exp(x, out=x)
+    total = x.sum(axis=1, keepdims=True)
+    x /= total
+    return x, most[:, 0] + np.log(total[:, 0])
 
 
-def _by_class(cls: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def _by_class(cls: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """An order in which rows of a class lie together, and where those of each class lie in it."""
     order = np.argsort(cls, kind="stable")
     bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        if bounds[c] < bounds[c + 1]:
-            yield c, order[bounds[c] : bounds[c + 1]]
+    return order, [(c, slice(bounds[c], bounds[c + 1])) for c in range(CLASSES) if bounds[c] < bounds[c + 1]]
+
+
+def _picked(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log probability of one logit of each row."""
+    most = x.max(axis=1)
+    own = x[np.arange(len(x)), at] - most
+    x -= most[:, None]
+    np.exp(x, out=x)
+    return own - np.log(x.sum(axis=1))
 
 
 def log_probabilities(w: dict, h: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log probability of each target word index (RARE: the class of all rare words) after state h."""
     cls = np.minimum(target // PER_CLASS, CLASSES)
-    out = _log_softmax(h @ w["w_c"] + w["b_c"])[np.arange(len(h)), cls]
-    for c, at in _by_class(cls):
-        word = _log_softmax(h[at] @ w["w_o"][c] + w["b_o"][c])
-        out[at] += word[np.arange(len(at)), target[at] - c * PER_CLASS]
+    out = _picked(h @ w["w_c"] + w["b_c"], cls)
+    order, classes = _by_class(cls)
+    h, words = h[order], (target - cls * PER_CLASS)[order]
+    own = np.zeros(len(h), dtype=np.float32)
+    for c, at in classes:
+        own[at] = _picked(h[at] @ w["w_o"][c] + w["b_o"][c], words[at])
+    out[order] += own
     return out
 
 
@@ -141,34 +165,43 @@ class Trainer:
         hs, tg = states.reshape(-1, HIDDEN)[live], target.reshape(-1)[live]
         scale = np.float32(1 / max(1, len(live)))
         cls = np.minimum(tg // PER_CLASS, CLASSES)
-        d = np.exp(_log_softmax(hs @ w["w_c"] + w["b_c"]))
+        d = _softmax(hs @ w["w_c"] + w["b_c"])[0]
         d[np.arange(len(live)), cls] -= 1
         d *= scale
         g["w_c"][:], g["b_c"][:] = hs.T @ d, d.sum(axis=0)
         dh_live = d @ w["w_c"].T
-        for c, at in _by_class(cls):
-            d = np.exp(_log_softmax(hs[at] @ w["w_o"][c] + w["b_o"][c]))
-            d[np.arange(len(at)), tg[at] - c * PER_CLASS] -= 1
+        order, classes = _by_class(cls)
+        hs, words, own = hs[order], (tg - cls * PER_CLASS)[order], np.zeros_like(dh_live)
+        for c, at in classes:
+            d = _softmax(hs[at] @ w["w_o"][c] + w["b_o"][c])[0]
+            d[np.arange(len(d)), words[at]] -= 1
             d *= scale
             g["w_o"][c], g["b_o"][c] = hs[at].T @ d, d.sum(axis=0)
-            dh_live[at] += d @ w["w_o"][c].T
+            own[at] = d @ w["w_o"][c].T
+        dh_live[order] += own
         dh_all = np.zeros((states.shape[0] * states.shape[1], HIDDEN), dtype=np.float32)
         dh_all[live] = dh_live
         dh_all = dh_all.reshape(states.shape)
-        dx, dh = np.empty((*inputs.shape, 3 * HIDDEN), dtype=np.float32), np.zeros_like(h)
+        dx, du = np.empty((*inputs.shape, 3 * HIDDEN), dtype=np.float32), np.empty((*inputs.shape, 3 * HIDDEN), dtype=np.float32)
+        dh, back = np.zeros_like(h), np.ascontiguousarray(w["w_h"].T)
         for t in reversed(range(len(inputs))):
             before, z, r, n, u_n = saved[t]
-            dh = dh + dh_all[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (before - n) * z * (1 - z)
-            dr = dn * u_n * r * (1 - r)
-            dx[t] = np.concatenate([dz, dr, dn], axis=1)
-            du = np.concatenate([dz, dr, dn * r], axis=1)
-            g["w_h"][:] += before.T @ du
-            dh = dh * z + du @ w["w_h"].T
+            dh += dh_all[t]
+            kept = dh * z
+            dn = (dh - kept) * (1 - n * n)
+            dx[t, :, :HIDDEN] = du[t, :, :HIDDEN] = (before - n) * kept * (1 - z)
+            dx[t, :, HIDDEN : 2 * HIDDEN] = du[t, :, HIDDEN : 2 * HIDDEN] = dn * u_n * r * (1 - r)
+            dx[t, :, 2 * HIDDEN :] = dn
+            np.multiply(dn, r, out=du[t, :, 2 * HIDDEN :])
+            dh = kept + du[t] @ back
+        entered = np.concatenate([h[None], states[:-1]]).reshape(-1, HIDDEN)
+        g["w_h"][:] = entered.T @ du.reshape(-1, 3 * HIDDEN)
         flat_dx = dx.reshape(-1, 3 * HIDDEN)
         g["w_x"][:], g["b_x"][:] = e.reshape(-1, EMBEDDED).T @ flat_dx, flat_dx.sum(axis=0)
-        np.add.at(g["embed"], inputs.reshape(-1), flat_dx @ w["w_x"].T)
+        seen = inputs.reshape(-1)
+        by_word = np.argsort(seen, kind="stable")
+        words, first = np.unique(seen[by_word], return_index=True)
+        g["embed"][words] = np.add.reduceat((flat_dx @ w["w_x"].T)[by_word], first, axis=0)
         norm = float(np.sqrt((flat_g * flat_g).sum()))
         if norm > 1:
             flat_g /= norm
@@ -255,44 +288,43 @@ def learn(trainer: Trainer, lines: list[np.ndarray], width: int, rows: int) -> N
             h, last = trainer.window(inputs, target, weight, h[: len(parts)]), target[-1]
 
 
-def train(texts: DataFrame, lexicon: Lexicon, rounds: int = 2, width: int = 32, rows: int = 128, rate: float = 0.01, held_tokens: int = 4_000_000) -> np.ndarray:
+def train(texts: DataFrame, lexicon: Lexicon, rounds: int = 2, width: int = 32, rows: int = 256, rate: float = 0.015, replica_tokens: int = 2_000_000) -> np.ndarray:
     """Weights after ``rounds`` rounds; ``texts`` (doc_id, text) are split among the rounds, and each is learned whole.
 
-    A task holds texts of about ``held_tokens`` tokens (two bytes each) at a time, so that
-    texts of like length can be found. Replicas are averaged, each counting by its tokens,
-    slice by slice, so the driver gets one set of weights however many tasks there are.
+    A replica learns the texts of one part, about ``replica_tokens`` tokens, so their number
+    grows with the corpus. Replicas are averaged, each counting by its tokens, slice by
+    slice, so the driver gets one set of weights however many there are.
     """
     spark = texts.sparkSession
     flat = initial_weights(lexicon.counts[:VOCABULARY], lexicon.rare_total)
     network = {w: i for i, w in enumerate(lexicon.words[:VOCABULARY])}
-    shared_words = spark.sparkContext.broadcast(network)
-    slices = 64
+    shared_words = shipped(spark, network)
+    slices, n_parts = 64, max(1, round(lexicon.total / rounds / replica_tokens))
+    order = F.xxhash64("doc_id", "text", F.lit(3))
+    spread = F.coalesce("doc_id", F.monotonically_increasing_id())  # texts without an id do not all meet in one part
+    dealt = texts.select("text", order.alias("order"), F.pmod(F.xxhash64(spread, "text", F.lit(5)), F.lit(rounds * n_parts)).cast("int").alias("part"))
+
+    def replica(shared, step: float):
+        def run(group: pa.Table) -> pa.Table:
+            trainer, get = Trainer(shared(), step), shared_words().get
+            group = group.sort_by("order")
+            lines = [np.array([get(x, RARE) for x in tokens(t.as_py())], dtype=np.int16) for t in group.column("text")]
+            learn(trainer, lines, width, rows)
+            seen = sum(map(len, lines))
+            pieces = [p.tobytes() for p in np.array_split(trainer.flat.astype(np.float64) * seen, slices)]
+            columns = [pa.array(range(slices), pa.int32()), pa.array([group.column("part")[0].as_py()] * slices, pa.int32()), pa.array([seen] * slices, pa.int64()), pa.array(pieces, pa.binary())]
+            return pa.table(columns, names=["slice", "part", "seen", "weights"])
+
+        return run
+
+    def mean(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("part")
+        total = sum(np.frombuffer(x) for x in group["weights"]) / group["seen"].sum()
+        return pd.DataFrame({"slice": group["slice"].iloc[:1], "weights": [total.astype(np.float32).tobytes()]})
+
     for k in range(rounds):
-        shared = spark.sparkContext.broadcast(flat)
-        step = rate / (1 + k)
-
-        def replica(batches: Iterator[pd.DataFrame], shared=shared, step=step) -> Iterator[pd.DataFrame]:
-            trainer, get, held, waiting, seen = Trainer(shared.value, step), shared_words.value.get, [], 0, 0
-            for batch in batches:
-                for text in batch["text"]:
-                    held.append(np.array([get(x, RARE) for x in tokens(text)], dtype=np.int16))
-                    waiting += len(held[-1])
-                    if waiting >= held_tokens:
-                        learn(trainer, held, width, rows)
-                        held, waiting, seen = [], 0, seen + waiting
-            if held:
-                learn(trainer, held, width, rows)
-                seen += waiting
-            if seen:
-                pieces = np.array_split(trainer.flat.astype(np.float64) * seen, slices)
-                yield pd.DataFrame({"slice": range(slices), "seen": seen, "weights": [p.tobytes() for p in pieces]})
-
-        def mean(group: pd.DataFrame) -> pd.DataFrame:
-            total = sum(np.frombuffer(x) for x in group["weights"]) / group["seen"].sum()
-            return pd.DataFrame({"slice": group["slice"].iloc[:1], "weights": [total.astype(np.float32).tobytes()]})
-
-        part = texts.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(rounds)) == k)
-        replicas = part.select("text").mapInPandas(replica, "slice int, seen long, weights binary")
+        part = dealt.filter(F.col("part") % rounds == k)
+        replicas = part.groupBy("part").applyInArrow(replica(shipped(spark, flat), rate / (1 + k)), "slice int, part int, seen long, weights binary")
         averaged = replicas.groupBy("slice").applyInPandas(mean, "slice int, weights binary").toPandas().sort_values("slice")
         if len(averaged):
             flat = np.concatenate([np.frombuffer(x, dtype=np.float32) for x in averaged["weights"]])
@@ -329,48 +361,49 @@ def score_texts(docs: DataFrame, counts: DataFrame, lexicon: Lexicon, flat: np.n
     """row, doc_id, n_tokens, n_known, base_score, score of each row of ``docs`` (row, doc_id, text)."""
     shared = shipped(docs.sparkSession, (lexicon, flat))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, flat = shared()
         get = lexicon.index().get
         logs = np.log10(lexicon.counts + 1.0)
-        empty = {"doc_id": None, "n_tokens": 0, "n_known": 0, "known_log": 0.0, "rare_log": 0.0, "n_rare": 0, "network": 0.0}
-        for batch in batches:
+
+        def table(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), TYPES, strict=True)], FIELDS)
+
+        for batch in parts(batches, 2000):
             lines, out, tail = [], [], []
-            for row, text in zip(batch["row"], batch["text"], strict=True):
+            for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 line = tokens(text)
                 at = np.array([get(x, -1) for x in line], dtype=np.int64)
                 missing = np.flatnonzero(at < 0)
                 for word, n in Counter(line[i] for i in missing).items():
-                    tail.append((row, word, n))
+                    tail.append((row, None, None, None, None, None, None, word, n))
                 known = at[at >= 0]
                 rare = known[known >= VOCABULARY]
                 out.append((row, len(line), len(known), float(logs[known].sum()), float(logs[rare].sum()), len(rare) + len(missing)))
                 lines.append(np.where((at < 0) | (at >= VOCABULARY), RARE, at).astype(np.int16))
                 if len(tail) >= 50_000:
-                    yield pd.DataFrame(tail, columns=["row", "word", "n"]).assign(**empty)[FIELDS]
+                    yield table(tail)
                     tail = []
-            whole = pd.DataFrame(out, columns=["row", "n_tokens", "n_known", "known_log", "rare_log", "n_rare"])
-            yield whole.assign(doc_id=batch["doc_id"].to_numpy(), network=network_scores(flat, lines), word=None, n=0)[FIELDS]
+            yield table([(*r, float(s), None, None) for r, s in zip(out, network_scores(flat, lines), strict=True)])
             if tail:
-                yield pd.DataFrame(tail, columns=["row", "word", "n"]).assign(**empty)[FIELDS]
+                yield table(tail)
 
-    scored = written(docs.select("row", "doc_id", "text").mapInPandas(run, SCORED), "scored")
+    scored = written(docs.select("row", "text").mapInArrow(run, SCORED), "scored")
     tail = scored.filter(F.col("word").isNotNull()).select("row", "word", "n").join(counts, "word", "left").groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("t_known"),
         F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("t_log"))
     base = float(np.log10(lexicon.total + 1.0 * (lexicon.distinct + 1)))
     rare = float(np.log10(lexicon.rare_total + lexicon.rare_distinct + 1.0))
     t_log = F.coalesce("t_log", F.lit(0.0))
-    return scored.filter(F.col("word").isNull()).join(tail, "row", "left").select(
+    return scored.filter(F.col("word").isNull()).join(tail, "row", "left").join(docs.select("row", "doc_id"), "row").select(
         "row", "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("t_known", F.lit(0))).alias("n_known"),
         (F.col("known_log") + t_log - F.col("n_tokens") * base).alias("base_score"),
         (F.col("network") / float(np.log(10)) + F.col("rare_log") + t_log - F.col("n_rare") * rare).alias("score"))
 
 
-SCORED = (
-    "row long, doc_id long, n_tokens long, n_known long, known_log double, rare_log double, n_rare long, network double, word binary, n long"
-)
+SCORED = "row long, n_tokens long, n_known long, known_log double, rare_log double, n_rare long, network double, word binary, n long"
 FIELDS = [x.split()[0] for x in SCORED.split(", ")]
+TYPES = [{"long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}[x.split()[1]] for x in SCORED.split(", ")]
 
 
 def language_model(docs: DataFrame, room: int = 200_000, **training) -> DataFrame:
@@ -378,14 +411,13 @@ def language_model(docs: DataFrame, room: int = 200_000, **training) -> DataFram
 
     Rows whose crc32(doc_id) mod 7 is 2 are held out. Null texts are empty: one end token.
     Repeated rows are scored each; without training rows every token is unknown, and an
-    empty table gives an empty result. The weights of replicas depend on how the input is
-    split into tasks, so ``score`` may differ a little between clusters; all else may not.
+    empty table gives an empty result. Rows with a null id are rows like any other.
     """
     held_out = remainder(F.col("doc_id"), 7) == 2
     texts = docs.select("doc_id", "text").filter(~held_out)
     counts = written(count_tokens(texts), "counts")
     lexicon = common_words(counts, room)
     flat = train(texts, lexicon, **training)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows")
     return score_texts(rows, counts, lexicon, flat).select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(lexicon.total).cast("long").alias("train_tokens"), "base_score", "score")

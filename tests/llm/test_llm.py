@@ -632,6 +632,14 @@ def test_language_model_trains_on_every_token(spark):
     assert gru_lm.network_scores(flat, [line])[0] / len(line) > -0.5  # 96 tokens teach little more than the counts, about -1.6
 
 
+def test_weights_do_not_depend_on_the_split_into_tasks(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    lexicon = gru_lm.common_words(gru_lm.count_tokens(d), 5000)
+    one, many = (gru_lm.train(d.repartition(n), lexicon, replica_tokens=20_000) for n in (1, 7))
+    assert (one == many).all()
+    assert not (one == gru_lm.initial_weights(lexicon.counts[: gru_lm.VOCABULARY], lexicon.rare_total)).all()
+
+
 def test_language_model_edges(odd, none):
     got = gru_lm.language_model(odd).collect()
     assert len(got) == len(ODD) and all(np.isfinite(r.score) and r.score < 0 for r in got)
