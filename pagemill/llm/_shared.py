@@ -9,7 +9,6 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from typing import Any
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -96,13 +95,6 @@ def shipped(spark: SparkSession, value: Any) -> Callable[[], Any]:
     return lambda: pickle.loads(held.value)
 
 
-def chunks(batches: Iterator[pd.DataFrame], rows: int = 1000) -> Iterator[pd.DataFrame]:
-    """The same rows in smaller frames, which keeps what a task builds from them small."""
-    for batch in batches:
-        for at in range(0, len(batch), rows):
-            yield batch.iloc[at : at + rows]
-
-
 def parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches. Columns that are passed on as they are keep their type, nulls included."""
     for batch in batches:
