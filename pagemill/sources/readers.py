@@ -42,6 +42,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table in such a folder: for what several branches of a plan would each compute again."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_languages(spark: SparkSession, path: str) -> DataFrame:
     """code, label of a language file: one JSON list of entries."""
     return spark.read.schema(LANGUAGE).json(path, multiLine=True)
@@ -166,11 +173,12 @@ def nearest_dumps(dumps: DataFrame, candidates: DataFrame) -> DataFrame:
     number = [F.col(f"d.{k}").alias(k) for k in "xywh"]
     whole = reduce(lambda a, b: a & b, [F.col(f"d.{k}").isNotNull() for k in "xywh"])
     flat = candidates.select(F.col("d.stage").alias("stage"), F.col("name").alias("other"), *number, whole.alias("whole"))
+    flat = stored(flat)
     asked = dumps.select("name", "d").distinct()
     queries = asked.filter(whole).select(F.col("name").alias("q"), F.col("d.stage").alias("stage"), *[F.col(f"d.{k}").alias(f"own_{k}") for k in "xywh"])
     keys = ["stage"]
     for field in "xywh":
-        queries = _nearest(queries, flat.filter("whole"), keys, field)
+        queries = stored(_nearest(stored(queries) if field == "x" else queries, flat.filter("whole"), keys, field))
         keys = [*keys, field]
     names = flat.filter("whole").groupBy(*keys).agg(F.min("other").alias("other"))
     near = queries.join(names, keys).groupBy(F.col("q").alias("name")).agg(F.min("other").alias("near"))
