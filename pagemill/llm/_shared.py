@@ -137,6 +137,26 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> Dat
     return out.select(*df.columns, (F.col("_rank") + F.col("_shift")).cast("long").alias(name))
 
 
+#: Numbers of ``in_order`` hold the partition above this many bits.
+PART_BITS = 33
+
+
+def in_order(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df``, written, with ``at``: numbers that grow in the order given, gapless within a partition of it.
+
+    Rows are dealt to tasks by ranges of the whole order, so a key with a third of all
+    rows is spread as well, if what follows it in the order tells its rows apart.
+    """
+    return written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), name)
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join on equal columns in which null equals null; ``right`` gives its other columns."""
+    renamed = right.select(*[F.col(c).alias(f"_on{i}") for i, c in enumerate(on)], *[c for c in right.columns if c not in on])
+    joined = left.join(renamed, _all([F.col(c).eqNullSafe(F.col(f"_on{i}")) for i, c in enumerate(on)]), how)
+    return joined.drop(*[f"_on{i}" for i in range(len(on))])
+
+
 def _all(conditions: list[Column]) -> Column:
     out = conditions[0]
     for x in conditions[1:]:

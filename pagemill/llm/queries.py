@@ -10,7 +10,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, gru_lm, language_id, minhash, packing, quality, sentencepiece_codec, sharding, toxicity, warc
+from . import conversation_repair, exact_dedup, gru_lm, language_id, minhash, packing, prefix_trie, quality, sentencepiece_codec, sharding, toxicity, vector_dedup, warc
 from ._shared import shared_folder, table, written
 
 
@@ -103,6 +103,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -117,10 +129,94 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_kd_tree_shards,
         op9_exact_dedup,
         op10_toxicity,
+        op11_conversation_repair,
+        op12_conversation_prefix_trie,
+        op13_embedding_near_dedup,
     )
 }
 
+#: DuckDB has no crc32: byte for byte, with the reversed polynomial 0xEDB88320.
+_CRC32 = """xor(list_reduce(list_transform(string_split({}, ''), lambda x: ord(x)::BIGINT), lambda c, b: list_reduce([0, 1, 2, 3, 4, 5, 6, 7],
+    lambda r, i: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, xor(c, b)), 4294967295), 4294967295)"""
+_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
 SQL: dict[str, str] = {
+    "op11_conversation_repair": rf"""
+        WITH RECURSIVE keyed AS (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+        spoilt AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC32.format("k")} % 20 AS spoil FROM keyed),
+        damaged AS (
+            SELECT conv_id, turn, CASE WHEN spoil = 4 THEN 'user' ELSE role END AS role,
+                   CASE WHEN spoil = 1 THEN '' WHEN spoil = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+            FROM (SELECT *, unnest(range(CASE spoil WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM spoilt)),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, left(role, 1) AS r FROM damaged),
+        judged AS (
+            SELECT *, lag(r) OVER (PARTITION BY conv_id ORDER BY pos) || r AS pair,
+                   CASE WHEN trim(text, {_SPACE}) = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+                        WHEN right(rtrim(text, {_SPACE}), 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+            FROM placed),
+        counts AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                   count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                   count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+            FROM judged GROUP BY conv_id),
+        added(a, z, fee, marks, lines) AS (
+            VALUES ('', '', 0, '', ''), ('s', 's', 0, '', ''), ('u', 'u', 0, '', ''), ('a', 'a', 0, '', ''),
+                   ('', 'u', 3, 'I', chr(10) || 'user:'), ('s', 'u', 3, 'I', chr(10) || 'user:'), ('a', 'u', 3, 'I', chr(10) || 'user:'),
+                   ('u', 'a', 3, 'I', chr(10) || 'assistant:'), ('', 'a', 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'),
+                   ('s', 'a', 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')),
+        moves(z, t, fee, mark, need, role) AS (
+            VALUES ('', '', 4, 'D', '', ''), ('s', 's', 4, 'D', '', ''), ('u', 'u', 4, 'D', '', ''), ('a', 'a', 4, 'D', '', ''),
+                   ('', 's', 0, 'K', 's', ''), ('', 'u', 0, 'K', 'u', ''), ('s', 'u', 0, 'K', 'u', ''), ('a', 'u', 0, 'K', 'u', ''), ('u', 'a', 0, 'K', 'a', ''),
+                   ('', 'u', 3, 'R', '', 'user'), ('s', 'u', 3, 'R', '', 'user'), ('a', 'u', 3, 'R', '', 'user'), ('u', 'a', 3, 'R', '', 'assistant')),
+        path(conv_id, pos, state, best) AS (
+            SELECT DISTINCT conv_id, 0::BIGINT, '', struct_pack(cost := 0::BIGINT, audit := '', said := '') FROM conversations
+            UNION ALL
+            SELECT p.conv_id, p.pos + 1, m.t,
+                   min(struct_pack(cost := p.best.cost + i.fee + m.fee + CASE WHEN m.mark <> 'D' AND j.fault = 'truncated' THEN 3 ELSE 0 END, audit := p.best.audit || i.marks || m.mark,
+                                   said := p.best.said || i.lines || CASE m.mark WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || j.role || ':' || j.text ELSE chr(10) || m.role || ':' || j.text END))
+            FROM path p JOIN added i ON i.a = p.state JOIN moves m ON m.z = i.z
+            JOIN judged j ON j.conv_id IS NOT DISTINCT FROM p.conv_id AND j.pos = p.pos + 1
+            WHERE (m.mark = 'D' OR j.fault NOT IN ('blank', 'duplicate')) AND (m.mark <> 'K' OR j.r = m.need)
+            GROUP BY p.conv_id, p.pos, m.t),
+        ended AS (
+            SELECT p.conv_id, min(struct_pack(cost := p.best.cost + i.fee, audit := p.best.audit || i.marks, said := p.best.said || i.lines)) AS best
+            FROM path p JOIN added i ON i.a = p.state AND i.z IN ('', 'a') LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM p.conv_id
+            WHERE p.pos = coalesce(c.n, 0) GROUP BY p.conv_id)
+        SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+               coalesce(illegal, 0) AS illegal, e.best.cost AS cost, e.best.audit AS audit, sha256(substr(e.best.said, 2)) AS repaired_sha256
+        FROM ended e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+    """,
+    "op12_conversation_prefix_trie": rf"""
+        WITH RECURSIVE own AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+            FROM conversations WHERE conv_id IS NOT NULL),
+        convs AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {_CRC32.format("conv_id::VARCHAR")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM own)),
+        lines AS (
+            SELECT c.conv_id, 0 AS part, o.pos, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.base AND o.pos <= c.h
+            UNION ALL
+            SELECT c.conv_id, 1, o.pos, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.pos > c.h),
+        placed AS (
+            SELECT conv_id, row_number() OVER w AS depth, count(*) OVER (PARTITION BY conv_id) AS n, sha256(length(role) || ':' || role || text) AS line,
+                   len(list_filter(string_split(translate(text, {_SPACE}, '      '), ' '), lambda x: x <> '')) AS n_words
+            FROM lines WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos)),
+        spelt AS (SELECT *, string_agg(line, '') OVER (PARTITION BY conv_id ORDER BY depth) AS key FROM placed),
+        members AS (
+            SELECT conv_id, depth, n, sha256(key) AS key, sha256(left(key, 64 * (depth - 1))) AS above, n_words FROM spelt
+            UNION ALL
+            SELECT c.conv_id, 0, coalesce(p.n, 0), sha256(''), NULL, 0 FROM convs c LEFT JOIN (SELECT DISTINCT conv_id, n FROM placed) p ON p.conv_id = c.conv_id),
+        nodes AS (
+            SELECT key, any_value(above) AS above, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n_words) AS n_words,
+                   string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth) AS ends
+            FROM members GROUP BY key),
+        families AS (SELECT above AS key, count(*) AS n_children FROM nodes WHERE above IS NOT NULL GROUP BY above),
+        told AS (SELECT n.*, coalesce(f.n_children, 0) AS n_children FROM nodes n LEFT JOIN families f ON f.key = n.key),
+        below AS (
+            SELECT m.key, count(*) FILTER (t.n_children = 0) AS n_leaves, sum((t.n_convs - 1) * t.n_words) AS saved_tokens
+            FROM told t JOIN members m ON m.conv_id = t.conv_id AND m.depth <= t.depth GROUP BY m.key)
+        SELECT t.conv_id, t.depth, p.conv_id AS parent_conv_id, t.n_convs, t.n_children, b.n_leaves, b.saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(t.ends, '')) AS ends_sha256
+        FROM told t JOIN below b ON b.key = t.key LEFT JOIN told p ON p.key = t.above
+    """,
     "op3_warc_salvage": r"""
         WITH p AS (
             SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
@@ -143,4 +239,18 @@ SQL: dict[str, str] = {
                text_sha256
         FROM d WINDOW best AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id)
     """,
+    "op13_embedding_near_dedup": """
+        WITH RECURSIVE fit AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+            WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+              AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+        links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM fit a JOIN fit b ON a.label = b.label AND a.vec_id <> b.vec_id
+            WHERE CASE WHEN len(a.v) = len(b.v) THEN list_cosine_similarity(a.v, b.v) >= 0.93 ELSE FALSE END),
+        reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+        direct AS (SELECT a, count(*) AS n_links FROM links GROUP BY a),
+        least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+        SELECT e.vec_id, coalesce(d.n_links, 0) AS n_links, coalesce(least(e.vec_id, l.b), e.vec_id) AS component_id, e.vec_id = coalesce(least(e.vec_id, l.b), e.vec_id) AS kept
+        FROM embeddings e LEFT JOIN direct d ON d.a = e.vec_id LEFT JOIN least l ON l.a = e.vec_id
+    """,
 }
