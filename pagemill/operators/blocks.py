@@ -1,7 +1,7 @@
 """Reading-order text blocks: boxes of an image are filtered, ordered, merged and freed of duplicates.
 
 Every image is one fold over its boxes in reading order, inside the JVM; one shuffle on
-``image`` serves all of it. Boxes per image are bounded by the detector's candidate cap.
+``image`` serves all of it. The folds look only at what the next box can reach (``grouping``).
 """
 
 from __future__ import annotations
@@ -9,13 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import geometry as geo
 from ..functions.text import json_text, trimmed
-
-BOX = "x:double,y:double,w:double,h:double"
-MEMBER = f"struct<y:double,x:double,idx:int,w:double,h:double,text:string>"
-GROUP = f"struct<{BOX},members:array<{MEMBER}>>"
-
+from .grouping import MEMBER, group_numbers, kept_groups
 
 def clean_text(detections: DataFrame) -> DataFrame:
     """Trim texts and drop rows whose text is blank or null."""
@@ -27,39 +22,6 @@ def reading_order(detections: DataFrame) -> DataFrame:
     return detections.withColumn("pos", F.row_number().over(Window.partitionBy("image").orderBy("y", "x", "idx")))
 
 
-def _same_text(a: Column, b: Column) -> Column:
-    return F.contains(a, b) | F.contains(b, a)
-
-
-def _is_nested(g, b) -> Column:
-    return F.exists(g["members"], lambda m: (geo.overlap_of_smaller(m, b) >= 0.9) & _same_text(m["text"], b["text"]))
-
-
-def _joined(g, b) -> Column:
-    x, y = F.least(g["x"], b["x"]), F.least(g["y"], b["y"])
-    return F.struct(
-        x.alias("x"), y.alias("y"), (F.greatest(g["x"] + g["w"], b["x"] + b["w"]) - x).alias("w"),
-        (F.greatest(g["y"] + g["h"], b["y"] + b["h"]) - y).alias("h"), F.concat(g["members"], F.array(b)).alias("members"))
-
-
-def _add(groups, b, x_gap: float, y_gap: float) -> Column:
-    """Put a box where it belongs: nowhere if some group it could join holds it already, else to the best such group, else alone."""
-    ranked = F.transform(groups, lambda g, i: F.when(geo.can_merge(g, b, x_gap, y_gap), F.struct(geo.merge_score(g, b).alias("s"), i.alias("i"))))
-
-    def placed(best: Column) -> Column:
-        merged = F.transform(groups, lambda g, i: F.when(i == best["i"], _joined(g, b)).otherwise(g))
-        alone = F.struct(b["x"].alias("x"), b["y"].alias("y"), b["w"].alias("w"), b["h"].alias("h"), F.array(b).alias("members"))
-        return F.when(best.isNull(), F.concat(groups, F.array(alone))).otherwise(merged)
-
-    nested = F.exists(groups, lambda g: geo.can_merge(g, b, x_gap, y_gap) & _is_nested(g, b))
-    return F.when(nested, groups).otherwise(F.transform(F.array(F.array_min(ranked)), placed)[0])
-
-
-def fold_groups(boxes: Column, x_gap: float, y_gap: float) -> Column:
-    """Greedy groups of an array of boxes in reading order."""
-    return F.aggregate(boxes, F.array().cast(f"array<{GROUP}>"), lambda groups, b: _add(groups, b, x_gap, y_gap))
-
-
 def block_text(members: Column, source: str) -> Column:
     """Texts of members in order, with a space between for ``en``; a text equal to all before it is not repeated."""
     gap = " " if source == "en" else ""
@@ -67,36 +29,28 @@ def block_text(members: Column, source: str) -> Column:
     return F.aggregate(rest, members[0]["text"], lambda t, m: F.when(t == m["text"], t).otherwise(F.concat(t, F.lit(gap), m["text"])))
 
 
-def drop_covered(groups: Column) -> Column:
-    """Largest first, drop groups that a kept group covers to 0.9 with one text inside the other; then back to reading order."""
-    ordered = F.sort_array(F.transform(groups, lambda g, i: F.struct((-(g["w"] * g["h"])).alias("a"), i.alias("i"), g.alias("g"))))
-    kept = F.aggregate(
-        F.transform(ordered, lambda s: s["g"]), F.slice(groups, 1, 0),
-        lambda out, g: F.when(F.exists(out, lambda k: (geo.overlap_of_smaller(g, k) >= 0.9) & _same_text(k["text"], g["text"])), out).otherwise(F.concat(out, F.array(g))))
-    back = F.sort_array(F.transform(kept, lambda g, i: F.struct(g["y"].alias("y"), g["x"].alias("x"), i.alias("i"), g.alias("g"))))
-    return F.transform(back, lambda s: s["g"])
-
-
 def text_blocks(detections: DataFrame, source: str = "en", x_gap: float = 20, y_gap: float = 15, with_members: bool = False) -> DataFrame:
     """image, block (from 1), text, x, y, w, h and members (empty unless asked for) of detections (image, idx, x, y, w, h, text)."""
     boxes = F.sort_array(F.collect_list(F.struct("y", "x", "idx", "w", "h", "text"))).cast(f"array<{MEMBER}>")
     images = clean_text(detections).groupBy("image").agg(boxes.alias("boxes"))
-    grouped = images.select("image", fold_groups(F.col("boxes"), x_gap, y_gap).alias("groups"))
-    # text while merging follows arrival, the text that is shown follows reading order
-    named = F.transform("groups", lambda g: F.struct(
-        g["x"].alias("x"), g["y"].alias("y"), g["w"].alias("w"), g["h"].alias("h"), block_text(g["members"], source).alias("text"), g["members"].alias("members")))
-    named = grouped.select("image", named.alias("groups"))
-    kept = named.select("image", F.posexplode(drop_covered(F.col("groups"))).alias("block", "g"))
-    shown = F.sort_array("g.members")
-    members = F.transform(shown, lambda m: m["text"]) if with_members else F.array().cast("array<string>")
-    return kept.select("image", (F.col("block") + 1).alias("block"), block_text(shown, source).alias("text"), "g.x", "g.y", "g.w", "g.h", members.alias("members"))
+    put = images.select("image", "boxes", group_numbers(F.col("boxes"), x_gap, y_gap).alias("numbers"))
+    put = put.select("image", F.inline(F.arrays_zip("boxes", "numbers"))).filter("numbers >= 0").select("image", F.col("numbers").alias("n"), "boxes.*")
+    # members come in reading order, and groups are told and compared by image: one exchange serves all of it
+    x, y = F.min("x"), F.min("y")
+    groups = put.groupBy("image", "n").agg(
+        x.alias("x"), y.alias("y"), (F.max(F.col("x") + F.col("w")) - x).alias("w"), (F.max(F.col("y") + F.col("h")) - y).alias("h"),
+        F.sort_array(F.collect_list(F.struct("y", "x", "idx", "w", "h", "text"))).cast(f"array<{MEMBER}>").alias("members"))
+    members = F.transform("members", lambda m: m["text"]) if with_members else F.array().cast("array<string>")
+    told = groups.select("image", F.struct("n", "x", "y", "w", "h", block_text(F.col("members"), source).alias("text"), members.alias("members")).alias("g"))
+    listed = told.groupBy("image").agg(F.sort_array(F.collect_list("g")).alias("groups"))
+    kept = listed.select("image", F.posexplode(F.transform(kept_groups(F.col("groups")), lambda i: F.get(F.col("groups"), i))).alias("block", "g"))
+    return kept.select("image", (F.col("block") + 1).alias("block"), "g.text", "g.x", "g.y", "g.w", "g.h", "g.members")
 
 
 def uncrowded(detections: DataFrame, most: int = 1000) -> tuple[DataFrame, DataFrame]:
     """Detections of images with at most ``most`` boxes, and (image, boxes) of the others.
 
-    The folds here grow faster than the boxes of an image; an image beyond the detector's
-    own cap is reported instead of holding up a task.
+    For reports of images beyond the detector's own cap; the folds take images of any size.
     """
     sizes = detections.groupBy("image").agg(F.count("*").alias("boxes"))
     crowded = sizes.filter(F.col("boxes") > most)

@@ -63,13 +63,18 @@ def banded_order(boxes: DataFrame) -> DataFrame:
     """image, pos, idx: sorted by y then x, after which a box moves left past neighbours less than 10 away in y with a larger x.
 
     y is rounded to 1e-4 for the sort, as a tolerance alone would not give one order.
+    Where y jumps by more than 10, no later box passes an earlier one: the runs between are folded apart, each in a task of its own if need be.
     """
-    rows = F.sort_array(F.collect_list(F.struct(F.round("y", 4).alias("r"), "x", "idx", "y")))
+    order = ["r", "x", "idx", "y"]
+    in_order = Window.partitionBy("image").orderBy(*order)
+    placed = boxes.select("image", "idx", "x", "y", F.round("y", 4).alias("r")).withColumns({"jump": F.col("r") - F.lag("r").over(in_order), "place": F.row_number().over(in_order)})
+    runs = placed.withColumn("run", F.count_if(F.col("jump") > 10.001).over(in_order)).groupBy("image", "run")
+    runs = runs.agg(F.sort_array(F.collect_list(F.struct(*order))).alias("rows"), F.min("place").alias("first"))
 
     def insert(out, v):
         stops = F.transform(out, lambda e, n: F.when(~((F.abs(v["y"] - e["y"]) < 10) & (v["x"] < e["x"])), n + 1).otherwise(0))
         at = F.coalesce(F.array_max(stops), F.lit(0))
         return F.transform(F.array(at), lambda a: F.concat(F.slice(out, F.lit(1), a), F.array(v), F.slice(out, a + 1, F.size(out))))[0]
 
-    folded = boxes.groupBy("image").agg(rows.alias("rows")).select("image", F.aggregate("rows", F.slice("rows", 1, 0), insert).alias("rows"))
-    return folded.select("image", F.posexplode("rows").alias("pos", "r")).select("image", (F.col("pos") + 1).alias("pos"), "r.idx")
+    folded = runs.select("image", "first", F.aggregate("rows", F.slice("rows", 1, 0), insert).alias("rows"))
+    return folded.select("image", "first", F.posexplode("rows").alias("pos", "r")).select("image", (F.col("pos") + F.col("first")).cast("int").alias("pos"), "r.idx")

@@ -5,7 +5,7 @@ Lines are rows (line_no, value); ``sources.readers.read_lines`` makes them from
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -15,14 +15,19 @@ FFI_PREFIX, APP_PREFIX = "[FFI_BENCH] ", "[APP_OCR_BENCH] "
 PROFILE_PREFIX = "run_pipeline profile "
 
 
+def _place(rows: DataFrame) -> Column:
+    """Where a line stands: by its number, and before that by the name of its file where lines come from files."""
+    return F.struct("file", "line_no") if "file" in rows.columns else F.struct("line_no")
+
+
 def scan_bench(lines: DataFrame, prefix: str = FFI_PREFIX) -> DataFrame:
     """image, detection_count, elapsed_ms, error: JSON after the first ``prefix`` anywhere in a line; the last record of an image wins.
 
     A record that does not parse or has no samples keeps its row, with ``error`` set.
     """
     hit = lines.filter(F.col("value").contains(prefix))
-    parsed = hit.select("line_no", F.from_json(F.substring("value", F.instr("value", prefix) + len(prefix), F.length("value")), BENCH_JSON).alias("r"))
-    last = parsed.groupBy("r.image").agg(F.max_by("r", "line_no").alias("r"))
+    parsed = hit.select(_place(lines).alias("place"), F.from_json(F.substring("value", F.instr("value", prefix) + len(prefix), F.length("value")), BENCH_JSON).alias("r"))
+    last = parsed.groupBy("r.image").agg(F.max_by("r", "place").alias("r"))
     empty = F.coalesce(F.size("r.elapsed_ms") < 1, F.lit(True))
     return last.select("image", "r.detection_count", "r.elapsed_ms", F.when(F.col("image").isNull(), "not a record").when(empty, "no samples").alias("error"))
 
@@ -56,7 +61,8 @@ def scan_json(lines: DataFrame, schema: str) -> DataFrame:
 def scan_profile(lines: DataFrame, prefix: str = PROFILE_PREFIX) -> DataFrame:
     """line_no, raw: lines that start with ``prefix`` once stripped, without it (the line is stripped before it is cut)."""
     v = tx.trimmed(F.col("value"))
-    return lines.filter(v.startswith(prefix)).select("line_no", tx.trimmed(F.substring(v, F.lit(len(prefix) + 1), F.length("value"))).alias("raw"))
+    hit = lines.filter(F.col("value").contains(prefix))  # which readers apply where they read
+    return hit.filter(v.startswith(prefix)).select(*[c for c in ("file", "line_no") if c in lines.columns], tx.trimmed(F.substring(v, F.lit(len(prefix) + 1), F.length("value"))).alias("raw"))
 
 
 def profile_entries(profile: DataFrame) -> DataFrame:
@@ -73,7 +79,7 @@ def typed_entries(entries: DataFrame) -> DataFrame:
 def latest_entry(entries: DataFrame, by: str | None = None) -> DataFrame:
     """The entry of the last line, of each ``by`` if given."""
     grouped = entries.groupBy(by) if by else entries.groupBy()
-    return grouped.agg(F.max_by(F.struct(*entries.columns), "line_no").alias("e")).select("e.*")
+    return grouped.agg(F.max_by(F.struct(*entries.columns), _place(entries)).alias("e")).select("e.*")
 
 
 def summarise(bench: DataFrame) -> DataFrame:

@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
+from .matching import greedy_match  # noqa: F401  part of a comparison
 
 
-def iou_pairs(left: DataFrame, right: DataFrame, least: float = 0.5, cell: float | None = None) -> DataFrame:
+def iou_pairs(left: DataFrame, right: DataFrame, least: float = 0.5, cell: float | None = 64.0) -> DataFrame:
     """image, l, r, iou, l_text, r_text: pairs of boxes of an image with an IoU of ``least`` (above 0) or more.
 
-    With ``cell``, boxes are first dealt to strips of that height, and only boxes that
-    share a strip meet, each pair in its first common strip: for images with thousands of boxes.
+    Boxes are dealt to strips ``cell`` high, and only boxes that share a strip meet, each pair in its first
+    common strip, so an image's boxes do not all meet; None lets them.
     """
     a = left.select("image", F.col("idx").alias("l"), F.struct(*"xywh").alias("a"), F.col("text").alias("l_text"))
     b = right.select("image", F.col("idx").alias("r"), F.struct(*"xywh").alias("b"), F.col("text").alias("r_text"))
@@ -29,15 +30,6 @@ def iou_pairs(left: DataFrame, right: DataFrame, least: float = 0.5, cell: float
     return pairs.filter(overlapping).withColumn("iou", value).filter(F.col("iou") >= least).select("image", "l", "r", "iou", "l_text", "r_text")
 
 
-def greedy_match(pairs: DataFrame) -> DataFrame:
-    """One-to-one pairs: best IoU first, and of equal ones the highest left, then right index; ``rank`` is the order of choice."""
-    ranked = F.sort_array(F.collect_list(F.struct("iou", "l", "r", "l_text", "r_text")), asc=False)
-    taken = lambda out, v: F.exists(out, lambda z: (z["l"] == v["l"]) | (z["r"] == v["r"]))
-    chosen = F.aggregate("ranked", F.slice("ranked", 1, 0), lambda out, v: F.when(taken(out, v), out).otherwise(F.concat(out, F.array(v))))
-    folded = pairs.groupBy("image").agg(ranked.alias("ranked")).select("image", chosen.alias("chosen"))
-    return folded.select("image", F.posexplode("chosen").alias("rank", "m")).select("image", "rank", "m.*")
-
-
 def unmatched(left: DataFrame, right: DataFrame, matches: DataFrame) -> DataFrame:
     """side (left or right), image, idx, text of boxes in no match."""
     rest = lambda df, key, side: df.join(matches.select("image", F.col(key).alias("idx")), ["image", "idx"], "left_anti").select(

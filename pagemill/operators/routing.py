@@ -10,7 +10,7 @@ from ..functions.text import trimmed
 # Codes, families and model names that results depend on.
 LISTED = (
     "ch en ch_tra japan korean fr german it es pt ru uk be te sa ta af az bs cs cy da mt nl no pl ro sk sl sq sv sw tl tr uz vi mn ar hi ug fa ur "
-    "rs_latin rs_cyrillic oc mr ne bg et ga hr hu id is ku lt lv"
+    "rs_latin rs_cyrillic oc mr ne bg et ga hr hu id is ku lt lv mi ms abq ady kbd ava dar inh lbe lez tab bh mai ang bho mah sck new gom"
 ).split()
 CHINESE = "cn zh chi chinese".split()
 TRADITIONAL = "ch_tra chinese_cht zh-tw zh_tw zh-hant zh_hant".split()

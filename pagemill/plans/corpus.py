@@ -39,8 +39,8 @@ def t3(spark, d):
     return corpus.sample_texts(texts(spark, d)).select("image", F.array_join("sample", "|").alias("sample"))
 
 
-CODES = ["chi", " ZH-Hant", "ru", "ku", "sa", "english", "japan", "zh-sg", "xx", "ch_tra", "", "bg", "ar", "th", "rs_latin"]
-MIXED = "CASE doc_id % 16 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CODES)) + " ELSE lang END"
+CODES = ["chi", " ZH-Hant", "ru", "ku", "sa", "english", "japan", "zh-sg", "xx", "ch_tra", "", "bg", "ar", "th", "rs_latin", "ms", "mi", " BHO", "gom", "abq", "ava", "sck", "new"]
+MIXED = f"CASE doc_id % {len(CODES) + 1} " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CODES)) + " ELSE lang END"
 
 
 def _mixed(spark, d):
@@ -48,13 +48,19 @@ def _mixed(spark, d):
     return docs.select("doc_id", F.expr(MIXED).alias("lang"))
 
 
+# The codes that users can choose, for the SQL alone.
+LISTED_SQL = """('ch', 'en', 'ch_tra', 'japan', 'korean', 'fr', 'german', 'it', 'es', 'pt', 'ru', 'uk', 'be', 'te', 'sa', 'ta', 'af', 'az', 'bs', 'cs', 'cy', 'da', 'mt', 'nl', 'no', 'pl', 'ro', 'sk', 'sl', 'sq', 'sv',
+    'sw', 'tl', 'tr', 'uz', 'vi', 'mn', 'ar', 'hi', 'ug', 'fa', 'ur', 'rs_latin', 'rs_cyrillic', 'oc', 'mr', 'ne', 'bg', 'et', 'ga', 'hr', 'hu', 'id', 'is', 'ku', 'lt', 'lv', 'mi', 'ms', 'abq', 'ady', 'kbd', 'ava',
+    'dar', 'inh', 'lbe', 'lez', 'tab', 'bh', 'mai', 'ang', 'bho', 'mah', 'sck', 'new', 'gom')"""
+
+
 def _in(codes) -> str:
     return "(" + ", ".join(f"'{c}'" for c in codes) + ")"
 
 
 def _normalised_sql(v: str, variant: str) -> str:
     zh = f"({v} LIKE 'zh-%' OR {v} LIKE 'zh\\_%' ESCAPE '\\')"
-    known = f"{v} IN {_in(routing.LISTED)}"
+    known = f"{v} IN {LISTED_SQL}"
     if variant == "settings":
         return f"CASE WHEN {known} THEN {v} ELSE 'en' END"
     if variant == "native":
@@ -77,7 +83,7 @@ def j8(spark, d):
     return routing.routed(_mixed(spark, d)).select("doc_id", "source", "rec")
 
 
-@query("s8_language_list", "SELECT count(DISTINCT lang) AS in_use, count(DISTINCT lang) FILTER (WHERE lang IN " + _in(routing.LISTED) + ") AS listed FROM documents")
+@query("s8_language_list", "SELECT count(DISTINCT lang) AS in_use, count(DISTINCT lang) FILTER (WHERE lang IN " + LISTED_SQL + ") AS listed FROM documents")
 def s8(spark, d):
     codes = spark.createDataFrame([(c,) for c in routing.LISTED], "code string")
     used = views.table(spark, d, "documents").select("lang").filter(F.col("lang").isNotNull()).distinct()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions.text import json_text
+from .lines import read_lines  # noqa: F401  one of the readers
 
 POINTS = "array<array<double>>"
 DETECTION = f"run string, image string, idx int, polygon {POINTS}, bounds struct<x:double,y:double,width:double,height:double>, text string, score double"
@@ -54,13 +55,6 @@ def read_languages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LANGUAGE).json(path, multiLine=True)
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line_no (from 1), value of text files. A file is read whole, as its lines are numbered: for logs, not for tables."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
-    lines = files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("n", "value"))
-    return lines.select("file", (F.col("n") + 1).alias("line_no"), "value")
-
-
 def as_points(polygon: Column) -> Column:
     """Points of a list of pairs."""
     return F.transform(polygon, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))

@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..sources.readers import parsed_requests
+from .elapsed import elapsed_ms, with_elapsed  # noqa: F401  rules of their own modules
+from .requests import read_requests, split_requests, start_request_stream  # noqa: F401
 
 
 def current_results(events: DataFrame, opens: str = "capture", answers: str = "result") -> DataFrame:
@@ -61,38 +62,3 @@ def active_replies(events: DataFrame) -> DataFrame:
 def stream_active_replies(events: DataFrame, **bounds) -> DataFrame:
     """The same over a stream; see ``stream_current_results`` for the bounds."""
     return stream_current_results(events, "request", "reply", **bounds)
-
-
-def elapsed_ms(started: Column, now: Column) -> Column:
-    """Whole milliseconds from start to now; null without a start, and for differences that are negative or not finite."""
-    gap = now - started
-    finite = ~F.isnan(gap) & (F.abs(gap) < float("inf"))
-    return F.when(started.isNotNull() & finite & (gap >= 0), F.floor(gap + 0.5))
-
-
-def with_elapsed(starts: DataFrame, ends: DataFrame, delay: str = "10 minutes", stream: bool = False) -> DataFrame:
-    """id, elapsed: starts (id, started_at) and ends (id, ended_at) joined by id; in a stream an end may come up to ``delay`` after its start."""
-    ms = lambda c: (F.unix_micros(c) / 1000).cast("double")
-    on = F.col("id") == F.col("end_id")
-    if stream:
-        starts, ends = starts.withWatermark("started_at", delay), ends.withWatermark("ended_at", delay)
-        on = on & (F.col("ended_at") >= F.col("started_at")) & (F.col("ended_at") <= F.col("started_at") + F.expr(f"interval {delay}"))
-    j = starts.join(ends.withColumnRenamed("id", "end_id"), on, "inner")
-    return j.select("id", elapsed_ms(ms(F.col("started_at")), ms(F.col("ended_at"))).alias("elapsed"))
-
-
-def split_requests(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Requests and errors of request lines."""
-    parsed = parsed_requests(lines)
-    return parsed.filter(F.col("error").isNull()).drop("error"), parsed.filter(F.col("error").isNotNull()).select("id", "error")
-
-
-def start_request_stream(lines: DataFrame, results_path: str, errors_path: str, checkpoint: str):
-    """Write requests and errors of a stream of lines to two tables; a batch that runs again replaces what it wrote."""
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        good, bad = split_requests(batch)
-        good.write.mode("overwrite").parquet(f"{results_path}/batch={batch_id}")
-        bad.write.mode("overwrite").parquet(f"{errors_path}/batch={batch_id}")
-
-    return lines.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
