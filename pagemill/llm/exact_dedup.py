@@ -40,7 +40,7 @@ def _judged(docs: DataFrame, row: Column, id_col: str, text_col: str, support: f
         "digests",
     )
     frequent = digests.stat.freqItems(["text_sha256"], support).select(F.explode("text_sha256_freqItems").alias("text_sha256"))
-    rank = F.struct("points", F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("small"), (-F.col("row")).alias("first"))
+    rank = F.struct("points", F.col("doc_id").isNotNull().alias("known"), F.bitwise_not("doc_id").alias("small"), F.bitwise_not("row").alias("first"))
     winners = written(
         digests.join(F.broadcast(frequent), "text_sha256")
         .groupBy("text_sha256")

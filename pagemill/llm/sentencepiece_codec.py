@@ -292,7 +292,8 @@ class Codec:
                 out.append(i)
                 at += len(self.v.pieces[i])
             else:
-                out.extend([self.byte_ids[b] for b in segment[at].encode("utf-8", "surrogatepass")])
+                # a space sign that no piece covers stands for a space, and is spelled as one
+                out.extend([self.byte_ids[b] for b in segment[at].replace(SPACE, " ").encode("utf-8", "surrogatepass")])
                 at += 1
         return out.tobytes()
 

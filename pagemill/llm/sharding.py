@@ -1,8 +1,8 @@
 """Shards by k-d tree: nodes are split at weighted medians until their bytes reach a target.
 
-Equal texts are one point, weighted by all their bytes, so that they stay together; a text
-whose copies alone would fill more than ``apart`` of a leaf is as many points as that
-takes, and a hash of the row says which copy belongs to which. A point's dimensions are
+Equal texts are one point, weighted by all their bytes, so that they stay together; only a
+text whose copies alone are more than a whole leaf is several points, and a hash of the row
+says which copy belongs to which. A point's dimensions are
 what is known besides the words: language, source, log size and bytes per code point, each
 as a number of 30 bits. A node that is to become n leaves is split along the dimension in
 which it is widest, measured against the whole table, at the weighted quantile that leaves
@@ -90,15 +90,16 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     There are ``shards`` leaves, any number from 1, or as many as bring each to at most
     about ``target_bytes``. A split may miss its quantile by ``slack`` of the node. Ties in
     all dimensions are one text (or one checksum), and so are repeated rows; they stay
-    together up to ``apart`` of a leaf. Null ids are ids like any other. Tables with fewer
+    together, unless they alone are more than a whole leaf: then they are dealt by a hash
+    of the row to points of at most ``apart`` of a leaf. Null ids are ids like any other. Tables with fewer
     texts than shards leave shards empty; an empty table gives an empty result.
     """
     rows = written(_rows(docs, "doc_id", "text"), "rows")
     total = rows.agg(F.sum("size")).first()[0] or 1
     leaves = shards or max(1, -(-total // target_bytes))
-    most = max(1.0, apart * total / leaves)
-    heavy = rows.groupBy("text_crc32", "size").agg((F.count("*") * F.col("size")).alias("weight")).filter(F.col("weight") > most)
-    heavy = written(heavy.select("text_crc32", "size", F.ceil(F.col("weight") / most).alias("parts")), "heavy")  # at most leaves / apart rows
+    leaf = max(1.0, total / leaves)
+    heavy = rows.groupBy("text_crc32", "size").agg((F.count("*") * F.col("size")).alias("weight")).filter(F.col("weight") > leaf)
+    heavy = written(heavy.select("text_crc32", "size", F.ceil(F.col("weight") / max(1.0, apart * leaf)).alias("parts")), "heavy")  # fewer rows than leaves
     part = F.pmod(F.xxhash64("row"), F.coalesce("parts", F.lit(1)))
     parted = _beside(rows, heavy, heavy.count(), ["text_crc32", "size"], "left").withColumn("part", part)
     of = ["text_crc32", "size", "part"]

@@ -265,13 +265,13 @@ def read_warc(spark: SparkSession, folder: str, with_payload: bool = True, most:
     return files.select("path", "length").mapInArrow(read, RECORD)
 
 
-def quarantined(read: DataFrame, written_records: int, folder: str) -> DataFrame:
-    """The records of what was ``read`` (a table); gaps go to a table in ``folder``. Records that are missing without a gap are an error."""
+def quarantined(read: DataFrame, written_records: int, folder: str, whole: bool = False) -> DataFrame:
+    """The records of what was ``read`` (a table); gaps go to a table in ``folder``. Records that are missing without a gap are an error, and with ``whole`` all that are missing."""
     lost = read.filter(F.col("gap").isNotNull())
     n = read.agg(F.count_if(F.col("gap").isNull()).alias("records"), F.count("gap").alias("gaps")).first()
     lost.select("archive", "offset", "length", "gap").write.mode("overwrite").parquet(folder)
-    if n["records"] != written_records and not n["gaps"]:
-        raise ValueError(f"{n['records']} records read of {written_records} written, and no gap says where the others are")
+    if n["records"] != written_records and (whole or not n["gaps"]):
+        raise ValueError(f"{n['records']} records read of {written_records} written, and {n['gaps'] or 'no'} gaps to say where the others are")
     return read.filter(F.col("gap").isNull())
 
 
@@ -316,10 +316,12 @@ def pages_of_records(records: DataFrame) -> DataFrame:
 def pages_through_warc(pages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to as read back from archives of ``pages``.
 
-    What the reader could not read is in the table ``gaps`` beside the archives; a record
-    that is missing without a gap stops the job.
+    Every row comes back, or the job stops: the reader takes records as large as the largest page, and what it still could
+    not read is in the table ``gaps`` beside the archives.
     """
     top = shared_folder(pages.sparkSession)
+    largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
     n = archived(pages, f"{top}/archives")
-    read = written(read_warc(pages.sparkSession, f"{top}/archives", with_payload=False).drop("payload"), "read")
-    return pages_of_records(quarantined(read, n, f"{top}/gaps"))
+    most = max(MOST_BYTES, largest + _HEADER + len(_HTTP))
+    read = written(read_warc(pages.sparkSession, f"{top}/archives", with_payload=False, most=most).drop("payload"), "read")
+    return pages_of_records(quarantined(read, n, f"{top}/gaps", whole=True))

@@ -499,9 +499,10 @@ def codec():
 
 
 def brute_path(v, unknown, text):
+    """A space sign in the text itself is a character like any that no piece has: it is not taken for a space, as it could not come back."""
     score = {p: s for p, s, k in zip(v.pieces, v.scores, v.kinds, strict=True) if k == "n"}
     longest = max(map(len, score))
-    line = "▁" + text.replace(" ", "▁")
+    line = "▁" + text.replace("▁", "\ue000").replace(" ", "▁")
     best = [0.0] + [float("-inf")] * len(line)
     for e in range(1, len(line) + 1):
         if line[e - 1] not in score:
