@@ -29,17 +29,22 @@ def block_text(members: Column, source: str) -> Column:
     return F.aggregate(rest, members[0]["text"], lambda t, m: F.when(t == m["text"], t).otherwise(F.concat(t, F.lit(gap), m["text"])))
 
 
-def text_blocks(detections: DataFrame, source: str = "en", x_gap: float = 20, y_gap: float = 15, with_members: bool = False) -> DataFrame:
-    """image, block (from 1), text, x, y, w, h and members (empty unless asked for) of detections (image, idx, x, y, w, h, text)."""
+def greedy_groups(detections: DataFrame, x_gap: float, y_gap: float) -> DataFrame:
+    """image, n (from 0, in order of creation), x, y, w, h, members: the groups of detections (image, idx, x, y, w, h, text), members in reading order."""
     boxes = F.sort_array(F.collect_list(F.struct("y", "x", "idx", "w", "h", "text"))).cast(f"array<{MEMBER}>")
     images = clean_text(detections).groupBy("image").agg(boxes.alias("boxes"))
     put = images.select("image", "boxes", group_numbers(F.col("boxes"), x_gap, y_gap).alias("numbers"))
     put = put.select("image", F.inline(F.arrays_zip("boxes", "numbers"))).filter("numbers >= 0").select("image", F.col("numbers").alias("n"), "boxes.*")
-    # members come in reading order, and groups are told and compared by image: one exchange serves all of it
     x, y = F.min("x"), F.min("y")
-    groups = put.groupBy("image", "n").agg(
+    return put.groupBy("image", "n").agg(
         x.alias("x"), y.alias("y"), (F.max(F.col("x") + F.col("w")) - x).alias("w"), (F.max(F.col("y") + F.col("h")) - y).alias("h"),
         F.sort_array(F.collect_list(F.struct("y", "x", "idx", "w", "h", "text"))).cast(f"array<{MEMBER}>").alias("members"))
+
+
+def text_blocks(detections: DataFrame, source: str = "en", x_gap: float = 20, y_gap: float = 15, with_members: bool = False) -> DataFrame:
+    """image, block (from 1), text, x, y, w, h and members (empty unless asked for) of detections (image, idx, x, y, w, h, text)."""
+    # groups are made, told and compared by image: one exchange serves all of it
+    groups = greedy_groups(detections, x_gap, y_gap)
     members = F.transform("members", lambda m: m["text"]) if with_members else F.array().cast("array<string>")
     told = groups.select("image", F.struct("n", "x", "y", "w", "h", block_text(F.col("members"), source).alias("text"), members.alias("members")).alias("g"))
     listed = told.groupBy("image").agg(F.sort_array(F.collect_list("g")).alias("groups"))

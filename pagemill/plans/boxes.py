@@ -151,10 +151,8 @@ def g7(spark, d):
 
 @query("g4_greedy_groups", f"""WITH {_blocks_sql('true')} SELECT image, i AS pos, x, y, w, h, len(texts) AS members FROM named""")
 def g4(spark, d):
-    """Groups before those that a larger one covers are dropped."""
-    items = F.sort_array(F.collect_list(F.struct("y", "x", "idx", "w", "h", "text"))).cast(f"array<{blocks.MEMBER}>")
-    groups = _clean(spark, d).groupBy("image").agg(items.alias("items")).select("image", F.posexplode(blocks.fold_groups(F.col("items"), 20, 15)).alias("p", "g"))
-    return groups.select("image", (F.col("p") + 1).cast("long").alias("pos"), "g.x", "g.y", "g.w", "g.h", F.size("g.members").cast("long").alias("members"))
+    g = blocks.greedy_groups(views.detections(spark, d), 20, 15)
+    return g.select("image", (F.col("n") + 1).cast("long").alias("pos"), *"xywh", F.size("members").cast("long").alias("members"))
 
 
 SIZES = "sizes AS (SELECT DISTINCT image, 800 + image % 3 AS orig_width, 736 AS orig_height, image % 4 = 0 AS debug_trace FROM det)"

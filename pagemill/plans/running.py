@@ -39,7 +39,7 @@ def _to_table(spark: SparkSession, found: DataFrame, path: str):
 
 
 def _sessions_in_runs(spark: SparkSession, events: DataFrame, rule: Callable) -> DataFrame:
-    path, events = readers.scratch(spark), readers.stored(events)
+    path, events = readers.scratch(spark), readers.stored(events.withColumn("ts", F.col("ts").cast("timestamp")))
     _in_runs(spark, {"events": events}, {"events": "ts"}, lambda s: _to_table(spark, rule(s["events"], idle_ms=NEVER_MS), path))
     return spark.read.schema("session long, ts timestamp, seq long, kind string, gen long").parquet(f"{path}/rows")
 
@@ -58,7 +58,7 @@ def r2_stream(spark, d):
 
 def _work(spark, d):
     """Starts and ends of work, an id for each event: errors have no start, views two; an end comes by the event's value after its start, or before it, or too late."""
-    e = views.table(spark, d, "events")
+    e = views.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     starts = e.filter("event_type <> 'error'").select(F.col("event_id").alias("id"), F.col("ts").alias("started_at"), F.explode(F.when(F.col("event_type") == "view", F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("n"))
     gap = F.round(F.col("value") * 4000 - 60000).cast("long")
     return starts.drop("n"), e.select(F.col("event_id").alias("id"), F.timestamp_micros(F.unix_micros("ts") + gap * 1000).alias("ended_at"))
@@ -93,7 +93,7 @@ def r3_stream(spark, d):
 def r4_stream(spark, d):
     """Request lines through the stream with two sinks, in three runs; the rows are what readers of both tables see."""
     top = readers.scratch(spark)
-    events = views.table(spark, d, "events").select("ts", F.expr(streams.REQUESTS).alias("value"))
+    events = views.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.expr(streams.REQUESTS).alias("value"))
     tables = f"{top}/requests", f"{top}/errors"
     _in_runs(spark, {"lines": events}, {"lines": "ts"}, lambda s: requests.start_request_stream(s["lines"].select("value"), *tables, f"{top}/state"))
     good, bad = requests.read_requests(spark, *tables)

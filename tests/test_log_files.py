@@ -110,7 +110,7 @@ def test_ends_with_and_without_starts(spark):
 def test_the_outer_join_gives_nulls_when_watermarks_pass(spark, tmp_path):
     """Three runs: a match at once, an end whose start comes later, and nulls only when no start can come any more."""
     runs = [([(1, 0), (1, 0)], [(1, 250), (2, 1000)]), ([(2, 900)], [(3, 2000)]), ([(9, 3_000_000)], [(9, 3_000_001)]), ([(10, 6_000_000)], [(10, 6_000_001)])]
-    ms = lambda rows, name: spark.createDataFrame(rows, "id long, t long").select("id", F.timestamp_millis("t").alias(name))
+    ms = lambda rows, name: spark.createDataFrame(rows, "id long, t long").select("id", F.timestamp_millis(F.col("t") + 10**9).alias(name))
     seen = []
     for starts, ends in runs:
         a, b = ms(starts, "started_at"), ms(ends, "ended_at")
