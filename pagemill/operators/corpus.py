@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .alphabets import alphabets, merged, size
 
 def characters(texts: DataFrame, key: str = "image") -> DataFrame:
     """key, ch: every character of every text, once per key."""
@@ -13,20 +14,24 @@ def characters(texts: DataFrame, key: str = "image") -> DataFrame:
 
 def character_counts(texts: DataFrame, key: str = "image") -> DataFrame:
     """Distinct characters and texts per key, and for the whole corpus where ``key`` is null and ``whole`` is true."""
-    chars = characters(texts, key)
-    per_key = chars.groupBy(key).agg(F.count("*").alias("characters"))
-    counts = texts.groupBy(key).agg(F.count("*").alias("texts")).join(per_key, key, "left")
-    corpus = chars.select("ch").distinct().agg(F.count("*").alias("characters"))
-    total = texts.agg(F.count("*").alias("texts")).crossJoin(corpus).select(F.lit(None).cast(texts.schema[key].dataType).alias(key), "texts", "characters", F.lit(True).alias("whole"))
+    bitmaps = alphabets(texts, [key])
+    counts = null_safe_left(texts.groupBy(key).agg(F.count("*").alias("texts")), size(bitmaps, [key]), key)
+    total = texts.agg(F.count("*").alias("texts")).crossJoin(size(merged(bitmaps), [])).select(F.lit(None).cast(texts.schema[key].dataType).alias(key), "texts", "characters", F.lit(True).alias("whole"))
     return counts.select(key, "texts", F.coalesce("characters", F.lit(0)).alias("characters"), F.lit(False).alias("whole")).unionByName(total)
 
 
+def null_safe_left(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """A left join on ``key`` in which null is a key like any other."""
+    other = right.withColumnRenamed(key, "_key")
+    return left.join(other, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+
+
 def coverage(texts: DataFrame, dictionary: DataFrame, key: str = "image") -> DataFrame:
     """characters, dictionary, coverage: distinct characters in percent of the dictionary's size, 0 for an empty one; may exceed 100."""
-    n = characters(texts, key).select("ch").distinct().agg(F.count("*").alias("characters"))
-    size = dictionary.agg(F.count("*").alias("dictionary"))
+    n = size(merged(alphabets(texts, [])), [])
+    entries = dictionary.agg(F.count("*").alias("dictionary"))
     percent = F.when(F.col("dictionary") == 0, 0.0).otherwise(100.0 * F.col("characters") / F.col("dictionary"))
-    return n.crossJoin(size).withColumn("coverage", percent)
+    return n.crossJoin(entries).withColumn("coverage", percent)
 
 
 def sample_texts(texts: DataFrame, n: int = 10, key: str = "image", order: str = "idx") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import geometry as geo
+from .zonal import zonal_mean  # noqa: F401  of maps as well
 
 
 def layout(shape: Column) -> Column:
@@ -102,16 +102,6 @@ def channel_means(values: DataFrame) -> DataFrame:
     return values.groupBy("crop", "ch").agg(F.avg("v").alias("mean"))
 
 
-def zonal_mean(pixels: DataFrame, quads: DataFrame) -> DataFrame:
-    """map_id, box, n, total, mean of pixels whose centre lies in a box's quad; 0 where no pixel does. ``quads``: map_id, box, quad."""
-    bounds = quads.withColumn("b", geo.polygon_bounds(F.col("quad")))
-    cx, cy = F.col("px") + 0.5, F.col("py") + 0.5
-    near = (cx >= F.col("b.x")) & (cx <= F.col("b.x") + F.col("b.w")) & (cy >= F.col("b.y")) & (cy <= F.col("b.y") + F.col("b.h"))
-    inside = pixels.join(bounds, "map_id").filter(near & geo.point_in_quad(cx, cy, F.col("quad")))
-    sums = inside.groupBy("map_id", "box").agg(F.count("*").alias("n"), F.sum("p").alias("total"), F.avg("p").alias("mean"))
-    return quads.select("map_id", "box").join(sums, ["map_id", "box"], "left").fillna({"n": 0, "total": 0.0, "mean": 0.0})
-
-
 def compare_logits(left: DataFrame, right: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Per item of two runs of logits: both texts and scores, whether the texts agree, and how far the values differ."""
     a, b = ctc_decode(left, dictionary), ctc_decode(right, dictionary)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import tensors
+from ..operators import decoding, tensors
 from ..sources import views
 from ..sources.views import LOGITS
 from .registration import registration
@@ -17,16 +17,10 @@ def _dictionary(spark, d):
     return spark.createDataFrame(list(enumerate("abcdef")), "class_idx int, ch string")
 
 
-def _other(logits):
-    """A second run: the steps of the next item."""
-    return logits.withColumn("item", F.col("item") - 1)
-
-
-def _both(spark, d):
-    a = views.logits(spark, d)
-    b = _other(a)
-    shared = a.select("item").distinct().join(b.select("item").distinct(), "item")
-    return a.join(shared, "item", "left_semi"), b.join(shared, "item", "left_semi")
+def _items(spark, d):
+    """Embeddings as dumped logits of 8 classes a step."""
+    steps = F.floor(F.size("embedding") / 8).cast("int")
+    return views.table(spark, d, "embeddings").select(F.col("vec_id").alias("original_index"), F.col("embedding").alias("values"), steps.alias("time_steps"), F.lit(8).alias("num_classes"))
 
 
 BEST = LOGITS + ", best AS (SELECT item, t, c AS best, p FROM (SELECT *, row_number() OVER (PARTITION BY item, t ORDER BY p DESC, c) AS rn FROM logits) WHERE rn = 1)"
@@ -44,7 +38,7 @@ def a13(spark, d):
 
 @query("a14_w2_j7_ctc_decode", f"WITH {CTC} SELECT item, text, round(score, 8) AS score FROM decoded")
 def a14(spark, d):
-    return tensors.ctc_decode(views.logits(spark, d), _dictionary(spark, d)).withColumn("score", F.round("score", 8))
+    return decoding.decode_logits(_items(spark, d), _dictionary(spark, d)).withColumn("score", F.round("score", 8))
 
 
 @query("a6_tensor_diff", f"""WITH {PAIR} SELECT item, round(avg(abs(a - b)), 8) AS mean_diff, max(abs(a - b)) AS max_diff, round(avg(a), 8) AS mean_a, max(a) AS max_a,
@@ -90,7 +84,8 @@ def a15(spark, d):
     SELECT l.item, l.text AS left_text, r.text AS right_text, round(l.score, 8) AS left_score, round(r.score, 8) AS right_score, l.text = r.text AS same_text, d.mean_diff, d.max_diff
     FROM decoded l JOIN decoded r ON r.item = l.item + 1 JOIN (SELECT item, round(avg(abs(a - b)), 8) AS mean_diff, max(abs(a - b)) AS max_diff FROM duo GROUP BY item) d ON d.item = l.item""")
 def a19(spark, d):
-    r = tensors.compare_logits(*_both(spark, d), _dictionary(spark, d)).drop("same_shape")
+    a = _items(spark, d)
+    r = decoding.compare_items(a, a.withColumn("original_index", F.col("original_index") - 1), _dictionary(spark, d)).drop("same_shape")
     return r.withColumns({c: F.round(c, 8) for c in ("left_score", "right_score", "mean_diff")})
 
 
