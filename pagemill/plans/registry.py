@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boxes, corpus, logs, planning, running, streams, tensors
+from . import boxes, corpus, files, logs, planning, running, streams, tensors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for _part in (boxes, logs, tensors, planning, corpus, streams, running):
+for _part in (boxes, logs, tensors, planning, corpus, streams, running, files):
     QUERIES |= _part.QUERIES
     SQL |= _part.SQL
