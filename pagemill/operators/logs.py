@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .ranges import counted_up, median_of
 
 BENCH_JSON = "image string, source string, score_thresh double, warmups int, iterations int, detection_count int, elapsed_ms array<double>"
 FFI_PREFIX, APP_PREFIX = "[FFI_BENCH] ", "[APP_OCR_BENCH] "
@@ -83,12 +84,18 @@ def latest_entry(entries: DataFrame, by: str | None = None) -> DataFrame:
 
 
 def summarise(bench: DataFrame) -> DataFrame:
-    """Latency of each run and image (by base name): mean, exact median, least, most, samples."""
+    """Latency of each run and image (by base name): mean, exact median, least, most, samples.
+
+    Samples are counted by value first, and the median is found in running sums of the
+    counts, so no task holds the samples of an image. Null samples count for nothing.
+    """
     base = F.regexp_extract("image", r"([^/\\]+)$", 1)
     samples = bench.select("run", base.alias("image"), "detection_count", F.explode("elapsed_ms").alias("ms"))
-    return samples.groupBy("run", "image").agg(
-        F.max("detection_count").alias("detection_count"), F.avg("ms").alias("mean_ms"), F.median("ms").alias("median_ms"),
-        F.min("ms").alias("min_ms"), F.max("ms").alias("max_ms"), F.count("*").alias("samples"))
+    counts = samples.groupBy("run", "image", "ms").agg(F.max("detection_count").alias("detection_count"), F.count("*").alias("rows"), F.count("ms").alias("n"))
+    known = F.sum(F.col("ms") * F.col("n")) / F.sum("n")
+    return counted_up(counts, ["run", "image"], "ms", "n").groupBy("run", "image").agg(
+        F.max("detection_count").alias("detection_count"), known.alias("mean_ms"), median_of("ms").alias("median_ms"),
+        F.min("ms").alias("min_ms"), F.max("ms").alias("max_ms"), F.sum("rows").alias("samples"))
 
 
 def guard(base: DataFrame, current: DataFrame, ratio: float = 1.15) -> DataFrame:

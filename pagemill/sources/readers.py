@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions.text import json_text
+from ..operators.ranges import neighbours
 from .lines import read_lines  # noqa: F401  one of the readers
+from .tables import dropped, scratch, stored  # noqa: F401  used with the readers
 
 POINTS = "array<array<double>>"
 DETECTION = f"run string, image string, idx int, polygon {POINTS}, bounds struct<x:double,y:double,width:double,height:double>, text string, score double"
@@ -33,23 +33,6 @@ LANGUAGE = "code string, label string"
 REPORT = "image long, x double, y double, w double, h double"
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share, below ``spark.checkpoint.dir``; a local one only where driver and executors are one process."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        top = "file://" + tempfile.mkdtemp(prefix="pagemill-")
-    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a table in such a folder: for what several branches of a plan would each compute again."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def read_languages(spark: SparkSession, path: str) -> DataFrame:
     """code, label of a language file: one JSON list of entries."""
     return spark.read.schema(LANGUAGE).json(path, multiLine=True)
@@ -135,25 +118,28 @@ def parsed_requests(lines: DataFrame) -> DataFrame:
         good(F.coalesce("r.score_thresh", F.lit(0.5))).alias("score_thresh"), "error")
 
 
-def _nearest(queries: DataFrame, candidates: DataFrame, keys: list[str], field: str) -> DataFrame:
-    """Queries (q, ..., and the candidate's ``keys``) with the candidates' value of ``field`` that is nearest to their own, both if two are.
+def _step(reached: DataFrame, asked: DataFrame, whole: DataFrame, keys: list[str], field: str) -> DataFrame:
+    """One coordinate further: for each of ``asked`` (stage and own coordinates up to ``field``) the values of ``keys`` and ``field`` that are nearest so far.
 
-    An as-of search to either side among the distinct values of each key: what a key
-    gathers is bounded by the range of coordinates, not by the number of dumps.
+    ``reached`` is the same up to the coordinate before: own coordinates and ``found``, the
+    few ways there that are equally near (each coordinate may tie to either side).
     """
-    own = f"own_{field}"
-    there = candidates.select(*keys, field).distinct().select(*keys, F.col(field).alias("at"), F.col(field).alias("known"))
-    asked = queries.select(*keys, F.col(own).alias("at")).distinct().withColumn("known", F.lit(None).cast("int"))
-    line = Window.partitionBy(*keys).orderBy("at")
-    low = F.last("known", ignorenulls=True).over(line.rangeBetween(Window.unboundedPreceding, 0))
-    high = F.first("known", ignorenulls=True).over(line.rangeBetween(0, Window.unboundedFollowing))
-    found = there.unionByName(asked).select(*keys, "at", "known", low.alias("low"), high.alias("high")).filter("known is null")
-    d = F.least(F.col("at") - F.col("low"), F.col("high") - F.col("at"))
-    sides = F.array_distinct(F.array_compact(F.array(F.when(F.col("at") - F.col("low") == d, F.col("low")), F.when(F.col("high") - F.col("at") == d, F.col("high")))))
-    found = found.select(*keys, F.col("at").alias(own), d.alias("d"), F.explode(sides).alias(field))
-    joined = queries.join(found, [*keys, own])
-    least = Window.partitionBy("q")
-    return joined.withColumn("least", F.min("d").over(least)).filter("d = least").drop("d", "least")
+    own = [f"own_{k}" for k in keys[1:]]
+    ways = asked.join(reached, ["stage", *own]) if own else asked.withColumn("found", F.array(F.struct(F.col("stage").alias("stage"))))
+    ways = ways.select(*asked.columns, F.explode("found").alias("way")).select(*asked.columns, *[F.col(f"way.{k}").alias(f"at_{k}") for k in keys])
+    values = ways.select(*[F.col(f"at_{k}").alias(k) for k in keys], F.col(f"own_{field}").alias(field)).distinct()
+    beside = neighbours(values, whole.select(*keys, field), keys, field)
+    d = F.least(F.col(field) - F.col("low"), F.col("high") - F.col(field))
+    near = F.array_distinct(F.array_compact(F.array(F.when(F.col(field) - F.col("low") == d, F.col("low")), F.when(F.col("high") - F.col(field) == d, F.col("high")))))
+    sides = beside.select(*[F.col(k).alias(f"at_{k}") for k in keys], F.col(field).alias(f"own_{field}"), d.alias("d"), near.alias("near"))
+    joined = ways.join(sides, [*[f"at_{k}" for k in keys], f"own_{field}"])
+    found = F.transform("near", lambda v: F.struct(*[F.col(f"at_{k}").alias(k) for k in keys], v.alias(field)))
+    grouped = joined.groupBy(*asked.columns).agg(F.collect_list(F.struct("d", found.alias("to"))).alias("all"))  # at most 8 of them
+    least = F.array_min(F.transform("all", lambda x: x["d"]))
+    best = grouped.withColumn("least", least).select(*asked.columns, F.array_distinct(F.flatten(F.transform(F.filter("all", lambda x: x["d"] == F.col("least")), lambda x: x["to"]))).alias("found"))
+    out = stored(best)
+    dropped(beside)
+    return out
 
 
 def nearest_dumps(dumps: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -162,22 +148,26 @@ def nearest_dumps(dumps: DataFrame, candidates: DataFrame) -> DataFrame:
     Both sides: name, d (stage, x, y, w, h). Candidates whose numbers do not parse come
     last, by name; a dump whose own numbers do not parse gets the first name of its stage.
     Dumps of a stage without candidates are left out, repeated names are one dump. Nothing
-    lists the pairs of a stage: one coordinate after another is searched to either side.
+    lists the pairs of a stage: one coordinate after another is searched to either side,
+    among distinct values that lie in ranges (see ``operators.ranges``).
     """
-    number = [F.col(f"d.{k}").alias(k) for k in "xywh"]
-    whole = reduce(lambda a, b: a & b, [F.col(f"d.{k}").isNotNull() for k in "xywh"])
-    flat = candidates.select(F.col("d.stage").alias("stage"), F.col("name").alias("other"), *number, whole.alias("whole"))
-    flat = stored(flat)
-    asked = dumps.select("name", "d").distinct()
-    queries = asked.filter(whole).select(F.col("name").alias("q"), F.col("d.stage").alias("stage"), *[F.col(f"d.{k}").alias(f"own_{k}") for k in "xywh"])
-    keys = ["stage"]
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in "xywh"])
+    flat = lambda df, name: df.select(F.col("name").alias(name), "d.stage", *[f"d.{k}" for k in "xywh"]).distinct().withColumn("whole", whole)
+    there, asked = stored(flat(candidates, "other")), stored(flat(dumps, "name"))
+    own = asked.filter("whole").select("name", "stage", *[F.col(k).alias(f"own_{k}") for k in "xywh"])
+    keys, reached, past = ["stage"], None, []
     for field in "xywh":
-        queries = stored(_nearest(stored(queries) if field == "x" else queries, flat.filter("whole"), keys, field))
+        prefix = own.select("stage", *[f"own_{k}" for k in keys[1:]], f"own_{field}").distinct()
+        reached = _step(reached, prefix, there.filter("whole"), keys, field)
+        past.append(reached)
         keys = [*keys, field]
-    names = flat.filter("whole").groupBy(*keys).agg(F.min("other").alias("other"))
-    near = queries.join(names, keys).groupBy(F.col("q").alias("name")).agg(F.min("other").alias("near"))
-    first = flat.groupBy("stage").agg(F.min(F.when(F.col("whole"), F.col("other"))).alias("of_whole"), F.min("other").alias("of_all"))
-    rest = asked.select("name", F.col("d.stage").alias("stage"), whole.alias("parsed")).join(first, "stage")
+    dropped(*past[:-1])
+    names = there.filter("whole").groupBy(*keys).agg(F.min("other").alias("other"))
+    near = reached.select(F.col("stage").alias("of"), *[f"own_{k}" for k in "xywh"], F.explode("found").alias("f")).select("of", *[f"own_{k}" for k in "xywh"], "f.*").join(names, keys)
+    near = near.groupBy(F.col("of").alias("stage"), *[f"own_{k}" for k in "xywh"]).agg(F.min("other").alias("near"))
+    near = own.join(near, ["stage", *[f"own_{k}" for k in "xywh"]]).select("name", "near")
+    first = there.groupBy("stage").agg(F.min(F.when(F.col("whole"), F.col("other"))).alias("of_whole"), F.min("other").alias("of_all"))
+    rest = asked.select("name", "stage", F.col("whole").alias("parsed")).join(first, "stage")
     rest = rest.select("name", F.when(F.col("parsed"), F.coalesce("of_whole", "of_all")).otherwise(F.col("of_all")).alias("rest"))
     return rest.join(near, "name", "left").select("name", F.coalesce("near", "rest").alias("nearest"))
 
