@@ -176,29 +176,37 @@ def build_model(samples: dict[str, list[str]]) -> LanguageModel:
     return LanguageModel(languages, alphabet, table, starts, first, bits)
 
 
-def train_language_id(docs: DataFrame, sample_chars: int = 40_000, stretch: int = 2_000, sample_docs: int = 200) -> LanguageModel:
+def train_language_id(docs: DataFrame, sample_chars: int = 40_000, sample_docs: int = 200) -> LanguageModel:
     """Learn from rows of ``docs`` (doc_id, text, lang) with a text and a language.
 
-    Per language about ``sample_docs`` texts are drawn by a hash of id and text, whatever
-    their length. Of each at most ``stretch`` code points are taken, from a place that the
-    hash chooses, and in the order of the draw until ``sample_chars`` are reached. These
-    bounds are parameters of the fit alone. What comes to the driver is one row a language
-    and the drawn stretches.
+    Per language about ``sample_docs`` rows are drawn by a hash of id and text, and of
+    equal texts one. From the one of middle length outwards, whole texts are taken until
+    they have ``sample_chars`` code points together: at least one, the last as whole as the
+    others, and a very long one only where most are. These bounds are parameters of the
+    fit alone. What comes to the driver is a row a language, a hash and a length of each
+    row drawn, and the texts taken.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 30))
-    place = F.pmod(F.xxhash64("doc_id", "text", F.lit(12)), F.greatest(F.char_length("text") - stretch, F.lit(0)).cast("long") + 1)
-    known = known.select("lang", draw.alias("draw"), F.substring("text", (place + 1).cast("int"), F.lit(stretch)).alias("text"))
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).collect()
-    limits = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, sample_docs / r["n"]) * float(1 << 30))]) if sizes else None
-    drawn = known.filter(F.col("draw") < limits[F.col("lang")]) if sizes else known.limit(0)
+    known = known.select("lang", draw.alias("draw"), F.xxhash64("text", F.lit(12)).alias("key"), F.char_length("text").alias("size"), "text")
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return build_model({})
+    limits = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, sample_docs / n) * float(1 << 30))])
+    drawn = known.filter(F.col("draw") < limits[F.col("lang")])
+    taken = set()
+    for lang, rows in drawn.select("lang", "size", "key").distinct().toPandas().sort_values(["size", "key"]).groupby("lang"):
+        left = sample_chars
+        for i in sorted(range(len(rows)), key=lambda i, middle=len(rows) // 2: (abs(i - middle), i)):
+            if left <= 0:
+                break
+            left -= int(rows["size"].iloc[i])
+            taken.add((lang, int(rows["key"].iloc[i])))
+    chosen = docs.sparkSession.createDataFrame(sorted(taken), "lang string, key long")  # at most ``sample_docs`` rows a language
+    texts = drawn.join(F.broadcast(chosen), ["lang", "key"]).groupBy("lang", "key").agg(F.min("text").alias("text")).collect()
     samples: dict[str, list[str]] = {}
-    room: dict[str, int] = {}
-    for r in drawn.toPandas().sort_values(["lang", "draw", "text"]).itertuples():
-        left = sample_chars - room.get(r.lang, 0)
-        if left > 0:
-            samples.setdefault(r.lang, []).append(r.text[:left])
-            room[r.lang] = room.get(r.lang, 0) + len(r.text[:left])
+    for r in sorted(texts):
+        samples.setdefault(r["lang"], []).append(r["text"])
     return build_model(samples)
 
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from pagemill.llm import exact_dedup, sharding, warc
+from pagemill.llm import exact_dedup, language_id, sharding, warc
 from pagemill.llm._shared import table
 
 PAGE = "page_id long, url string, html string"
@@ -37,3 +37,17 @@ def test_the_least_long_is_an_id(spark):
     assert {(r.doc_id, r.keep_id, r.kept) for r in exact_dedup.exact_dedup(rows).collect()} == {(5, 5, True), (-(2**63), 5, False), (2**63 - 1, 5, False)}
     tie = spark.createDataFrame([(3, "x"), (-(2**63), "x")], "doc_id long, text string")
     assert {r.keep_id for r in exact_dedup.exact_dedup(tie).collect()} == {-(2**63)}
+
+
+def test_languages_are_learned_from_whole_texts(spark, monkeypatch):
+    taught = {}
+    monkeypatch.setattr(language_id, "build_model", taught.update)
+    some = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    rows = [(i, some(i % 30, 40 + i % 30), "en") for i in range(300)] + [(900, some(900, 30_000), "en"), (901, some(901, 9_000), "fi"), (902, None, "fi"), (903, "left", None)]
+    language_id.train_language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_chars=2000)
+    texts = {t for _, t, _ in rows if t}
+    assert set(taught) == {"en", "fi"}
+    assert all(t in texts for found in taught.values() for t in found)  # none is cut
+    assert taught["fi"] == [rows[301][1]]  # more than the sample, and the only one
+    sizes = [len(t) for t in taught["en"]]
+    assert len(set(taught["en"])) == len(sizes) and 2000 <= sum(sizes) < 2000 + max(sizes) and max(sizes) < 1000
