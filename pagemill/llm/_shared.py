@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from typing import Any
 
 import pyarrow as pa
@@ -24,8 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Folders of those who clean up behind a job (see ``cleared``), innermost last.
-_cleaners: list[list[str]] = []
+#: Folders of those who clean up behind a job (see ``cleared``), innermost last; each thread has its own.
+_cleaners: ContextVar[tuple[list[str], ...]] = ContextVar("_cleaners", default=())
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,8 +38,8 @@ def shared_folder(spark: SparkSession) -> str:
         top = "file://" + tempfile.mkdtemp(prefix="pagemill-")
         spark.conf.set("spark.checkpoint.dir", top)
     folder = f"{top.rstrip('/')}/pagemill-{uuid.uuid4().hex}"
-    if _cleaners:
-        _cleaners[-1].append(folder)
+    if own := _cleaners.get():
+        own[-1].append(folder)
     return folder
 
 
@@ -50,11 +51,13 @@ def delete(spark: SparkSession, folder: str) -> None:
 @contextmanager
 def cleared(spark: SparkSession) -> Iterator[None]:
     """Deletes, at the end, every folder that was made within: for jobs whose result has been written elsewhere by then."""
-    _cleaners.append([])
+    made: list[str] = []
+    before = _cleaners.set((*_cleaners.get(), made))
     try:
         yield
     finally:
-        for folder in _cleaners.pop():
+        _cleaners.reset(before)
+        for folder in made:
             delete(spark, folder)
 
 
@@ -117,6 +120,23 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def salted_join(left: DataFrame, right: DataFrame, key: str, weight: str, spread: list[str], support: float = 0.001) -> DataFrame:
+    """The inner join of ``left`` with ``right``, a table of ``written`` with one row a key, on ``key``.
+
+    ``weight`` is how many rows of ``left`` have the key. Keys of more than ``support`` of all
+    rows, at most 1 / ``support`` of them, are broadcast with the number of parts that they are
+    dealt to by a hash of ``spread``, and their rows of ``right`` are copied for each part, so no
+    task gets more than about ``support`` of the rows for one key. Keys must not be null.
+    """
+    most = max(1.0, support * (right.agg(F.sum(weight)).first()[0] or 0))
+    in_parts = F.ceil(F.col(weight) / most).cast("int")
+    hot = right.filter(F.col(weight) > most).select(F.col(key).alias("_hot"), in_parts.alias("_parts"))
+    dealt = left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    dealt = dealt.withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_parts").cast("long")).cast("int"), F.lit(0))).drop("_hot", "_parts")
+    copied = right.withColumn("_part", F.explode(F.sequence(F.lit(0), in_parts - 1)))
+    return dealt.join(copied.hint("merge"), [key, "_part"]).drop("_part")
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     """Add ``name``: a gapless number from 0 within ``keys``.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import discard, salted_join, written
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -13,15 +13,15 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Link each node's neighbours to the least of them: the larger ones (``large``), or the smaller ones and the node itself."""
+    """Link each node's neighbours to the least of them: the larger ones (``large``), or the smaller ones and the node itself. Edges of a node with many are spread."""
     edges = _both_ways(edges) if large else edges
-    least = edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    moved = edges.join(least, "a")
+    least = written(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("degree")), "least")
+    moved = salted_join(edges, least, "a", "degree", ["b"])
     if large:
         moved = moved.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         moved = moved.select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
-    return moved.filter(F.col("a") > F.col("b")).distinct()
+    return written(moved.filter(F.col("a") > F.col("b")).distinct(), "edges", instead_of=least)
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -40,4 +40,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         if state == before or not state[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         before = state
-        edges = written(_star(_star(edges, True), False), "edges", instead_of=edges)
+        larger = _star(edges, True)
+        discard(edges)
+        edges = _star(larger, False)
+        discard(larger)

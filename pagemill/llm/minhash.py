@@ -2,24 +2,27 @@
 
 A text is the set of its distinct five-word shingles. Under each of ``PERMUTATIONS``
 permutations both the least and the greatest shingle are kept, so one hash evaluation
-gives two values of the signature. Bands of ``ROWS`` values are the keys of buckets.
-A pair at similarity 0.75 misses one band with probability 1 - 0.75^4, and all 32 with
-about 5 in a million. Links are confirmed on full shingle sets.
+gives two values of the signature. Bands of ``ROWS`` minima, or of as many maxima, are the
+keys of buckets: values of one band come from different permutations, so they are independent
+in sets of a few shingles too. A pair at similarity 0.75 misses one band with probability
+1 - 0.75^4, and all 32 with about 5 in a million. Links are confirmed on full shingle sets.
 
 Texts with equal sets are one class, and only its representative goes on. Within a bucket
 pairs are not listed: every member is first compared with one hub, and those links give
-components. What is left are pairs of different components in a bucket. There all members
-outside the bucket's largest component visit the blocks over which the bucket is spread,
-so m members of which v are outside cost m + v * m / BLOCK rows, and are compared inside
-tasks: first by their signatures, then by their least ``SKETCH`` shingles, which are the
-whole sets of most texts. Where v is more than BLOCK too, members are banded again first:
-they meet only where a second band agrees as well, which leaves out a pair at similarity
-0.75 with probability 8 in 100,000 and thins out less similar ones.
+components. What is left are pairs of different components in a bucket. They count where a
+second band agrees as well, in buckets of every size, which leaves out a pair at similarity
+0.75 with probability 8 in 100,000 and most of the less similar ones. All members outside
+the bucket's largest component visit the blocks over which the bucket is spread, so m
+members of which v are outside cost m + v * m / BLOCK rows, and are compared inside tasks:
+first by their signatures, then by their least ``SKETCH`` shingles, which are the whole
+sets of most texts. Where v is more than BLOCK, members are dealt by the second band first,
+which brings the same pairs together with fewer visits. Texts that agree in two bands and
+are in different components by the thousand remain quadratic: m * v comparisons in blocks.
 
 Only pairs that still look alike leave the task and are confirmed on their sets. Either
 mark lies 4 standard deviations below 0.75, so that it turns a true pair down about once
-in 30,000. No bucket is capped, and no set is sent to a key that grows: sets of a hub are
-copied for salted parts of its pairs.
+in 30,000. No bucket is capped. Rows of a hot bucket or component are spread over tasks, and
+sets of a hub are copied for salted parts of its pairs.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import discard, parts, rows_kept, with_rows, written
+from ._shared import discard, parts, rows_kept, salted_join, with_rows, written
 from .components import connected_components
 
 SHINGLE = 5
@@ -86,14 +89,14 @@ class Shingler:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """(PERMUTATIONS, 2): the least and the greatest value of a non-empty set under each permutation."""
+    """(2, PERMUTATIONS): the least and the greatest value of a non-empty set under each permutation."""
     low = np.full(PERMUTATIONS, np.iinfo(np.uint64).max)
     high = np.zeros(PERMUTATIONS, dtype=np.uint64)
     for at in range(0, len(shingles), 1024):
         turned = (shingles[None, at : at + 1024] ^ _SHIFT[:, None]) * _TURN[:, None]
         np.minimum(low, turned.min(axis=1), out=low)
         np.maximum(high, turned.max(axis=1), out=high)
-    return np.stack([low, high], axis=1)
+    return np.stack([low, high])
 
 
 def band_keys(values: np.ndarray) -> np.ndarray:
@@ -169,9 +172,8 @@ def _alike(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.Da
                 same = values[other] == values[i]
                 bands = same.reshape(len(other), BANDS, ROWS).all(axis=2)
                 mark = bands.argmax(axis=1) == first_band[a]  # else an earlier band brings the pair
-                if second[a] >= 0:
-                    bands[:, first_band[a]] = False
-                    mark &= bands.argmax(axis=1) == second[a]
+                bands[:, first_band[a]] = False
+                mark &= bands.argmax(axis=1) == second[a] if second[a] >= 0 else bands.any(axis=1)
                 other = other[(same.mean(axis=1) >= similarity - SLACK) & mark]
                 found = [j for j in other.tolist() if similar(i, j)]
                 left += [i] * len(found)
@@ -215,19 +217,12 @@ def _sized(pairs: DataFrame, similarity: int) -> DataFrame:
     return pairs.filter(100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).distinct()
 
 
-def _with_hub(buckets: DataFrame) -> DataFrame:
-    """Each member of a bucket with the member of the least id."""
-    hubs = buckets.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"))
-    hubs = hubs.select("key", F.col("hub.node").alias("a"), F.col("hub.n").alias("n_a"))
-    return buckets.join(hubs, "key").filter(F.col("node") != F.col("a")).select("a", F.col("node").alias("b"), "n_a", F.col("n").alias("n_b"))
-
-
 def _mixed(placed: DataFrame) -> DataFrame:
     """Members (key, node, c, ...) of buckets with several components, with the bucket's size m, how many are outside its largest component, and whether this one is."""
     sizes = placed.groupBy("key", "c").agg(F.count("*").alias("k"))
-    whole = sizes.groupBy("key").agg(F.sum("k").alias("m"), F.max(F.struct("k", "c")).alias("most"), F.count("*").alias("components")).filter("components > 1")
-    whole = whole.select("key", "m", F.col("most.c").alias("largest"), (F.col("m") - F.col("most.k")).alias("v"))
-    return placed.join(whole.hint("merge"), "key").withColumn("outside", F.col("c") != F.col("largest")).drop("largest")
+    whole = sizes.groupBy("key").agg(F.sum("k").alias("m"), F.max(F.struct("k", "c")).alias("most"))
+    whole = written(whole.select("key", "m", F.col("most.c").alias("largest"), (F.col("m") - F.col("most.k")).alias("v")), "bucket_sizes")
+    return salted_join(placed, whole, "key", "m", ["node"]).filter("v > 0").withColumn("outside", F.col("c") != F.col("largest")).drop("largest")
 
 
 def _across_components(buckets: DataFrame, component: DataFrame, signed: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -267,12 +262,14 @@ def _linked(rows: DataFrame, similarity: int, last_use: bool = False) -> DataFra
     classes = written(named.groupBy("set_key").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("copies")), "classes")
     heads = named.select(F.col("row").alias("node"), "n_shingles", "bands").join(classes.select("node").hint("merge"), "node")
     places = heads.select(F.posexplode("bands").alias("band", "key"), "node", F.col("n_shingles").alias("n"))
-    shared = places.groupBy("key").agg(F.count("*").alias("members")).filter(F.col("members") > 1).select("key")
-    buckets = written(places.join(shared.hint("merge"), "key"), "buckets")
+    shared = places.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("node", "n")).alias("hub")).filter(F.col("members") > 1)
+    shared = written(shared.select("key", "members", F.col("hub.node").alias("a"), F.col("hub.n").alias("n_a")), "shared")
+    buckets = written(salted_join(places, shared, "key", "members", ["node"]).drop("members"), "buckets", instead_of=shared)
     crowd = buckets.select(F.col("node").alias("row")).distinct()
     sets = written(rows.select("row", "text").join(crowd.hint("merge"), "row", "left_semi").mapInArrow(_sets, "node long, shingles array<long>, signature binary, sketch binary"), "sets", instead_of=rows if last_use else None)
 
-    near_hub = written(_sized(_with_hub(buckets), similarity), "hub_pairs")
+    with_hub = buckets.filter(F.col("node") != F.col("a")).select("a", F.col("node").alias("b"), "n_a", F.col("n").alias("n_b"))
+    near_hub = written(_sized(with_hub, similarity), "hub_pairs")
     component = connected_components(written(_confirmed(near_hub, sets, similarity), "hub_links"))
     rest = _sized(_across_components(buckets, component, signed, sets, similarity), similarity)
     pairs = written(rest.join(near_hub, ["a", "b"], "left_anti"), "pairs")
@@ -288,8 +285,8 @@ def _linked(rows: DataFrame, similarity: int, last_use: bool = False) -> DataFra
     component = written(led.unionByName(merged.join(component.select("node"), "node", "left_anti")), "components")
 
     joined = classes.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = joined.groupBy("component").agg(F.min("least").alias("found"))
-    of_class = written(joined.join(least, "component").select(F.col("set_key").alias("k"), "found", "copies"), "found")
+    least = written(joined.groupBy("component").agg(F.min("least").alias("found"), F.count("*").alias("classes")), "least")
+    of_class = written(salted_join(joined, least, "component", "classes", ["node"]).select(F.col("set_key").alias("k"), "found", "copies"), "found", instead_of=least)
     return _with_component(signed.select("doc_id", "n_shingles", "set_key"), of_class)
 
 
