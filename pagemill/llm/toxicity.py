@@ -4,8 +4,9 @@ A text's features are the hashed n-grams that occur in it (presence, not counts)
 case, over code points. Ratios are counted over all labelled texts, in tasks, then added
 up per bucket. A bucket in fewer than ``least_documents`` texts, or with a log ratio of
 less than ``least_ratio`` either way, has no say: its ratio counts as 0. The linear
-weights are fitted to about ``fit_rows`` of the labelled texts, with at most
-``fit_features`` features in all, which bounds what the driver holds.
+weights are fitted to about ``fit_rows`` of the labelled texts, drawn by a hash, or to
+as many of the first of them as have ``fit_features`` features in all, which bounds what
+the driver holds. Whether a text is drawn does not depend on its length.
 """
 
 from __future__ import annotations
@@ -91,9 +92,9 @@ def train_toxicity(
     """Fit to ``labelled`` (doc_id, text, toxic 0 or 1; other labels and nulls are left out).
 
     Ratios come from every row. The weights are fitted to a sample of about ``fit_rows``
-    rows, half of each class, chosen by a hash of id and text; texts are taken in that order,
-    and one that would bring its class over half of ``fit_features`` is passed over. The
-    sample does not grow with the input. Without rows of both classes every score is the share of toxic rows (0.5 without rows).
+    rows, half of each class, chosen by a hash of id and text; texts are taken in that order
+    until the first that would bring its class over half of ``fit_features``. The sample
+    does not grow with the input. Without rows of both classes every score is the share of toxic rows (0.5 without rows).
     """
     spark = labelled.sparkSession
     known = labelled.filter(F.col("toxic").isin(0, 1)).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
@@ -128,11 +129,9 @@ def train_toxicity(
     share = F.when(F.col("toxic") == 1, min(1.0, fit_rows / 2 / toxic)).otherwise(min(1.0, fit_rows / 2 / clean))
     drawn = known.withColumn("draw", draw).filter(F.pmod("draw", F.lit(1 << 30)) / float(1 << 30) < share)
     drawn = written(drawn.mapInArrow(features, "toxic int, draw long, n long, at array<int>"), "drawn")
-    room, taken = {0: fit_features // 2, 1: fit_features // 2}, []
-    for r in drawn.select("toxic", "draw", "n").toPandas().sort_values(["toxic", "draw"]).drop_duplicates().itertuples():
-        if r.n <= room[r.toxic]:
-            room[r.toxic] -= r.n
-            taken.append((r.toxic, r.draw))
+    order = drawn.select("toxic", "draw", "n").toPandas().sort_values(["toxic", "draw"]).drop_duplicates(["toxic", "draw"])
+    fits = order.groupby("toxic")["n"].cumsum() <= fit_features // 2
+    taken = [(int(r.toxic), int(r.draw)) for r in order[fits].itertuples()]
     chosen = spark.createDataFrame(taken, "toxic int, draw long")
     sample = drawn.join(F.broadcast(chosen), ["toxic", "draw"]).select("toxic", "draw", "at").dropDuplicates(["toxic", "draw"]).toPandas().sort_values(["toxic", "draw"])
     discard(known, drawn)
