@@ -41,6 +41,7 @@ def op3_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _spoiled(spark: SparkSession, source: str, target: str, every: int) -> int:
     """Copies of archives with a byte in the middle of each ``every``-th page's record turned over; returns how many."""
+    salvage = warc.salvage  # a module that is shipped by value would take along what cannot be pickled
 
     def spoil(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -49,7 +50,7 @@ def _spoiled(spark: SparkSession, source: str, target: str, every: int) -> int:
                 store, place = fs.FileSystem.from_uri(path)
                 with store.open_input_file(place) as file:
                     data = bytearray(file.read())
-                for r in warc.salvage(bytes(data)):
+                for r in salvage(bytes(data)):
                     page = r["record_id"].rpartition(":")[2]
                     if page and int(page) % every == 0:
                         data[r["offset"] + r["length"] // 2] ^= 255
