@@ -39,7 +39,7 @@ def op3_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.pages_through_warc(table(spark, sf_dir, "pages"))
 
 
-def _spoiled(spark: SparkSession, source: str, target: str, every: int) -> int:
+def _spoiled(spark: SparkSession, source: str, target: str, every: int, most: int = warc.MOST_BYTES) -> int:
     """Copies of archives with a byte in the middle of each ``every``-th page's record turned over; returns how many."""
     salvage = warc.salvage  # a module that is shipped by value would take along what cannot be pickled
 
@@ -50,7 +50,7 @@ def _spoiled(spark: SparkSession, source: str, target: str, every: int) -> int:
                 store, place = fs.FileSystem.from_uri(path)
                 with store.open_input_file(place) as file:
                     data = bytearray(file.read())
-                for r in salvage(bytes(data)):
+                for r in salvage(bytes(data), most):
                     page = r["record_id"].rpartition(":")[2]
                     if page and int(page) % every == 0:
                         data[r["offset"] + r["length"] // 2] ^= 255
@@ -68,11 +68,14 @@ def _spoiled(spark: SparkSession, source: str, target: str, every: int) -> int:
 def warc_damaged_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, recovered: which pages the salvage reader brings back from archives in which every 97th page's record is damaged."""
     pages, top = table(spark, sf_dir, "pages"), shared_folder(spark)
-    n = warc.archived(pages, f"{top}/archives")
-    bad = _spoiled(spark, f"{top}/archives", f"{top}/damaged", 97)
-    read = written(warc.read_warc(spark, f"{top}/damaged", with_payload=False).drop("payload"), "read")
-    found = warc.pages_of_records(warc.quarantined(read, n - bad, f"{top}/gaps")).select("page_id", F.lit(True).alias("found"))
-    return pages.select("page_id").join(found, "page_id", "left").select("page_id", F.coalesce("found", F.lit(False)).alias("recovered"))
+    n, most = warc.archived(pages, f"{top}/archives"), warc.most_bytes(pages)
+    bad = _spoiled(spark, f"{top}/archives", f"{top}/damaged", 97, most)
+    read = written(warc.read_warc(spark, f"{top}/damaged", with_payload=False, most=most).drop("payload"), "read")
+    back = warc.quarantined(read, n - bad, f"{top}/gaps", whole=True)
+    found = warc.pages_of_records(back).select("page_id", F.lit(True).alias("found")).distinct()
+    # a page without an id is no page whose return its id could show
+    recovered = F.when(F.col("page_id").isNotNull(), F.coalesce("found", F.lit(False)))
+    return pages.select("page_id").join(found, "page_id", "left").select("page_id", recovered.alias("recovered"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

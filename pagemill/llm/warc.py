@@ -313,6 +313,12 @@ def pages_of_records(records: DataFrame) -> DataFrame:
     return records.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
 
 
+def most_bytes(pages: DataFrame) -> int:
+    """How large a record of ``pages`` may be: the reader's own limit, or the largest page if that needs more."""
+    largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    return max(MOST_BYTES, largest + _HEADER + len(_HTTP))
+
+
 def pages_through_warc(pages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to as read back from archives of ``pages``.
 
@@ -320,8 +326,6 @@ def pages_through_warc(pages: DataFrame) -> DataFrame:
     not read is in the table ``gaps`` beside the archives.
     """
     top = shared_folder(pages.sparkSession)
-    largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
     n = archived(pages, f"{top}/archives")
-    most = max(MOST_BYTES, largest + _HEADER + len(_HTTP))
-    read = written(read_warc(pages.sparkSession, f"{top}/archives", with_payload=False, most=most).drop("payload"), "read")
+    read = written(read_warc(pages.sparkSession, f"{top}/archives", with_payload=False, most=most_bytes(pages)).drop("payload"), "read")
     return pages_of_records(quarantined(read, n, f"{top}/gaps", whole=True))
