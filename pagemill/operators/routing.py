@@ -59,12 +59,23 @@ def routed(rows: DataFrame, code: str = "lang") -> DataFrame:
         {"rec": F.coalesce("rec", F.lit(DEFAULT)), "det": F.lit(DETECTOR), "cls": F.lit(CLASSIFIER)})
 
 
-def asset_check(required: DataFrame, files: DataFrame) -> DataFrame:
-    """root, ok, failures: each required (root, role, model) needs a directory, a model file and its parameters; ``files``: root, model, file."""
-    j = required.join(files, ["root", "model"], "left").groupBy("root", "role", "model").agg(
+def asset_check(required: DataFrame, files: DataFrame, part_rows: int = 500_000) -> DataFrame:
+    """root, ok, failures: each required (root, role, model) needs a directory, a model file and its parameters; ``files``: root, model, file.
+
+    Roots are dealt to parts of about ``part_rows`` rows of both tables, since rows this much alike are
+    so small in an exchange that Spark by itself would put too many in one task.
+    """
+    there = files.filter(F.col("root").isNotNull() & F.col("model").isNotNull())
+    both = required.select("root", "model", F.struct("role").alias("need"), F.lit(None).cast("string").alias("file")).unionByName(
+        there.select("root", "model", F.lit(None).cast(required.select(F.struct("role").alias("r")).schema["r"].dataType).alias("need"), "file"))
+    n = max(int(required.sparkSession.conf.get("spark.sql.shuffle.partitions")), (required.count() + there.count()) // part_rows + 1)
+    # both levels of grouping are by root, so this one exchange serves both
+    of_model = both.repartition(n, "root").groupBy("root", "model").agg(
+        F.collect_set("need").alias("needs"),
         F.coalesce(F.bool_or(F.col("file").isNotNull()), F.lit(False)).alias("dir"),
         F.coalesce(F.bool_or(F.col("file").isin("inference.json", "inference.pdmodel")), F.lit(False)).alias("model_file"),
         F.coalesce(F.bool_or(F.col("file") == "inference.pdiparams"), F.lit(False)).alias("params"))
+    j = of_model.withColumn("need", F.explode("needs")).select("root", "need.role", "model", "dir", "model_file", "params")
     ok = F.col("dir") & F.col("model_file") & F.col("params")
     place = F.array_position(F.array(F.lit("det"), F.lit("cls"), F.lit("rec")), F.col("role"))
     text = F.format_string("%s(%s): dir=%s, model_file=%s, params=%s", "role", "model", F.col("dir").cast("string"), F.col("model_file").cast("string"), F.col("params").cast("string"))

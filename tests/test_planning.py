@@ -2,7 +2,7 @@
 
 import pytest
 
-from pagemill.operators import boxes, planning
+from pagemill.operators import boxes, planning, routing
 
 
 @pytest.mark.parametrize(
@@ -47,3 +47,18 @@ def test_crop_offset(spark):
     rows = spark.createDataFrame([(1, 10.0, 20.0), (1, 1.0, 2.0)], "image int, x double, y double")
     origins = spark.createDataFrame([(1, 5.0, 7.0)], "image int, ox double, oy double")
     assert sorted((r.x, r.y) for r in boxes.moved(rows, origins).collect()) == [(6.0, 9.0), (15.0, 27.0)]
+
+
+def test_assets_are_checked_in_parts_of_bounded_rows(spark):
+    need = [(r, role, f"{role}_m") for r in [*range(40), None] for role in ("det", "cls", None)] + [(1, "det", "det_m"), (2, "rec", None)]
+    have = [(r, f"{role}_m", f) for r in range(40) for role in ("det", "cls") for f in ("inference.json", "inference.pdiparams") if (r + len(f)) % 5]
+    have += [(None, "det_m", "inference.json"), (2, None, "inference.json"), (7, "other", "inference.json"), (8, "det_m", None)]
+    df = spark.createDataFrame(need, "root long, role string, model string"), spark.createDataFrame(have, "root long, model string, file string")
+    found = routing.asset_check(*df, part_rows=20)
+    assert found.rdd.getNumPartitions() >= (len(need) + len(have)) // 20
+    want = {}
+    for r, role, model in set(need):
+        files = [f for root, m, f in have if r is not None and model is not None and (root, m) == (r, model)]
+        want.setdefault(r, []).append(any(f is not None for f in files) and "inference.json" in files and "inference.pdiparams" in files)
+    assert {r.root: (r.ok, r.failures.count("dir=") if None not in [n[1] for n in need if n[0] == r.root] else None) for r in found.collect()} == {
+        r: (all(oks), oks.count(False) if None not in [n[1] for n in need if n[0] == r] else None) for r, oks in want.items()}
