@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geometry as geo
 from .matching import greedy_match  # noqa: F401  part of a comparison
 
 
@@ -15,19 +14,22 @@ def iou_pairs(left: DataFrame, right: DataFrame, least: float = 0.5, cell: float
     Boxes are dealt to strips ``cell`` high, and only boxes that share a strip meet, each pair in its first
     common strip, so an image's boxes do not all meet; None lets them.
     """
-    a = left.select("image", F.col("idx").alias("l"), F.struct(*"xywh").alias("a"), F.col("text").alias("l_text"))
-    b = right.select("image", F.col("idx").alias("r"), F.struct(*"xywh").alias("b"), F.col("text").alias("r_text"))
+    # plain columns, worked out once a box: the condition of the join is put to every two boxes that meet
+    sides = lambda s: [F.col("x").alias(f"{s}x"), (F.col("x") + F.col("w")).alias(f"{s}x2"), F.col("y").alias(f"{s}y"), (F.col("y") + F.col("h")).alias(f"{s}y2"), (F.col("w") * F.col("h")).alias(f"{s}area")]
+    left, right = left.dropna(subset=list("xywh")), right.dropna(subset=list("xywh"))
+    a = left.select("image", F.col("idx").alias("l"), *sides("a"), F.col("text").alias("l_text"))
+    b = right.select("image", F.col("idx").alias("r"), *sides("b"), F.col("text").alias("r_text"))
     on = ["image"]
     if cell:
-        strips = lambda s: F.explode(F.sequence(F.floor(F.col(f"{s}.y") / cell), F.floor((F.col(f"{s}.y") + F.col(f"{s}.h")) / cell)))
-        a, b, on = a.withColumn("strip", strips("a")), b.withColumn("strip", strips("b")), ["image", "strip"]
+        strip = lambda c: F.floor(F.col(c) / cell)
+        in_strips = lambda df, s: df.withColumn(f"{s}top", strip(f"{s}y")).withColumn("strip", F.explode(F.sequence(f"{s}top", strip(f"{s}y2"))))
+        a, b, on = in_strips(a, "a"), in_strips(b, "b"), ["image", "strip"]
     pairs = a.join(b, on)
     if cell:
-        pairs = pairs.filter(F.col("strip") == F.greatest(F.floor(F.col("a.y") / cell), F.floor(F.col("b.y") / cell)))
-    overlapping = (F.col("a.x") < F.col("b.x") + F.col("b.w")) & (F.col("b.x") < F.col("a.x") + F.col("a.w")) & (
-        F.col("a.y") < F.col("b.y") + F.col("b.h")) & (F.col("b.y") < F.col("a.y") + F.col("a.h"))
-    value = geo.iou(F.col("a"), F.col("b"))
-    return pairs.filter(overlapping).withColumn("iou", value).filter(F.col("iou") >= least).select("image", "l", "r", "iou", "l_text", "r_text")
+        pairs = pairs.filter(F.col("strip") == F.greatest("atop", "btop"))
+    w, h = F.least("ax2", "bx2") - F.greatest("ax", "bx"), F.least("ay2", "by2") - F.greatest("ay", "by")
+    union = F.col("aarea") + F.col("barea") - w * h
+    return pairs.filter((w > 0) & (h > 0) & (union > 0) & (w * h / union >= least)).select("image", "l", "r", (w * h / union).alias("iou"), "l_text", "r_text")
 
 
 def unmatched(left: DataFrame, right: DataFrame, matches: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..operators import blocks, boxes, parity
-from ..sources import views
+from ..sources import readers, views
 from ..sources.views import DET, DET_B
 from .registration import registration
 
@@ -248,7 +248,7 @@ def f6(spark, d):
 
 
 def _runs(spark, d):
-    a = _clean(spark, d)
+    a = readers.stored(_clean(spark, d))  # both runs and what is counted of them read it
     return a, parity.iou_pairs(a, views.other_run(a)), views.other_run(a)
 
 
@@ -299,7 +299,7 @@ def j2(spark, d):
     UNION ALL SELECT 'right', image, idx, text FROM det_b c WHERE NOT EXISTS (SELECT 1 FROM matches m WHERE m.image = c.image AND m.r = c.idx)""")
 def j3(spark, d):
     a, pairs, b = _runs(spark, d)
-    return parity.unmatched(a, b, parity.greedy_match(pairs))
+    return parity.unmatched(a, b, readers.stored(parity.greedy_match(pairs).select("image", "l", "r")))  # both sides ask for it
 
 
 @query("a2_parity_counters", f"""WITH RECURSIVE {COUNTERS} SELECT *, CASE WHEN n_left = 0 THEN 1 ELSE exact / n_left END AS exact_of_left,

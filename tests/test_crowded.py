@@ -163,3 +163,28 @@ def test_blocks_of_a_tall_image(spark, gap):
     assert len(found) == (20_000 if gap == 60 else 10)
     assert sum(len(r.members) for r in found) == 20_000
     assert time.time() - began < 150
+
+
+@pytest.mark.parametrize("rounds, crowd", [(0, 0), (1, 0), (6, 0), (2, 12)])
+def test_matches_of_crowded_images_among_others(spark, rounds, crowd):
+    rng = random.Random(rounds + 10)
+    rows = list({(i, l, r): (i, rng.randrange(4) / 4 + 0.1, l, r, f"a{l}", f"b{r}") for i in [*range(25), None] for l, r in ((rng.randrange(8), rng.randrange(8)) for _ in range(rng.randrange(1, 40)))}.values())
+    got = matching.greedy_match(spark.createDataFrame(rows, PAIR), rounds, crowd).collect()
+    want = {(i, *m) for i in [*range(25), None] for m in greedy([r for r in rows if r[0] == i])}
+    assert {(r.image, r["rank"], r.iou, r.l, r.r) for r in got} == want and len(got) == len(want)
+
+
+def test_images_of_few_pairs_take_one_pass(spark, monkeypatch):
+    """Two tables are stored, the pairs and the crowded images, where every round would store one more."""
+    kept, stored = [], matching.stored
+    monkeypatch.setattr(matching, "stored", lambda df: kept.append(df) or stored(df))
+    chain = [(i, 0.5, l, r, "", "") for i in range(5) for l in range(20) for r in (l - 1, l) if r >= 0]
+    assert matching.greedy_match(spark.createDataFrame(chain, PAIR)).count() == 100
+    assert len(kept) == 2
+
+
+def test_boxes_without_area_or_values_pair_with_nothing(spark):
+    rows = [(1, 1, 0.0, 0.0, 10.0, 10.0, "a"), (1, 2, 0.0, 0.0, 0.0, 10.0, "b"), (1, 3, 2.0, 2.0, -1.0, -1.0, "c"), (1, 4, None, 0.0, 10.0, 10.0, "d"), (1, 5, 0.0, None, 10.0, 10.0, "e")]
+    df = spark.createDataFrame(rows, DETECTION)
+    for cell in (None, 64.0):
+        assert [(r.l, r.r, r.iou) for r in parity.iou_pairs(df, df, 0.5, cell).collect()] == [(1, 1, 1.0)]
