@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 POINT = "struct<x:double,y:double>"
+CORNERS = f"array<{POINT}>"
 
 
 def area(b) -> Column:
@@ -88,46 +92,73 @@ def cross(o, a, b) -> Column:
     return (a["x"] - o["x"]) * (b["y"] - o["y"]) - (a["y"] - o["y"]) * (b["x"] - o["x"])
 
 
-def order_clockwise(points: Column) -> Column:
-    """Four corners by angle around their mean, from the one nearest the top left; turned over if they run the other way."""
-    mean = lambda c: F.aggregate(points, F.lit(0.0), lambda a, p: a + p[c]) / 4.0
+def _quads(points: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Corners as numbers, by row, corner and coordinate, of the rows that hold four whole ones, and which rows these are."""
+    size = pc.fill_null(pc.list_value_length(points), 0).to_numpy(zero_copy_only=False)
+    four = size == 4
+    at = (np.cumsum(size) - size)[four][:, None] + np.arange(4)
+    q = np.stack([c.to_numpy(zero_copy_only=False).astype(float)[at] for c in points.flatten().flatten()], axis=2)
+    clear = ~np.isnan(q).any(axis=(1, 2))
+    four[four] = clear
+    return q[clear], four
+
+
+def _as_points(q: np.ndarray, whole: np.ndarray) -> pa.Array:
+    """The opposite: null for rows that are not ``whole``."""
+    ends = np.concatenate([[0], np.cumsum(4 * whole)]).astype(np.int32)
+    corners = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(q[:, :, k]).ravel()) for k in (0, 1)], ["x", "y"])
+    return pa.ListArray.from_arrays(pa.array(ends), corners, mask=pa.array(~whole))
+
 
-    def by_angle(center: Column) -> Column:
-        return F.transform(
-            F.sort_array(F.transform(points, lambda p, i: F.struct(
-                F.atan2(p["y"] - center["y"], p["x"] - center["x"]).alias("angle"), i.alias("i"), p.alias("p")))),
-            lambda s: s["p"])
+def _picked(q: np.ndarray, order: np.ndarray) -> np.ndarray:
+    return np.take_along_axis(q, order[:, :, None], axis=1)
 
-    def turned(ordered: Column) -> Column:
-        sums = F.transform(ordered, lambda p: p["x"] + p["y"])
-        first = F.array_position(sums, F.array_min(sums)).cast("int")
-        return F.concat(F.slice(ordered, first, F.lit(4)), F.slice(ordered, F.lit(1), first - 1))
 
-    def flipped(q: Column) -> Column:
-        return F.when(cross(q[0], q[1], q[2]) < 0, F.array(q[0], q[3], q[2], q[1])).otherwise(q)
+def _clockwise(points: pa.Array) -> pa.Array:
+    q, whole = _quads(points)
+    x, y = (q[:, :, k] - ((q[:, 0, k] + q[:, 1, k] + q[:, 2, k] + q[:, 3, k]) / 4)[:, None] for k in (0, 1))
+    q = _picked(q, np.argsort(np.arctan2(y, x), axis=1, kind="stable"))
+    q = _picked(q, (np.argmin(q[:, :, 0] + q[:, :, 1], axis=1)[:, None] + np.arange(4)) % 4)
+    o, a, b = q[:, 0], q[:, 1], q[:, 2]
+    other = (a[:, 0] - o[:, 0]) * (b[:, 1] - o[:, 1]) - (a[:, 1] - o[:, 1]) * (b[:, 0] - o[:, 0]) < 0
+    q[other] = q[other][:, [0, 3, 2, 1]]
+    return _as_points(q, whole)
 
-    bound = lambda value, body: F.transform(F.array(value), body)[0]
-    center = F.struct(mean("x").alias("x"), mean("y").alias("y"))
-    return bound(bound(bound(center, by_angle), turned), flipped)
+
+def order_clockwise(points: Column) -> Column:
+    """Four corners by angle around their mean, from the one nearest the top left; turned over if they run the other way. Null where there are not four whole corners."""
+    return F.arrow_udf(_clockwise, CORNERS)(points.cast(CORNERS))
 
 
-def _by_x(points: Column) -> Column:
-    return F.sort_array(F.transform(points, lambda p: F.struct((F.round(p["x"] * 10000) / 10000).alias("k"), p["y"].alias("y"), p["x"].alias("x"))))
+def _cropped(points: pa.Array) -> pa.Array:
+    q, whole = _quads(points)
+    k = q[:, :, 0] * 10000
+    down = np.trunc(k)
+    k = (down + np.sign(k) * (np.abs(k - down) >= 0.5)) / 10000  # half goes away from zero
+    q = _picked(q, np.lexsort((q[:, :, 0], q[:, :, 1], k), axis=1))
+    left, right = (np.where(q[:, i + 1, 1] > q[:, i, 1], 0, 1) for i in (0, 2))  # which of two is the upper
+    return _as_points(_picked(q, np.stack([left, 2 + right, 3 - right, 1 - left], axis=1)), whole)
 
 
 def crop_order(points: Column) -> Column:
     """Corners of a crop: the upper left of the two leftmost, the upper and lower of the two rightmost, the lower left.
 
-    Positions within 1e-4 along x count as equal, by rounding, which unlike a tolerance gives one order.
+    Positions within 1e-4 along x count as equal, by rounding, which unlike a tolerance gives one order. Null
+    where there are not four whole corners.
     """
+    return F.arrow_udf(_cropped, CORNERS)(points.cast(CORNERS))
+
+
+def _told(points: pa.Array) -> pa.Array:
+    q, whole = _quads(points)
+    form = " ".join(["%.4f,%.4f"] * 4)
+    texts = iter([form % tuple(r) for r in q.reshape(-1, 8).tolist()])
+    return pa.array([next(texts) if w else None for w in whole], pa.string())
 
-    def ordered(s: Column) -> Column:
-        up = lambda a, b: F.when(b["y"] > a["y"], a).otherwise(b)
-        down = lambda a, b: F.when(b["y"] > a["y"], b).otherwise(a)
-        picked = F.array(up(s[0], s[1]), up(s[2], s[3]), down(s[2], s[3]), down(s[0], s[1]))
-        return F.transform(picked, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
 
-    return F.transform(F.array(_by_x(points)), ordered)[0]
+def corners_text(points: Column) -> Column:
+    """Four corners as text: x,y with four decimals, with a space between."""
+    return F.arrow_udf(_told, "string")(points.cast(CORNERS))
 
 
 def short_side(box: Column) -> Column:

@@ -226,10 +226,9 @@ def f4(spark, d):
     """Corners of turned rectangles, dealt out of order; half a degree keeps two corners from being equally far up and left."""
     det = views.detections(spark, d)
     turned = geo.rotated_corners(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.radians(F.col("part") % 90 + 0.5))
-    shuffled = det.select("image", "idx", F.transform(F.array(F.lit(2), F.lit(0), F.lit(3), F.lit(1)), lambda i: F.get(turned, i)).alias("p"))
-    told = lambda q: F.array_join(F.transform(q, lambda p: F.format_string("%.4f,%.4f", p["x"], p["y"])), " ")
-    ordered = shuffled.select("image", "idx", geo.order_clockwise(F.col("p")).alias("c"), geo.crop_order(F.col("p")).alias("q"))
-    return ordered.select("image", "idx", told("c").alias("clockwise"), told("q").alias("crop"), F.round(geo.short_side(F.col("q")), 6).alias("short_side"))
+    p = det.select("image", "idx", F.array(*[turned[i] for i in (2, 0, 3, 1)]).alias("p"))
+    c, q = geo.order_clockwise(F.col("p")), geo.crop_order(F.col("p"))
+    return p.select("image", "idx", geo.corners_text(c).alias("clockwise"), geo.corners_text(q).alias("crop"), F.round(geo.short_side(q), 6).alias("short_side"))
 
 
 @query("f5_crop_size", f"WITH {DET} SELECT image, idx, CAST(greatest(trunc(w), 1) AS INTEGER) AS out_w, CAST(greatest(trunc(h), 1) AS INTEGER) AS out_h FROM det")
