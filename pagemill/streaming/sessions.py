@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,34 +25,53 @@ def current_results(events: DataFrame, opens: str = "capture", answers: str = "r
     return events.withColumn("_newest", newest).filter((F.col("kind") == answers) & (F.col("gen") == F.col("_newest"))).drop("_newest")
 
 
-def stream_current_results(events: DataFrame, opens: str = "capture", answers: str = "result", delay: str = "10 minutes", idle_ms: int = 3_600_000) -> DataFrame:
-    """The same over a stream: one number of state per session, dropped ``idle_ms`` of event time after its last event.
+#: Stands for a generation that is not there.
+_NONE = -(2**63)
 
-    Events may come up to ``delay`` late; within a batch they are put in order, and what is
-    later than that is dropped. Timeouts follow the watermark, so a run over what is there
-    ends by itself.
+
+def stream_current_results(events: DataFrame, opens: str = "capture", answers: str = "result", delay: str = "10 minutes", idle_ms: int = 3_600_000, buckets: int = 1024) -> DataFrame:
+    """The same over a stream: two numbers of state per session, dropped ``idle_ms`` of event time after its last event.
+
+    Sessions are dealt to ``buckets`` by a hash, and a bucket's state and rows are worked on together, since a
+    call for each session costs far more than its rows; so a bucket holds its share of all live sessions. Events
+    may come up to ``delay`` late; within a batch they are put in order, and what is later than that is
+    dropped. Timeouts follow the watermark, so a run over what is there ends by itself.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        names, newest, ends = map(list, state.get) if state.exists else ([], [], [])
+        known = pd.DataFrame({"newest": newest, "end": ends}, index=pd.Index(names, dtype="int64"), dtype="int64")
+        passed = state.getCurrentWatermarkMs()
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches)).sort_values(["_session", "ts", "seq"])
+            session = rows["_session"]
+            before = known["newest"].reindex(session.unique(), fill_value=_NONE)
+            opened = rows["_gen"].where(rows["kind"] == opens, _NONE)
+            now = np.maximum(opened.groupby(session).cummax().to_numpy(), before.loc[session].to_numpy())
+            keep = ((rows["kind"] == answers) & (rows["_gen"] == now) & (now != _NONE)).to_numpy()
+            last = pd.DataFrame({"newest": now, "ts": rows["ts"].to_numpy()}).groupby(session.to_numpy()).agg({"newest": "max", "ts": "max"})
+            # whole milliseconds, rounded down
+            end = np.maximum(last["ts"].to_numpy().astype("datetime64[ms]").astype("int64"), passed) + idle_ms
+            seen = pd.DataFrame({"newest": last["newest"], "end": end}, index=last.index)
+            seen = seen[seen["newest"] != _NONE]
+            known = pd.concat([known[~known.index.isin(seen.index)], seen])
+            kept = rows[keep]
+            if len(kept):
+                kept = kept[["_session", "ts", "seq", "kind", "_gen"]].rename(columns={"_session": "session", "_gen": "gen"})
+                yield kept.assign(session=None) if key[0] < 0 else kept
+        known = known[known["end"] >= passed]
+        if len(known):
+            state.update((known.index.tolist(), known["newest"].tolist(), known["end"].tolist()))
+            state.setTimeoutTimestamp(int(known["end"].min()))
+        elif state.exists:
             state.remove()
-            return
-        newest = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
-        keep = []
-        for kind, gen in zip(rows["kind"], rows["gen"], strict=True):
-            if kind == opens:
-                newest = gen if newest is None else max(newest, gen)
-            keep.append(kind == answers and gen == newest)
-        if newest is not None:
-            state.update((int(newest),))
-            state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms)
-        kept = rows[keep][["session", "ts", "seq", "kind", "gen"]]
-        if len(kept):
-            yield kept
-
-    return events.withWatermark("ts", delay).groupBy("session").applyInPandasWithState(
-        step, "session long, ts timestamp, seq long, kind string, gen long", "newest long", "append", GroupStateTimeout.EventTimeTimeout)
+
+    session = F.col("session")
+    bucket = F.when(session.isNull(), -1).otherwise(F.pmod(F.xxhash64("session"), F.lit(buckets))).cast("int")
+    dealt = events.withWatermark("ts", delay).select(
+        bucket.alias("_bucket"), F.coalesce(session, F.lit(0)).cast("long").alias("_session"), "ts", "seq", "kind", F.coalesce(F.col("gen").cast("long"), F.lit(_NONE)).alias("_gen"))
+    return dealt.groupBy("_bucket").applyInPandasWithState(
+        step, "session long, ts timestamp, seq long, kind string, gen long", "sessions array<long>, newest array<long>, ends array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def active_replies(events: DataFrame) -> DataFrame:
