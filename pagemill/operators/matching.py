@@ -86,3 +86,15 @@ def greedy_match(pairs: DataFrame, rounds: int = 6, crowd: int = CROWD) -> DataF
     order = Window.partitionBy("image").orderBy(*[F.desc(c) for c in ORDER])
     rank: Column = (F.row_number().over(order) - 1).alias("rank")
     return chosen.select("image", rank, "iou", "l", "r", "l_text", "r_text")
+
+
+def matches_of_few(pairs: DataFrame) -> DataFrame:
+    """The rows of ``greedy_match`` for images of few pairs: those of an image are one array, and what a fold over it carries are the taken boxes and the matches."""
+    schema = pairs.schema
+    kind = f"struct<iou:{schema['iou'].dataType.simpleString()},l:{schema['l'].dataType.simpleString()},r:{schema['r'].dataType.simpleString()},l_text:string,r_text:string>"
+    best_first = F.sort_array(F.collect_list(F.struct("iou", "l", "r", "l_text", "r_text")), asc=False)
+    none = F.array().cast(f"array<{kind}>")
+    taken = lambda found, p: F.exists(found, lambda m: m["l"].eqNullSafe(p["l"]) | m["r"].eqNullSafe(p["r"]))
+    chosen = F.aggregate(F.col("pairs").cast(f"array<{kind}>"), none, lambda found, p: F.when(taken(found, p), found).otherwise(F.array_append(found, p)))
+    listed = pairs.groupBy("image").agg(best_first.alias("pairs")).select("image", F.posexplode(chosen).alias("rank", "m"))
+    return listed.select("image", "rank", "m.*")

@@ -5,7 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .matching import greedy_match  # noqa: F401  part of a comparison
+from ..sources.readers import stored
+from .matching import greedy_match, matches_of_few
+
+#: An image with more boxes than this on either side is large. Smaller ones have at most 16,384 pairs.
+FEW = 128
+
+
+def _sides(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    # plain columns, worked out once a box: the condition of the join is put to every two boxes that meet
+    sides = lambda s: [F.col("x").alias(f"{s}x"), (F.col("x") + F.col("w")).alias(f"{s}x2"), F.col("y").alias(f"{s}y"), (F.col("y") + F.col("h")).alias(f"{s}y2"), (F.col("w") * F.col("h")).alias(f"{s}area")]
+    left, right = left.dropna(subset=list("xywh")), right.dropna(subset=list("xywh"))
+    return left.select("image", F.col("idx").alias("l"), *sides("a"), F.col("text").alias("l_text")), right.select("image", F.col("idx").alias("r"), *sides("b"), F.col("text").alias("r_text"))
+
+
+def _overlapping(pairs: DataFrame, least: float) -> DataFrame:
+    w, h = F.least("ax2", "bx2") - F.greatest("ax", "bx"), F.least("ay2", "by2") - F.greatest("ay", "by")
+    union = F.col("aarea") + F.col("barea") - w * h
+    return pairs.filter((w > 0) & (h > 0) & (union > 0) & (w * h / union >= least)).select("image", "l", "r", (w * h / union).alias("iou"), "l_text", "r_text")
 
 
 def iou_pairs(left: DataFrame, right: DataFrame, least: float = 0.5, cell: float | None = 64.0) -> DataFrame:
@@ -14,11 +31,7 @@ def iou_pairs(left: DataFrame, right: DataFrame, least: float = 0.5, cell: float
     Boxes are dealt to strips ``cell`` high, and only boxes that share a strip meet, each pair in its first
     common strip, so an image's boxes do not all meet; None lets them.
     """
-    # plain columns, worked out once a box: the condition of the join is put to every two boxes that meet
-    sides = lambda s: [F.col("x").alias(f"{s}x"), (F.col("x") + F.col("w")).alias(f"{s}x2"), F.col("y").alias(f"{s}y"), (F.col("y") + F.col("h")).alias(f"{s}y2"), (F.col("w") * F.col("h")).alias(f"{s}area")]
-    left, right = left.dropna(subset=list("xywh")), right.dropna(subset=list("xywh"))
-    a = left.select("image", F.col("idx").alias("l"), *sides("a"), F.col("text").alias("l_text"))
-    b = right.select("image", F.col("idx").alias("r"), *sides("b"), F.col("text").alias("r_text"))
+    a, b = _sides(left, right)
     on = ["image"]
     if cell:
         strip = lambda c: F.floor(F.col(c) / cell)
@@ -27,9 +40,27 @@ def iou_pairs(left: DataFrame, right: DataFrame, least: float = 0.5, cell: float
     pairs = a.join(b, on)
     if cell:
         pairs = pairs.filter(F.col("strip") == F.greatest("atop", "btop"))
-    w, h = F.least("ax2", "bx2") - F.greatest("ax", "bx"), F.least("ay2", "by2") - F.greatest("ay", "by")
-    union = F.col("aarea") + F.col("barea") - w * h
-    return pairs.filter((w > 0) & (h > 0) & (union > 0) & (w * h / union >= least)).select("image", "l", "r", (w * h / union).alias("iou"), "l_text", "r_text")
+    return _overlapping(pairs, least)
+
+
+def matched_boxes(left: DataFrame, right: DataFrame, least: float = 0.5, few: int = FEW) -> DataFrame:
+    """The rows of ``greedy_match(iou_pairs(left, right, least))``; both sides are tables, as they are counted first.
+
+    Images of up to ``few`` boxes a side are brought together once, by image: all their boxes meet, and
+    their pairs are put in order and matched where they are. Larger ones go by strips, however many boxes they have.
+    """
+    many = lambda df: df.groupBy("image").count().filter(F.col("count") > few).select("image")
+    large = stored(many(left).unionByName(many(right)).distinct())
+    if large.isEmpty():
+        return matches_of_few(_overlapping(_joined(left, right), least))
+    rest = lambda df, how: df.join(large, "image", how)
+    small = matches_of_few(_overlapping(_joined(rest(left, "left_anti"), rest(right, "left_anti")), least))
+    return small.unionByName(greedy_match(iou_pairs(rest(left, "left_semi"), rest(right, "left_semi"), least)))
+
+
+def _joined(left: DataFrame, right: DataFrame) -> DataFrame:
+    a, b = _sides(left, right)
+    return a.join(b, "image")
 
 
 def unmatched(left: DataFrame, right: DataFrame, matches: DataFrame) -> DataFrame:

@@ -10,11 +10,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run A: image, idx, x, y, w, h, text, score and the part key that run B depends on."""
+def detections(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """Run A: image, idx, x, y, w, h, text, score and the part key that run B depends on; images are dealt to ``parts`` tasks if that is given."""
     w = Window.partitionBy(F.expr("l_orderkey div 4")).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     text = F.concat(F.lit(" "), F.col("l_returnflag"), F.col("l_linestatus"), (F.col("l_linenumber") % 3).cast("string"), F.lit("\t"))
-    return table(spark, sf_dir, "lineitem").select(
+    lines = table(spark, sf_dir, "lineitem")
+    lines = lines.repartition(parts, F.expr("l_orderkey div 4")) if parts else lines
+    return lines.select(
         F.expr("l_orderkey div 4").alias("image"),
         F.row_number().over(w).alias("idx"),
         ((F.col("l_partkey") * 7 + F.col("l_linenumber") * 60) % 800).cast("double").alias("x"),
