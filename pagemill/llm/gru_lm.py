@@ -35,6 +35,8 @@ CLASSES, PER_CLASS = 64, 64
 VOCABULARY = CLASSES * PER_CLASS
 RARE, START = VOCABULARY, VOCABULARY + 1
 HIDDEN, EMBEDDED = 24, 16
+#: Tokens of texts that a task scores side by side, 2 bytes each; it changes no result.
+TOGETHER = 4_000_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -84,39 +86,59 @@ def initial_weights(counts: np.ndarray, rare: int) -> np.ndarray:
     return flat
 
 
+def _gates(matrix: np.ndarray) -> np.ndarray:
+    """The columns (n, 3H) of the three gates as one matrix each (3, n, H)."""
+    return np.ascontiguousarray(matrix.reshape(-1, 3, HIDDEN).transpose(1, 0, 2))
+
+
 def _steps(w: dict, x: np.ndarray, h: np.ndarray, keep: bool):
-    """Run the GRU over inputs (T, B, 3H); returns states (T, B, H) and what backpropagation needs."""
-    out = np.empty((*x.shape[:2], HIDDEN), dtype=np.float32)
-    saved = []
-    for t in range(len(x)):
-        u = h @ w["w_h"]
-        zr = x[t, :, : 2 * HIDDEN] + u[:, : 2 * HIDDEN]
-        zr *= 0.5  # a sigmoid, by way of tanh
+    """Run the GRU over inputs (3, T, B, H), which are spoiled; returns states (T, B, H) and, to ``keep``, the gates z and r, n and what h adds to it of every step, which backpropagation needs."""
+    steps, rows = x.shape[1:3]
+    held = steps if keep else 1
+    out, zrs = np.empty((steps, rows, HIDDEN), dtype=np.float32), np.empty((2, held, rows, HIDDEN), dtype=np.float32)
+    ns, us = np.empty((held, rows, HIDDEN), dtype=np.float32), np.empty((held, 3, rows, HIDDEN), dtype=np.float32)
+    w_h, x_zr = _gates(w["w_h"]), x[:2]
+    w_h[:2] *= 0.5  # a sigmoid, by way of tanh
+    x_zr *= 0.5
+    for t in range(steps):
+        at = t if keep else 0
+        u, zr, n, new = us[at], zrs[:, at], ns[at], out[t]
+        np.matmul(h, w_h, out=u)
+        np.add(x_zr[:, t], u[:2], out=zr)
         np.tanh(zr, out=zr)
         zr += 1
         zr *= 0.5
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        n = r * u[:, 2 * HIDDEN :]
-        n += x[t, :, 2 * HIDDEN :]
+        np.multiply(zr[1], u[2], out=n)
+        n += x[2, t]
         np.tanh(n, out=n)
-        new = out[t]
         np.subtract(h, n, out=new)
-        new *= z
+        new *= zr[0]
         new += n
-        if keep:
-            saved.append((h, z, r, n, u[:, 2 * HIDDEN :]))
         h = new
-    return out, saved
+    return out, (zrs[0], zrs[1], ns, us[:, 2])
+
+
+def _lowered(x: np.ndarray) -> np.ndarray | float:
+    """Take their greatest from rows of logits, in place, and return it; moderate ones stay, as their exponentials neither overflow nor vanish."""
+    if not x.size or (x.min() > -60 and x.max() < 60):
+        return 0.0
+    most = x.max(axis=1)
+    x -= most[:, None]
+    return most
+
+
+def _totals(x: np.ndarray) -> np.ndarray:
+    """The sums of rows."""
+    return x @ np.ones(x.shape[1], dtype=x.dtype)
 
 
 def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The probabilities of rows of logits, in place, and what their logarithms are short of the logits."""
-    most = x.max(axis=1, keepdims=True)
-    x -= most
+    most = _lowered(x)
     np.exp(x, out=x)
-    total = x.sum(axis=1, keepdims=True)
-    x /= total
-    return x, most[:, 0] + np.log(total[:, 0])
+    total = _totals(x)
+    x /= total[:, None]
+    return x, most + np.log(total)
 
 
 def _by_class(cls: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
@@ -126,13 +148,20 @@ def _by_class(cls: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
     return order, [(c, slice(bounds[c], bounds[c + 1])) for c in range(CLASSES) if bounds[c] < bounds[c + 1]]
 
 
+def _word_logits(w: dict, h: np.ndarray, cls: np.ndarray, classes: list[tuple[int, slice]]) -> np.ndarray:
+    """Logits of the words of each row's class, for rows in the order of ``_by_class`` that are in a class of words."""
+    out = w["b_o"][cls]
+    for c, at in classes:
+        out[at] += h[at] @ w["w_o"][c]
+    return out
+
+
 def _picked(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The log probability of one logit of each row."""
-    most = x.max(axis=1)
-    own = x[np.arange(len(x)), at] - most
-    x -= most[:, None]
+    _lowered(x)
+    own = x[np.arange(len(x)), at]
     np.exp(x, out=x)
-    return own - np.log(x.sum(axis=1))
+    return own - np.log(_totals(x))
 
 
 def log_probabilities(w: dict, h: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -153,14 +182,36 @@ class Trainer:
 
     def __init__(self, flat: np.ndarray, rate: float):
         self.flat, self.rate, self.t = flat.copy(), rate, 0
-        self.m, self.v = np.zeros_like(flat), np.zeros_like(flat)
+        self.m, self.v, self.g, self.room = (np.zeros_like(flat) for _ in range(4))
+
+    def step(self) -> None:
+        """One step of Adam along the gradient ``g``, in place."""
+        g, a = self.g, self.room
+        norm = float(np.sqrt(np.dot(g, g)))
+        if norm > 1:
+            g /= norm
+        self.t += 1
+        np.subtract(g, self.m, out=a)
+        a *= 0.1
+        self.m += a
+        np.multiply(g, g, out=a)
+        a -= self.v
+        a *= 0.01
+        self.v += a
+        np.multiply(self.v, 1 / (1 - 0.99**self.t), out=a)
+        np.sqrt(a, out=a)
+        a += 1e-6
+        np.divide(self.m, a, out=a)
+        a *= self.rate / (1 - 0.9**self.t)
+        self.flat -= a
 
     def window(self, inputs: np.ndarray, target: np.ndarray, weight: np.ndarray, h: np.ndarray) -> np.ndarray:
         """One step on (T, B) inputs and targets; ``weight`` is 0 where a text has ended. Returns the last state."""
-        w, flat_g = Shape.views(self.flat), np.zeros_like(self.flat)
-        g = Shape.views(flat_g)
+        w, g = Shape.views(self.flat), Shape.views(self.g)
+        self.g.fill(0)
         e = w["embed"][inputs]
-        states, saved = _steps(w, e @ w["w_x"] + w["b_x"], h, True)
+        x = e.reshape(-1, EMBEDDED) @ _gates(w["w_x"]) + _gates(w["b_x"])
+        states, (z, r, n, u_n) = _steps(w, x.reshape(3, *inputs.shape, HIDDEN), h, True)
         live = np.flatnonzero(weight.reshape(-1))
         hs, tg = states.reshape(-1, HIDDEN)[live], target.reshape(-1)[live]
         scale = np.float32(1 / max(1, len(live)))
@@ -171,44 +222,44 @@ class Trainer:
         g["w_c"][:], g["b_c"][:] = hs.T @ d, d.sum(axis=0)
         dh_live = d @ w["w_c"].T
         order, classes = _by_class(cls)
-        hs, words, own = hs[order], (tg - cls * PER_CLASS)[order], np.zeros_like(dh_live)
-        for c, at in classes:
-            d = _softmax(hs[at] @ w["w_o"][c] + w["b_o"][c])[0]
-            d[np.arange(len(d)), words[at]] -= 1
+        if classes:
+            order = order[: classes[-1][1].stop]
+            hs, words, own = hs[order], (tg - cls * PER_CLASS)[order], np.empty((len(order), HIDDEN), dtype=np.float32)
+            d = _softmax(_word_logits(w, hs, cls[order], classes))[0]
+            d[np.arange(len(d)), words] -= 1
             d *= scale
-            g["w_o"][c], g["b_o"][c] = hs[at].T @ d, d.sum(axis=0)
-            own[at] = d @ w["w_o"][c].T
-        dh_live[order] += own
+            for c, at in classes:
+                g["w_o"][c], own[at] = hs[at].T @ d[at], d[at] @ w["w_o"][c].T
+            g["b_o"][[c for c, _ in classes]] = np.add.reduceat(d, [at.start for _, at in classes], axis=0)
+            dh_live[order] += own
         dh_all = np.zeros((states.shape[0] * states.shape[1], HIDDEN), dtype=np.float32)
         dh_all[live] = dh_live
         dh_all = dh_all.reshape(states.shape)
-        dx, du = np.empty((*inputs.shape, 3 * HIDDEN), dtype=np.float32), np.empty((*inputs.shape, 3 * HIDDEN), dtype=np.float32)
-        dh, back = np.zeros_like(h), np.ascontiguousarray(w["w_h"].T)
+        before = np.concatenate([h[None], states[:-1]])
+        to_n, to_z, to_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), u_n * r * (1 - r)
+        du, dn = np.empty((len(inputs), 3, *h.shape), dtype=np.float32), np.empty_like(states)
+        dh, back, more = np.zeros_like(h), np.ascontiguousarray(_gates(w["w_h"]).transpose(0, 2, 1)), np.empty((3, *h.shape), dtype=np.float32)
         for t in reversed(range(len(inputs))):
-            before, z, r, n, u_n = saved[t]
+            d, d_n = du[t], dn[t]
             dh += dh_all[t]
-            kept = dh * z
-            dn = (dh - kept) * (1 - n * n)
-            dx[t, :, :HIDDEN] = du[t, :, :HIDDEN] = (before - n) * kept * (1 - z)
-            dx[t, :, HIDDEN : 2 * HIDDEN] = du[t, :, HIDDEN : 2 * HIDDEN] = dn * u_n * r * (1 - r)
-            dx[t, :, 2 * HIDDEN :] = dn
-            np.multiply(dn, r, out=du[t, :, 2 * HIDDEN :])
-            dh = kept + du[t] @ back
-        entered = np.concatenate([h[None], states[:-1]]).reshape(-1, HIDDEN)
-        g["w_h"][:] = entered.T @ du.reshape(-1, 3 * HIDDEN)
-        flat_dx = dx.reshape(-1, 3 * HIDDEN)
+            np.multiply(dh, to_z[t], out=d[0])
+            np.multiply(dh, to_n[t], out=d_n)
+            np.multiply(d_n, to_r[t], out=d[1])
+            np.multiply(d_n, r[t], out=d[2])
+            dh *= z[t]
+            np.matmul(d, back, out=more)
+            for x in more:
+                dh += x
+        rows = lambda x: x.transpose(0, 2, 1, 3).reshape(-1, 3 * HIDDEN)
+        g["w_h"][:] = before.reshape(-1, HIDDEN).T @ rows(du)
+        du[:, 2] = dn  # what comes to the inputs
+        flat_dx = rows(du)
         g["w_x"][:], g["b_x"][:] = e.reshape(-1, EMBEDDED).T @ flat_dx, flat_dx.sum(axis=0)
-        seen = inputs.reshape(-1)
-        by_word = np.argsort(seen, kind="stable")
-        words, first = np.unique(seen[by_word], return_index=True)
-        g["embed"][words] = np.add.reduceat((flat_dx @ w["w_x"].T)[by_word], first, axis=0)
-        norm = float(np.sqrt((flat_g * flat_g).sum()))
-        if norm > 1:
-            flat_g /= norm
-        self.t += 1
-        self.m += 0.1 * (flat_g - self.m)
-        self.v += 0.01 * (flat_g * flat_g - self.v)
-        self.flat -= self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-6)
+        by_word = np.argsort(inputs, axis=None, kind="stable")
+        words = inputs.reshape(-1)[by_word]
+        first = np.flatnonzero(np.r_[True, words[1:] != words[:-1]])
+        g["embed"][words[first]] = np.add.reduceat((flat_dx @ w["w_x"].T)[by_word], first, axis=0)
+        self.step()
         return states[-1]
 
 
@@ -338,7 +389,7 @@ def train(texts: DataFrame, lexicon: Lexicon, rounds: int = 2, width: int = 32,
 def network_scores(flat: np.ndarray, lines: list[np.ndarray], window: int = 64, rows: int = 1024) -> np.ndarray:
     """Natural log probability of each whole line of word indices under the network, RARE for rare words."""
     w = Shape.views(flat)
-    table = w["embed"] @ w["w_x"] + w["b_x"]  # the input part of every word, once
+    table = w["embed"] @ _gates(w["w_x"]) + _gates(w["b_x"])  # the input part of every word, once
     out = np.zeros(len(lines))
     order = sorted(range(len(lines)), key=lambda i: -len(lines[i]))
     for a in range(0, len(order), rows):
@@ -353,7 +404,7 @@ def network_scores(flat: np.ndarray, lines: list[np.ndarray], window: int = 64,
             target.T[there.T] = np.concatenate(parts)
             inputs = np.vstack([last[None, :active], target[:-1]])
             last[:active] = target[-1]
-            states, _ = _steps(w, table[inputs], h[:active], False)
+            states, _ = _steps(w, table[:, inputs], h[:active], False)
             h[:active] = states[-1]  # a text that ended within the window is not active again
             live = np.flatnonzero(there.reshape(-1))
             p = log_probabilities(w, states.reshape(-1, HIDDEN)[live], target.reshape(-1)[live])
@@ -373,8 +424,8 @@ def score_texts(docs: DataFrame, counts: DataFrame, lexicon: Lexicon, flat: np.n
         def table(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), TYPES, strict=True)], FIELDS)
 
-        for batch in parts(batches, 2000):
-            lines, out, tail = [], [], []
+        lines, out, tail, held = [], [], [], 0
+        for batch in parts(batches, 500):
             for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 line = tokens(text)
                 at = np.array([get(x, -1) for x in line], dtype=np.int64)
@@ -385,12 +436,17 @@ def score_texts(docs: DataFrame, counts: DataFrame, lexicon: Lexicon, flat: np.n
                 rare = known[known >= VOCABULARY]
                 out.append((row, len(line), len(known), float(logs[known].sum()), float(logs[rare].sum()), len(rare) + len(missing)))
                 lines.append(np.where((at < 0) | (at >= VOCABULARY), RARE, at).astype(np.int16))
+                held += len(line)
                 if len(tail) >= 50_000:
                     yield table(tail)
                     tail = []
+            if held >= TOGETHER:
+                yield table([(*r, float(s), None, None) for r, s in zip(out, network_scores(flat, lines), strict=True)])
+                lines, out, held = [], [], 0
+        if out:
             yield table([(*r, float(s), None, None) for r, s in zip(out, network_scores(flat, lines), strict=True)])
-            if tail:
-                yield table(tail)
+        if tail:
+            yield table(tail)
 
     scored = written(docs.select("row", "text").mapInArrow(run, SCORED), "scored")
     tail = scored.filter(F.col("word").isNotNull()).select("row", "word", "n").join(counts, "word", "left").groupBy("row").agg(
