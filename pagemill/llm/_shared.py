@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import pickle
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -82,6 +84,14 @@ def discard(*tables: DataFrame | None) -> None:
             delete(t.sparkSession, folder)
 
 
+def collected(spark: SparkSession) -> None:
+    """Let the shuffle files of jobs that are over go: Spark deletes them once the driver collects its garbage, and they stay until its memory happens to fill."""
+    for pause in (0.3, 0):  # the first leaves what the latest job still holds
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(pause)
+
+
 def with_rows(docs: DataFrame) -> DataFrame:
     """``docs``, written, with ``_row``: a number of each row's own, for what ids cannot tell apart."""
     return written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")

@@ -22,7 +22,8 @@ are in different components by the thousand remain quadratic: m * v comparisons
 Only pairs that still look alike leave the task and are confirmed on their sets. Either
 mark lies 4 standard deviations below 0.75, so that it turns a true pair down about once
 in 30,000. No bucket is capped. Rows of a hot bucket or component are spread over tasks, and
-sets of a hub are copied for salted parts of its pairs.
+sets of a hub are copied for salted parts of its pairs. Exchanges of texts and of sets are
+deleted before the next of their size are made.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import discard, parts, rows_kept, salted_join, with_rows, written
+from ._shared import collected, discard, parts, rows_kept, salted_join, with_rows, written
 from .components import connected_components
 
 SHINGLE = 5
@@ -265,16 +266,21 @@ def _linked(rows: DataFrame, similarity: int, last_use: bool = False) -> DataFra
     shared = places.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("node", "n")).alias("hub")).filter(F.col("members") > 1)
     shared = written(shared.select("key", "members", F.col("hub.node").alias("a"), F.col("hub.n").alias("n_a")), "shared")
     buckets = written(salted_join(places, shared, "key", "members", ["node"]).drop("members"), "buckets", instead_of=shared)
+    collected(rows.sparkSession)
     crowd = buckets.select(F.col("node").alias("row")).distinct()
     sets = written(rows.select("row", "text").join(crowd.hint("merge"), "row", "left_semi").mapInArrow(_sets, "node long, shingles array<long>, signature binary, sketch binary"), "sets", instead_of=rows if last_use else None)
+    collected(rows.sparkSession)
 
     with_hub = buckets.filter(F.col("node") != F.col("a")).select("a", F.col("node").alias("b"), "n_a", F.col("n").alias("n_b"))
     near_hub = written(_sized(with_hub, similarity), "hub_pairs")
     component = connected_components(written(_confirmed(near_hub, sets, similarity), "hub_links"))
+    collected(rows.sparkSession)
     rest = _sized(_across_components(buckets, component, signed, sets, similarity), similarity)
     pairs = written(rest.join(near_hub, ["a", "b"], "left_anti"), "pairs")
+    collected(rows.sparkSession)
     links = written(_confirmed(pairs, sets, similarity), "links")
     discard(buckets, sets, near_hub, pairs)
+    collected(rows.sparkSession)
     # the new links run between components: join those, then lead each node on
     known = component.withColumnRenamed("component", "c")
     links = links.join(known, F.col("a") == F.col("node"), "left").select(F.coalesce("c", "a").alias("a"), "b")
