@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,8 @@ RARE, START = VOCABULARY, VOCABULARY + 1
 HIDDEN, EMBEDDED = 24, 16
 #: Tokens of texts that a task scores side by side, 2 bytes each; it changes no result.
 TOGETHER = 4_000_000
+#: Rows of logits that are worked on at once; it changes no result.
+BLOCK = 1024
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -86,45 +89,58 @@ def initial_weights(counts: np.ndarray, rare: int) -> np.ndarray:
     return flat
 
 
-def _gates(matrix: np.ndarray) -> np.ndarray:
-    """The columns (n, 3H) of the three gates as one matrix each (3, n, H)."""
-    return np.ascontiguousarray(matrix.reshape(-1, 3, HIDDEN).transpose(1, 0, 2))
-
-
-def _steps(w: dict, x: np.ndarray, h: np.ndarray, keep: bool):
-    """Run the GRU over inputs (3, T, B, H), which are spoiled; returns states (T, B, H) and, to ``keep``, the gates z and r, n and what h adds to it of every step, which backpropagation needs."""
-    steps, rows = x.shape[1:3]
+def _steps(w: dict, x, h: np.ndarray, keep: bool):
+    """Run the GRU over inputs x, of which x[t] is (B, 3H); returns states (T, B, H) and, to ``keep``, the gates z and r, n and what h adds to it of every step, which backpropagation needs."""
+    steps, rows = len(x), len(h)
     held = steps if keep else 1
     out, zrs = np.empty((steps, rows, HIDDEN), dtype=np.float32), np.empty((2, held, rows, HIDDEN), dtype=np.float32)
-    ns, us = np.empty((held, rows, HIDDEN), dtype=np.float32), np.empty((held, 3, rows, HIDDEN), dtype=np.float32)
-    w_h, x_zr = _gates(w["w_h"]), x[:2]
-    w_h[:2] *= 0.5  # a sigmoid, by way of tanh
-    x_zr *= 0.5
-    for t in range(steps):
-        at = t if keep else 0
-        u, zr, n, new = us[at], zrs[:, at], ns[at], out[t]
-        np.matmul(h, w_h, out=u)
-        np.add(x_zr[:, t], u[:2], out=zr)
-        np.tanh(zr, out=zr)
-        zr += 1
-        zr *= 0.5
-        np.multiply(zr[1], u[2], out=n)
-        n += x[2, t]
-        np.tanh(n, out=n)
-        np.subtract(h, n, out=new)
-        new *= zr[0]
-        new += n
-        h = new
-    return out, (zrs[0], zrs[1], ns, us[:, 2])
-
-
-def _lowered(x: np.ndarray) -> np.ndarray | float:
-    """Take their greatest from rows of logits, in place, and return it; moderate ones stay, as their exponentials neither overflow nor vanish."""
-    if not x.size or (x.min() > -60 and x.max() < 60):
-        return 0.0
-    most = x.max(axis=1)
-    x -= most[:, None]
-    return most
+    ns, us = np.empty((held, rows, HIDDEN), dtype=np.float32), np.empty((held, rows, HIDDEN), dtype=np.float32)
+    u = np.empty((rows, 3 * HIDDEN), dtype=np.float32)
+    of_gates = lambda a: a[:, : 2 * HIDDEN].reshape(rows, 2, HIDDEN).transpose(1, 0, 2)
+    w_h, u_zr, u_n = w["w_h"].copy(), of_gates(u), u[:, 2 * HIDDEN :]
+    w_h[:, : 2 * HIDDEN] *= -1  # exponentials take half the time of numpy's tanh
+    with np.errstate(over="ignore"):  # one that overflows gives a gate of 0
+        for t in range(steps):
+            at = t if keep else 0
+            a, zr, n, new = x[t], zrs[:, at], ns[at], out[t]
+            np.matmul(h, w_h, out=u)
+            np.subtract(u_zr, of_gates(a), out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.divide(1, zr, out=zr)
+            if keep:
+                us[at] = u_n
+            np.multiply(zr[1], u_n, out=n)
+            n += a[:, 2 * HIDDEN :]
+            n += n
+            np.exp(n, out=n)
+            n += 1
+            np.divide(-2, n, out=n)
+            n += 1
+            np.subtract(h, n, out=new)
+            new *= zr[0]
+            new += n
+            h = new
+    return out, (zrs[0], zrs[1], ns, us)
+
+
+class Looked:
+    """The input part of each step's words, looked up when the step comes."""
+
+    def __init__(self, table: np.ndarray, inputs: np.ndarray):
+        self.table, self.inputs = table, inputs
+
+    def __len__(self) -> int:
+        return len(self.inputs)
+
+    def __getitem__(self, t: int) -> np.ndarray:
+        return self.table.take(self.inputs[t], axis=0)
+
+
+def _lowered(x: np.ndarray) -> None:
+    """Take their greatest from rows of logits, in place; moderate ones stay, as their exponentials neither overflow nor vanish."""
+    if x.size and (x.min() <= -60 or x.max() >= 60):
+        x -= x.max(axis=1)[:, None]
 
 
 def _totals(x: np.ndarray) -> np.ndarray:
@@ -132,30 +148,31 @@ def _totals(x: np.ndarray) -> np.ndarray:
     return x @ np.ones(x.shape[1], dtype=x.dtype)
 
 
-def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The probabilities of rows of logits, in place, and what their logarithms are short of the logits."""
-    most = _lowered(x)
-    np.exp(x, out=x)
-    total = _totals(x)
-    x /= total[:, None]
-    return x, most + np.log(total)
-
-
 def _by_class(cls: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
-    """An order in which rows of a class lie together, and where those of each class lie in it."""
-    order = np.argsort(cls, kind="stable")
-    bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+    """An order in which rows of a class lie together, and where those of each class of words lie in it."""
+    order = np.argsort(cls.astype(np.uint8), kind="stable")  # numbers of a byte are sorted by counting
+    bounds = np.r_[0, np.cumsum(np.bincount(cls, minlength=CLASSES + 1))].tolist()
     return order, [(c, slice(bounds[c], bounds[c + 1])) for c in range(CLASSES) if bounds[c] < bounds[c + 1]]
 
 
-def _word_logits(w: dict, h: np.ndarray, cls: np.ndarray, classes: list[tuple[int, slice]]) -> np.ndarray:
-    """Logits of the words of each row's class, for rows in the order of ``_by_class`` that are in a class of words."""
-    out = w["b_o"][cls]
-    for c, at in classes:
-        out[at] += h[at] @ w["w_o"][c]
+def _blocks(rows: slice) -> list[slice]:
+    """Parts of ``rows`` whose logits stay in a core's own cache."""
+    return [slice(a, min(a + BLOCK, rows.stop)) for a in range(rows.start, rows.stop, BLOCK)]
+
+
+def _with_one(h: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The rows of h in an order, each with a 1 behind, by which a bias is one more row of a matrix."""
+    out = np.empty((len(order), HIDDEN + 1), dtype=h.dtype)
+    out[:, :HIDDEN] = h.take(order, axis=0)
+    out[:, HIDDEN] = 1
     return out
 
 
+def _outputs(w: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The matrices from states to classes and to the words of each class, with the biases as last rows."""
+    return np.concatenate([w["w_c"], w["b_c"][None]]), np.concatenate([w["w_o"], w["b_o"][:, None]], axis=1)
+
+
 def _picked(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The log probability of one logit of each row."""
     _lowered(x)
@@ -167,22 +184,33 @@ def _picked(x: np.ndarray, at: np.ndarray) -> np.ndarray:
 def log_probabilities(w: dict, h: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log probability of each target word index (RARE: the class of all rare words) after state h."""
     cls = np.minimum(target // PER_CLASS, CLASSES)
-    out = _picked(h @ w["w_c"] + w["b_c"], cls)
     order, classes = _by_class(cls)
-    h, words = h[order], (target - cls * PER_CLASS)[order]
-    own = np.zeros(len(h), dtype=np.float32)
-    for c, at in classes:
-        own[at] = _picked(h[at] @ w["w_o"][c] + w["b_o"][c], words[at])
-    out[order] += own
+    h, words, cls, (w_c, w_o) = _with_one(h, order), (target - cls * PER_CLASS).take(order), cls.take(order), _outputs(w)
+    own, out = np.empty(len(h), dtype=h.dtype), np.empty(len(h), dtype=h.dtype)
+    for at in _blocks(slice(0, len(h))):
+        own[at] = _picked(h[at] @ w_c, cls[at])
+    for c, rows in classes:
+        for at in _blocks(rows):
+            own[at] += _picked(h[at] @ w_o[c], words[at])
+    out[order] = own
     return out
 
 
+def _slopes(x: np.ndarray, at: np.ndarray, scale: np.float32) -> None:
+    """Turn rows of logits, in place, into the slopes of the loss along them, where ``at`` was to come."""
+    _lowered(x)
+    np.exp(x, out=x)
+    x *= (scale / _totals(x))[:, None]
+    x[np.arange(len(x)), at] -= scale
+
+
 class Trainer:
     """Adam on windows of equal length; texts are rows of a batch and keep their state between windows."""
 
     def __init__(self, flat: np.ndarray, rate: float):
         self.flat, self.rate, self.t = flat.copy(), rate, 0
         self.m, self.v, self.g, self.room = (np.zeros_like(flat) for _ in range(4))
+        self.views = Shape.views(self.flat), Shape.views(self.g)
 
     def step(self) -> None:
         """One step of Adam along the gradient ``g``, in place."""
@@ -205,60 +233,78 @@ class Trainer:
         a *= self.rate / (1 - 0.9**self.t)
         self.flat -= a
 
+    def _to_words(self, w: dict, g: dict, h: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Gradients of the softmax after states h; returns that of each state."""
+        cls = np.minimum(target // PER_CLASS, CLASSES)
+        order, classes = _by_class(cls)
+        hs, words, cls, (w_c, w_o) = _with_one(h, order), (target - cls * PER_CLASS).take(order), cls.take(order), _outputs(w)
+        scale, dh, g_c = np.float32(1 / max(1, len(hs))), np.empty((len(hs), HIDDEN), dtype=np.float32), np.zeros_like(w_c)
+        for at in _blocks(slice(0, len(hs))):
+            d = hs[at] @ w_c
+            _slopes(d, cls[at], scale)
+            g_c += hs[at].T @ d
+            np.matmul(d, w["w_c"].T, out=dh[at])
+        g["w_c"][:], g["b_c"][:] = g_c[:HIDDEN], g_c[HIDDEN]
+        d = np.empty((classes[-1][1].stop if classes else 0, PER_CLASS), dtype=np.float32)
+        for c, at in classes:
+            np.matmul(hs[at], w_o[c], out=d[at])
+        for at in _blocks(slice(0, len(d))):
+            _slopes(d[at], words[at], scale)
+        own = np.empty((len(d), HIDDEN), dtype=np.float32)
+        for c, at in classes:
+            g_o = hs[at].T @ d[at]
+            g["w_o"][c], g["b_o"][c] = g_o[:HIDDEN], g_o[HIDDEN]
+            np.matmul(d[at], w["w_o"][c].T, out=own[at])
+        dh[: len(d)] += own
+        out = np.empty_like(dh)
+        out[order] = dh
+        return out
+
     def window(self, inputs: np.ndarray, target: np.ndarray, weight: np.ndarray, h: np.ndarray) -> np.ndarray:
         """One step on (T, B) inputs and targets; ``weight`` is 0 where a text has ended. Returns the last state."""
-        w, g = Shape.views(self.flat), Shape.views(self.g)
+        w, g = self.views
         self.g.fill(0)
-        e = w["embed"][inputs]
-        x = e.reshape(-1, EMBEDDED) @ _gates(w["w_x"]) + _gates(w["b_x"])
-        states, (z, r, n, u_n) = _steps(w, x.reshape(3, *inputs.shape, HIDDEN), h, True)
-        live = np.flatnonzero(weight.reshape(-1))
-        hs, tg = states.reshape(-1, HIDDEN)[live], target.reshape(-1)[live]
-        scale = np.float32(1 / max(1, len(live)))
-        cls = np.minimum(tg // PER_CLASS, CLASSES)
-        d = _softmax(hs @ w["w_c"] + w["b_c"])[0]
-        d[np.arange(len(live)), cls] -= 1
-        d *= scale
-        g["w_c"][:], g["b_c"][:] = hs.T @ d, d.sum(axis=0)
-        dh_live = d @ w["w_c"].T
-        order, classes = _by_class(cls)
-        if classes:
-            order = order[: classes[-1][1].stop]
-            hs, words, own = hs[order], (tg - cls * PER_CLASS)[order], np.empty((len(order), HIDDEN), dtype=np.float32)
-            d = _softmax(_word_logits(w, hs, cls[order], classes))[0]
-            d[np.arange(len(d)), words] -= 1
-            d *= scale
-            for c, at in classes:
-                g["w_o"][c], own[at] = hs[at].T @ d[at], d[at] @ w["w_o"][c].T
-            g["b_o"][[c for c, _ in classes]] = np.add.reduceat(d, [at.start for _, at in classes], axis=0)
-            dh_live[order] += own
-        dh_all = np.zeros((states.shape[0] * states.shape[1], HIDDEN), dtype=np.float32)
-        dh_all[live] = dh_live
+        e = w["embed"].take(inputs.reshape(-1), axis=0)
+        x = e @ w["w_x"]
+        x += w["b_x"]
+        states, (z, r, n, u_n) = _steps(w, x.reshape(*inputs.shape, 3 * HIDDEN), h, True)
+        live, hs, tg = np.flatnonzero(weight), states.reshape(-1, HIDDEN), target.reshape(-1)
+        if len(live) == len(hs):
+            dh_all = self._to_words(w, g, hs, tg)
+        else:
+            dh_all = np.zeros_like(hs)
+            dh_all[live] = self._to_words(w, g, hs.take(live, axis=0), tg.take(live))
         dh_all = dh_all.reshape(states.shape)
-        before = np.concatenate([h[None], states[:-1]])
-        to_n, to_z, to_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), u_n * r * (1 - r)
-        du, dn = np.empty((len(inputs), 3, *h.shape), dtype=np.float32), np.empty_like(states)
-        dh, back, more = np.zeros_like(h), np.ascontiguousarray(_gates(w["w_h"]).transpose(0, 2, 1)), np.empty((3, *h.shape), dtype=np.float32)
+        du, dns = np.empty((len(inputs), len(h), 3 * HIDDEN), dtype=np.float32), np.empty_like(states)
+        back = np.ascontiguousarray(w["w_h"].T)
+        dh, kept, a, b, more = np.zeros_like(h, dtype=np.float32), *(np.empty_like(states[0]) for _ in range(4))
         for t in reversed(range(len(inputs))):
-            d, d_n = du[t], dn[t]
+            d, dn = du[t], dns[t]
             dh += dh_all[t]
-            np.multiply(dh, to_z[t], out=d[0])
-            np.multiply(dh, to_n[t], out=d_n)
-            np.multiply(d_n, to_r[t], out=d[1])
-            np.multiply(d_n, r[t], out=d[2])
-            dh *= z[t]
+            np.multiply(dh, z[t], out=kept)
+            np.subtract(dh, kept, out=a)  # what goes to n
+            np.subtract(states[t - 1] if t else h, n[t], out=b)
+            b *= z[t]
+            np.multiply(b, a, out=d[:, :HIDDEN])
+            np.multiply(n[t], n[t], out=b)
+            np.subtract(1, b, out=b)
+            np.multiply(b, a, out=dn)
+            np.multiply(dn, r[t], out=b)
+            d[:, 2 * HIDDEN :] = b
+            np.subtract(1, r[t], out=a)
+            a *= b
+            np.multiply(a, u_n[t], out=d[:, HIDDEN : 2 * HIDDEN])
             np.matmul(d, back, out=more)
-            for x in more:
-                dh += x
-        rows = lambda x: x.transpose(0, 2, 1, 3).reshape(-1, 3 * HIDDEN)
-        g["w_h"][:] = before.reshape(-1, HIDDEN).T @ rows(du)
-        du[:, 2] = dn  # what comes to the inputs
-        flat_dx = rows(du)
-        g["w_x"][:], g["b_x"][:] = e.reshape(-1, EMBEDDED).T @ flat_dx, flat_dx.sum(axis=0)
-        by_word = np.argsort(inputs, axis=None, kind="stable")
-        words = inputs.reshape(-1)[by_word]
+            np.add(kept, more, out=dh)
+        g["w_h"][:] = h.T @ du[0]
+        g["w_h"] += states[:-1].reshape(-1, HIDDEN).T @ du[1:].reshape(-1, 3 * HIDDEN)
+        du[:, :, 2 * HIDDEN :] = dns  # what comes to the inputs
+        flat_dx = du.reshape(-1, 3 * HIDDEN)
+        g["w_x"][:], g["b_x"][:] = e.T @ flat_dx, np.ones(len(flat_dx), dtype=np.float32) @ flat_dx
+        by_word = np.argsort(inputs.astype(np.int16), axis=None, kind="stable")  # numbers of two bytes are sorted by counting
+        words = inputs.reshape(-1).take(by_word)
         first = np.flatnonzero(np.r_[True, words[1:] != words[:-1]])
-        g["embed"][words[first]] = np.add.reduceat((flat_dx @ w["w_x"].T)[by_word], first, axis=0)
+        g["embed"][words[first]] = np.add.reduceat((flat_dx @ w["w_x"].T).take(by_word, axis=0), first, axis=0)
         self.step()
         return states[-1]
 
@@ -299,14 +345,14 @@ class Lexicon:
 def count_tokens(texts: DataFrame) -> DataFrame:
     """word (binary), c over whole texts, the end counted once a text."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: Counter[bytes] = Counter()
-            for t in batch["text"]:
+            for t in batch.column("text").to_pylist():
                 seen.update(tokens(t))
-            yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
-    return texts.select("text").mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    return texts.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
 def common_words(counts: DataFrame, room: int) -> Lexicon:
@@ -330,17 +376,34 @@ def common_words(counts: DataFrame, room: int) -> Lexicon:
     return Lexicon([w for _, w in pairs], np.array([c for c, _ in pairs], dtype=np.int64), total, distinct)
 
 
+class Batch:
+    """Token lines, longest first, behind one another with START before each."""
+
+    def __init__(self, lines: list[np.ndarray]):
+        self.lengths = np.array([len(x) for x in lines])
+        self.starts = np.cumsum(self.lengths + 1) - self.lengths - 1
+        self.flat = np.empty(int(self.lengths.sum()) + len(lines), dtype=np.int16)
+        there = np.ones(len(self.flat), dtype=bool)
+        there[self.starts] = False
+        self.flat[self.starts], self.flat[there] = START, np.concatenate(lines)
+
+    def window(self, t: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Inputs and targets (T, B) of the lines that have more than t tokens, from there on, and which are there."""
+        active = int(np.searchsorted(-self.lengths, -t))
+        steps = np.arange(t, t + min(width, int(self.lengths[0]) - t) + 1)[:, None]
+        found = self.flat.take(self.starts[:active] + steps, mode="clip")
+        return found[:-1], found[1:], steps[:-1] < self.lengths[:active]
+
+
 def learn(trainer: Trainer, lines: list[np.ndarray], width: int, rows: int) -> None:
     """Steps over every token of ``lines``, in windows of ``width``; lines of like length share a batch and carry their state to their ends."""
     order = sorted(range(len(lines)), key=lambda i: -len(lines[i]))
     for k in np.random.default_rng(trainer.t).permutation(-(-len(order) // rows)):
-        chosen = [lines[i] for i in order[k * rows : (k + 1) * rows]]
-        h, last = np.zeros((len(chosen), HIDDEN), dtype=np.float32), np.full(len(chosen), START)
-        for t in range(0, len(chosen[0]), width):
-            parts = [x[t : t + width] for x in chosen if len(x) > t]
-            inputs, target, weight = _columns(parts, len(parts[0]))
-            inputs[0] = last[: len(parts)]
-            h, last = trainer.window(inputs, target, weight, h[: len(parts)]), target[-1]
+        batch = Batch([lines[i] for i in order[k * rows : (k + 1) * rows]])
+        h = np.zeros((len(batch.lengths), HIDDEN), dtype=np.float32)
+        for t in range(0, int(batch.lengths[0]), width):
+            inputs, target, there = batch.window(t, width)
+            h = trainer.window(inputs, target, there, h[: inputs.shape[1]])
 
 
 def train(texts: DataFrame, lexicon: Lexicon, rounds: int = 2, width: int = 32, rows: int = 256, rate: float = 0.015, replica_tokens: int = 2_000_000) -> np.ndarray:
@@ -363,7 +426,7 @@ def train(texts: DataFrame, lexicon: Lexicon, rounds: int = 2, width: int = 32,
         def run(group: pa.Table) -> pa.Table:
             trainer, get = Trainer(shared(), step), shared_words().get
             group = group.sort_by("order")
-            lines = [np.array([get(x, RARE) for x in tokens(t.as_py())], dtype=np.int16) for t in group.column("text")]
+            lines = [np.fromiter(map(get, tokens(t), repeat(RARE)), np.int16) for t in group.column("text").to_pylist()]
             learn(trainer, lines, width, rows)
             seen = sum(map(len, lines))
             pieces = [p.tobytes() for p in np.array_split(trainer.flat.astype(np.float64) * seen, slices)]
@@ -389,26 +452,25 @@ def train(texts: DataFrame, lexicon: Lexicon, rounds: int = 2, width: int = 32,
 def network_scores(flat: np.ndarray, lines: list[np.ndarray], window: int = 64, rows: int = 1024) -> np.ndarray:
     """Natural log probability of each whole line of word indices under the network, RARE for rare words."""
     w = Shape.views(flat)
-    table = w["embed"] @ _gates(w["w_x"]) + _gates(w["b_x"])  # the input part of every word, once
+    table = w["embed"] @ w["w_x"] + w["b_x"]  # the input part of every word, once
     out = np.zeros(len(lines))
     order = sorted(range(len(lines)), key=lambda i: -len(lines[i]))
     for a in range(0, len(order), rows):
         chosen = order[a : a + rows]
-        h, last = np.zeros((len(chosen), HIDDEN), dtype=np.float32), np.full(len(chosen), START)
-        for t in range(0, len(lines[chosen[0]]), window):
-            active = sum(len(lines[i]) > t for i in chosen)
-            parts = [lines[i][t : t + window] for i in chosen[:active]]
-            lengths = np.array([len(p) for p in parts])
-            target = np.zeros((window, active), dtype=np.int64)
-            there = np.arange(window)[:, None] < lengths
-            target.T[there.T] = np.concatenate(parts)
-            inputs = np.vstack([last[None, :active], target[:-1]])
-            last[:active] = target[-1]
-            states, _ = _steps(w, table[:, inputs], h[:active], False)
-            h[:active] = states[-1]  # a text that ended within the window is not active again
-            live = np.flatnonzero(there.reshape(-1))
-            p = log_probabilities(w, states.reshape(-1, HIDDEN)[live], target.reshape(-1)[live])
-            out[chosen[:active]] += np.bincount(live % active, weights=p, minlength=active)
+        batch = Batch([lines[i] for i in chosen])
+        h = np.zeros((len(chosen), HIDDEN), dtype=np.float32)
+        for t in range(0, int(batch.lengths[0]), window):
+            inputs, target, there = batch.window(t, window)
+            states, _ = _steps(w, Looked(table, inputs), h[: inputs.shape[1]], False)
+            h = states[-1]  # a text that ended within the window is not active again
+            states, target = states.reshape(-1, HIDDEN), target.reshape(-1)
+            if there[-1].all():
+                p = log_probabilities(w, states, target).reshape(there.shape)
+            else:
+                live = np.flatnonzero(there)
+                p = np.zeros(there.shape, dtype=states.dtype)
+                p.reshape(-1)[live] = log_probabilities(w, states.take(live, axis=0), target.take(live))
+            out[chosen[: inputs.shape[1]]] += p.sum(axis=0, dtype=np.float64)
     return out
 
 
@@ -424,29 +486,36 @@ def score_texts(docs: DataFrame, counts: DataFrame, lexicon: Lexicon, flat: np.n
         def table(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), TYPES, strict=True)], FIELDS)
 
-        lines, out, tail, held = [], [], [], 0
+        def rest() -> pa.RecordBatch:
+            """The words that are not common, column by column, as they are many."""
+            of, found, n = tail
+            given = {"row": of, "word": found, "n": n}
+            return pa.RecordBatch.from_arrays([pa.array(given[f], t) if f in given else pa.nulls(len(of), t) for f, t in zip(FIELDS, TYPES, strict=True)], FIELDS)
+
+        lines, out, tail, held = [], [], ([], [], []), 0
         for batch in parts(batches, 500):
             for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 line = tokens(text)
-                at = np.array([get(x, -1) for x in line], dtype=np.int64)
+                at = np.fromiter(map(get, line, repeat(-1)), np.int64, len(line))
                 missing = np.flatnonzero(at < 0)
-                for word, n in Counter(line[i] for i in missing).items():
-                    tail.append((row, None, None, None, None, None, None, word, n))
+                seen = Counter([line[i] for i in missing.tolist()])
+                for column, more in zip(tail, ([row] * len(seen), seen, seen.values()), strict=True):
+                    column += more
                 known = at[at >= 0]
                 rare = known[known >= VOCABULARY]
                 out.append((row, len(line), len(known), float(logs[known].sum()), float(logs[rare].sum()), len(rare) + len(missing)))
                 lines.append(np.where((at < 0) | (at >= VOCABULARY), RARE, at).astype(np.int16))
                 held += len(line)
-                if len(tail) >= 50_000:
-                    yield table(tail)
-                    tail = []
+                if len(tail[0]) >= 50_000:
+                    yield rest()
+                    tail = ([], [], [])
             if held >= TOGETHER:
                 yield table([(*r, float(s), None, None) for r, s in zip(out, network_scores(flat, lines), strict=True)])
                 lines, out, held = [], [], 0
         if out:
             yield table([(*r, float(s), None, None) for r, s in zip(out, network_scores(flat, lines), strict=True)])
-        if tail:
-            yield table(tail)
+        if tail[0]:
+            yield rest()
 
     scored = written(docs.select("row", "text").mapInArrow(run, SCORED), "scored")
     tail = scored.filter(F.col("word").isNotNull()).select("row", "word", "n").join(counts, "word", "left").groupBy("row").agg(

@@ -64,3 +64,29 @@ def test_texts_of_many_batches_are_scored_together(monkeypatch):
     before = trainer.room
     trainer.step()
     assert trainer.room is before  # no new vectors of all weights a step
+
+
+def test_windows_of_a_batch_hold_every_token_once():
+    """Windows come from one flat array; before, each was put together line by line."""
+    rng = np.random.default_rng(5)
+    lines = sorted((rng.integers(0, g.RARE + 1, n).astype(np.int16) for n in (1, 32, 33, 70, 7, 64, 1)), key=len, reverse=True)
+    batch, seen, before = g.Batch(lines), [[] for _ in lines], [[] for _ in lines]
+    for t in range(0, 70, 32):
+        inputs, target, there = batch.window(t, 32)
+        assert inputs.shape == target.shape == there.shape and len(inputs) == min(32, 70 - t)
+        for i in range(inputs.shape[1]):
+            seen[i] += target[there[:, i], i].tolist()
+            before[i] += inputs[there[:, i], i].tolist()
+    assert seen == [x.tolist() for x in lines]
+    assert before == [[g.START, *x[:-1].tolist()] for x in lines]
+
+
+def test_steps_take_their_inputs_when_they_come():
+    """Whether the input part of words lies there as (T, B, 3H) or is looked up step by step, states are the same."""
+    flat, lines = example()
+    w = g.Shape.views(flat)
+    inputs, h = g.Batch(lines).window(0, 9)[0], np.zeros((4, g.HIDDEN), dtype=np.float32)
+    table = w["embed"] @ w["w_x"] + w["b_x"]
+    there, kept = g._steps(w, table[inputs], h, True)
+    looked, _ = g._steps(w, g.Looked(table, inputs), h, False)
+    assert (there == looked).all() and kept[0].shape == (9, 4, g.HIDDEN)
