@@ -38,8 +38,8 @@ RARE, START = VOCABULARY, VOCABULARY + 1
 HIDDEN, EMBEDDED = 24, 16
 #: Tokens of texts that a task scores side by side, 2 bytes each; it changes no result.
 TOGETHER = 4_000_000
-#: Rows of logits that are worked on at once; it changes no result.
-BLOCK = 1024
+#: Rows of logits, and weights, that are worked on at once; they change no result.
+BLOCK, PART = 1024, 16_384
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -90,51 +90,65 @@ def initial_weights(counts: np.ndarray, rare: int) -> np.ndarray:
 
 
 def _steps(w: dict, x, h: np.ndarray, keep: bool):
-    """Run the GRU over inputs x, of which x[t] is (B, 3H); returns states (T, B, H) and, to ``keep``, the gates z and r, n and what h adds to it of every step, which backpropagation needs."""
+    """Run the GRU over inputs x, of which x[t] is (B, 3H); returns states (T, B, H) and, to ``keep``, the gates z and r, n and what h adds to it of every step, which backpropagation needs.
+
+    In memory, the rows of a step lie side by side, (H, B), so that what is done to a gate runs over whole arrays; what is returned are views.
+    """
     steps, rows = len(x), len(h)
     held = steps if keep else 1
-    out, zrs = np.empty((steps, rows, HIDDEN), dtype=np.float32), np.empty((2, held, rows, HIDDEN), dtype=np.float32)
-    ns, us = np.empty((held, rows, HIDDEN), dtype=np.float32), np.empty((held, rows, HIDDEN), dtype=np.float32)
-    u = np.empty((rows, 3 * HIDDEN), dtype=np.float32)
-    of_gates = lambda a: a[:, : 2 * HIDDEN].reshape(rows, 2, HIDDEN).transpose(1, 0, 2)
-    w_h, u_zr, u_n = w["w_h"].copy(), of_gates(u), u[:, 2 * HIDDEN :]
-    w_h[:, : 2 * HIDDEN] *= -1  # exponentials take half the time of numpy's tanh
+    out, zrs = np.empty((steps, HIDDEN, rows), dtype=np.float32), np.empty((held, 2 * HIDDEN, rows), dtype=np.float32)
+    ns, us = np.empty((held, HIDDEN, rows), dtype=np.float32), np.empty((held, HIDDEN, rows), dtype=np.float32)
+    w_h, u = w["w_h"].T.copy(), np.empty((3 * HIDDEN, rows), dtype=np.float32)
+    w_h[: 2 * HIDDEN] *= -1
+    u_zr, u_n, h = u[: 2 * HIDDEN], u[2 * HIDDEN :], h.T
     with np.errstate(over="ignore"):  # one that overflows gives a gate of 0
         for t in range(steps):
             at = t if keep else 0
-            a, zr, n, new = x[t], zrs[:, at], ns[at], out[t]
-            np.matmul(h, w_h, out=u)
-            np.subtract(u_zr, of_gates(a), out=zr)
+            a, zr, n, new = x[t].T, zrs[at], ns[at], out[t]
+            np.matmul(w_h, h, out=u)
+            np.subtract(u_zr, a[: 2 * HIDDEN], out=zr)
             np.exp(zr, out=zr)
             zr += 1
             np.divide(1, zr, out=zr)
             if keep:
                 us[at] = u_n
-            np.multiply(zr[1], u_n, out=n)
-            n += a[:, 2 * HIDDEN :]
+            np.multiply(zr[HIDDEN:], u_n, out=n)
+            n += a[2 * HIDDEN :]
             n += n
             np.exp(n, out=n)
             n += 1
             np.divide(-2, n, out=n)
             n += 1
             np.subtract(h, n, out=new)
-            new *= zr[0]
+            new *= zr[:HIDDEN]
             new += n
             h = new
-    return out, (zrs[0], zrs[1], ns, us)
+    turned = lambda of: of.transpose(0, 2, 1)
+    return turned(out), (turned(zrs[:, :HIDDEN]), turned(zrs[:, HIDDEN:]), turned(ns), turned(us))
 
 
 class Looked:
-    """The input part of each step's words, looked up when the step comes."""
+    """The input part of each step's words, looked up when the step comes; ``to`` is a matrix that what is looked up is still to be multiplied by."""
 
-    def __init__(self, table: np.ndarray, inputs: np.ndarray):
-        self.table, self.inputs = table, inputs
+    def __init__(self, table: np.ndarray, inputs: np.ndarray, to: np.ndarray | None = None):
+        self.table, self.inputs, self.to = table, inputs, to
 
     def __len__(self) -> int:
         return len(self.inputs)
 
     def __getitem__(self, t: int) -> np.ndarray:
-        return self.table.take(self.inputs[t], axis=0)
+        found = self.table.take(self.inputs[t], axis=0)
+        return found if self.to is None else (self.to.T @ found.T).T  # in memory (3H, B)
+
+
+def _inputs(w: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The embeddings, each with a 1 behind, and the matrix from there to the gates, with the bias as last row."""
+    return np.concatenate([w["embed"], np.ones((len(w["embed"]), 1), dtype=w["embed"].dtype)], axis=1), np.concatenate([w["w_x"], w["b_x"][None]])
+
+
+def _hold_memory() -> None:
+    """Let the C library keep what arrays of up to 31 MB leave, for the next ones: it does so once one of that size has been freed. Else each window's arrays are new pages, a quarter of all time."""
+    np.empty(31 << 20, dtype=np.uint8)
 
 
 def _lowered(x: np.ndarray) -> None:
@@ -160,12 +174,32 @@ def _blocks(rows: slice) -> list[slice]:
     return [slice(a, min(a + BLOCK, rows.stop)) for a in range(rows.start, rows.stop, BLOCK)]
 
 
+def _grouped(classes: list[tuple[int, slice]]) -> list[list[tuple[int, slice]]]:
+    """Rows of the classes in parts of at most BLOCK together: a small class needs no calls of its own, and a large one is split."""
+    out: list[list[tuple[int, slice]]] = []
+    for c, rows in classes:
+        for at in _blocks(rows):
+            if not out or at.stop - out[-1][0][1].start > BLOCK:
+                out.append([])
+            out[-1].append((c, at))
+    return out
+
+
+def _logits(h: np.ndarray, w_o: np.ndarray, group: list[tuple[int, slice]]) -> tuple[slice, np.ndarray]:
+    """Which rows a group has, and their logits of the words of their classes."""
+    rows = slice(group[0][1].start, group[-1][1].stop)
+    d = np.empty((rows.stop - rows.start, PER_CLASS), dtype=h.dtype)
+    for c, at in group:
+        np.matmul(h[at], w_o[c], out=d[at.start - rows.start : at.stop - rows.start])
+    return rows, d
+
+
 def _with_one(h: np.ndarray, order: np.ndarray) -> np.ndarray:
     """The rows of h in an order, each with a 1 behind, by which a bias is one more row of a matrix."""
-    out = np.empty((len(order), HIDDEN + 1), dtype=h.dtype)
-    out[:, :HIDDEN] = h.take(order, axis=0)
+    out = np.empty((len(h), HIDDEN + 1), dtype=h.dtype)
+    out[:, :HIDDEN] = h
     out[:, HIDDEN] = 1
-    return out
+    return out.take(order, axis=0)
 
 
 def _outputs(w: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -189,9 +223,9 @@ def log_probabilities(w: dict, h: np.ndarray, target: np.ndarray) -> np.ndarray:
     own, out = np.empty(len(h), dtype=h.dtype), np.empty(len(h), dtype=h.dtype)
     for at in _blocks(slice(0, len(h))):
         own[at] = _picked(h[at] @ w_c, cls[at])
-    for c, rows in classes:
-        for at in _blocks(rows):
-            own[at] += _picked(h[at] @ w_o[c], words[at])
+    for group in _grouped(classes):
+        at, d = _logits(h, w_o, group)
+        own[at] += _picked(d, words[at])
     out[order] = own
     return out
 
@@ -213,25 +247,23 @@ class Trainer:
         self.views = Shape.views(self.flat), Shape.views(self.g)
 
     def step(self) -> None:
-        """One step of Adam along the gradient ``g``, in place."""
-        g, a = self.g, self.room
-        norm = float(np.sqrt(np.dot(g, g)))
-        if norm > 1:
-            g /= norm
+        """One step of Adam along the gradient ``g``, in place, part by part of what fits a core's cache."""
         self.t += 1
-        np.subtract(g, self.m, out=a)
-        a *= 0.1
-        self.m += a
-        np.multiply(g, g, out=a)
-        a -= self.v
-        a *= 0.01
-        self.v += a
-        np.multiply(self.v, 1 / (1 - 0.99**self.t), out=a)
-        np.sqrt(a, out=a)
-        a += 1e-6
-        np.divide(self.m, a, out=a)
-        a *= self.rate / (1 - 0.9**self.t)
-        self.flat -= a
+        g, most = self.g, 1 - 0.99**self.t
+        g *= 0.1 / max(1.0, float(np.sqrt(np.dot(g, g))))  # its square then is a hundredth
+        for k in range(0, len(g), PART):
+            m, v, g, flat = (x[k : k + PART] for x in (self.m, self.v, self.g, self.flat))
+            a = self.room[: len(m)]
+            m *= 0.9
+            m += g
+            np.multiply(g, g, out=a)
+            v *= 0.99
+            v += a
+            np.sqrt(v, out=a)
+            a += 1e-6 * most**0.5
+            np.divide(m, a, out=a)
+            a *= self.rate * most**0.5 / (1 - 0.9**self.t)
+            flat -= a
 
     def _to_words(self, w: dict, g: dict, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Gradients of the softmax after states h; returns that of each state."""
@@ -242,20 +274,18 @@ class Trainer:
         for at in _blocks(slice(0, len(hs))):
             d = hs[at] @ w_c
             _slopes(d, cls[at], scale)
-            g_c += hs[at].T @ d
+            g_c += (d.T @ hs[at]).T
             np.matmul(d, w["w_c"].T, out=dh[at])
         g["w_c"][:], g["b_c"][:] = g_c[:HIDDEN], g_c[HIDDEN]
-        d = np.empty((classes[-1][1].stop if classes else 0, PER_CLASS), dtype=np.float32)
-        for c, at in classes:
-            np.matmul(hs[at], w_o[c], out=d[at])
-        for at in _blocks(slice(0, len(d))):
-            _slopes(d[at], words[at], scale)
-        own = np.empty((len(d), HIDDEN), dtype=np.float32)
-        for c, at in classes:
-            g_o = hs[at].T @ d[at]
-            g["w_o"][c], g["b_o"][c] = g_o[:HIDDEN], g_o[HIDDEN]
-            np.matmul(d[at], w["w_o"][c].T, out=own[at])
-        dh[: len(d)] += own
+        for group in _grouped(classes):
+            rows, d = _logits(hs, w_o, group)
+            _slopes(d, words[rows], scale)
+            for c, at in group:
+                part = d[at.start - rows.start : at.stop - rows.start]
+                g_o = part.T @ hs[at]
+                g["w_o"][c] += g_o[:, :HIDDEN].T
+                g["b_o"][c] += g_o[:, HIDDEN]
+                dh[at] += part @ w["w_o"][c].T
         out = np.empty_like(dh)
         out[order] = dh
         return out
@@ -264,49 +294,54 @@ class Trainer:
         """One step on (T, B) inputs and targets; ``weight`` is 0 where a text has ended. Returns the last state."""
         w, g = self.views
         self.g.fill(0)
-        e = w["embed"].take(inputs.reshape(-1), axis=0)
-        x = e @ w["w_x"]
-        x += w["b_x"]
-        states, (z, r, n, u_n) = _steps(w, x.reshape(*inputs.shape, 3 * HIDDEN), h, True)
+        embed, w_x = _inputs(w)
+        states, kept = _steps(w, Looked(embed, inputs, w_x), h, True)
         live, hs, tg = np.flatnonzero(weight), states.reshape(-1, HIDDEN), target.reshape(-1)
         if len(live) == len(hs):
             dh_all = self._to_words(w, g, hs, tg)
         else:
             dh_all = np.zeros_like(hs)
             dh_all[live] = self._to_words(w, g, hs.take(live, axis=0), tg.take(live))
-        dh_all = dh_all.reshape(states.shape)
-        du, dns = np.empty((len(inputs), len(h), 3 * HIDDEN), dtype=np.float32), np.empty_like(states)
-        back = np.ascontiguousarray(w["w_h"].T)
-        dh, kept, a, b, more = np.zeros_like(h, dtype=np.float32), *(np.empty_like(states[0]) for _ in range(4))
+        turned = lambda of: of.transpose(0, 2, 1)
+        dh_all = turned(dh_all.reshape(states.shape))
+        states, z, r, n, u_n = (turned(x) for x in (states, *kept))  # (T, H, B), as they lie in memory
+        # slopes along what comes to n from h, z, r, and n from the inputs: the first three meet w_h, the last three w_x
+        slopes = np.empty((len(inputs), 4, HIDDEN, len(h)), dtype=np.float32)
+        by_h, by_x = (slopes[:, k : k + 3].reshape(len(inputs), 3 * HIDDEN, len(h)) for k in (0, 1))
+        back = np.roll(w["w_h"], HIDDEN, axis=1)
+        dh, old, a, b, more = np.zeros((HIDDEN, len(h)), dtype=np.float32), *(np.empty(states.shape[1:], dtype=np.float32) for _ in range(4))
         for t in reversed(range(len(inputs))):
-            d, dn = du[t], dns[t]
+            d_u, d_z, d_r, d_n = slopes[t]
             dh += dh_all[t]
-            np.multiply(dh, z[t], out=kept)
-            np.subtract(dh, kept, out=a)  # what goes to n
-            np.subtract(states[t - 1] if t else h, n[t], out=b)
+            np.multiply(dh, z[t], out=old)
+            np.subtract(dh, old, out=a)  # what goes to n
+            np.subtract(states[t - 1] if t else h.T, n[t], out=b)
             b *= z[t]
-            np.multiply(b, a, out=d[:, :HIDDEN])
+            np.multiply(b, a, out=d_z)
             np.multiply(n[t], n[t], out=b)
             np.subtract(1, b, out=b)
-            np.multiply(b, a, out=dn)
-            np.multiply(dn, r[t], out=b)
-            d[:, 2 * HIDDEN :] = b
+            np.multiply(b, a, out=d_n)
+            np.multiply(d_n, r[t], out=d_u)
             np.subtract(1, r[t], out=a)
-            a *= b
-            np.multiply(a, u_n[t], out=d[:, HIDDEN : 2 * HIDDEN])
-            np.matmul(d, back, out=more)
-            np.add(kept, more, out=dh)
-        g["w_h"][:] = h.T @ du[0]
-        g["w_h"] += states[:-1].reshape(-1, HIDDEN).T @ du[1:].reshape(-1, 3 * HIDDEN)
-        du[:, :, 2 * HIDDEN :] = dns  # what comes to the inputs
-        flat_dx = du.reshape(-1, 3 * HIDDEN)
-        g["w_x"][:], g["b_x"][:] = e.T @ flat_dx, np.ones(len(flat_dx), dtype=np.float32) @ flat_dx
+            a *= d_u
+            np.multiply(a, u_n[t], out=d_r)
+            np.matmul(back, by_h[t], out=more)
+            np.add(old, more, out=dh)
+        d_h = h.T @ by_h[0].T
+        for t in range(1, len(inputs)):
+            d_h += states[t - 1] @ by_h[t].T
+        g["w_h"][:] = np.roll(d_h, -HIDDEN, axis=1)
+        d_x, d_e = np.zeros_like(w_x), np.empty((*inputs.shape, EMBEDDED), dtype=np.float32)
+        for t in range(len(inputs)):
+            d_x += (by_x[t] @ embed.take(inputs[t], axis=0)).T
+            np.matmul(by_x[t].T, w["w_x"].T, out=d_e[t])
+        g["w_x"][:], g["b_x"][:] = d_x[:EMBEDDED], d_x[EMBEDDED]
         by_word = np.argsort(inputs.astype(np.int16), axis=None, kind="stable")  # numbers of two bytes are sorted by counting
         words = inputs.reshape(-1).take(by_word)
         first = np.flatnonzero(np.r_[True, words[1:] != words[:-1]])
-        g["embed"][words[first]] = np.add.reduceat((flat_dx @ w["w_x"].T).take(by_word, axis=0), first, axis=0)
+        g["embed"][words[first]] = np.add.reduceat(d_e.reshape(-1, EMBEDDED).take(by_word, axis=0), first, axis=0)
         self.step()
-        return states[-1]
+        return states[-1].T
 
 
 def _columns(lines: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -397,6 +432,7 @@ class Batch:
 
 def learn(trainer: Trainer, lines: list[np.ndarray], width: int, rows: int) -> None:
     """Steps over every token of ``lines``, in windows of ``width``; lines of like length share a batch and carry their state to their ends."""
+    _hold_memory()
     order = sorted(range(len(lines)), key=lambda i: -len(lines[i]))
     for k in np.random.default_rng(trainer.t).permutation(-(-len(order) // rows)):
         batch = Batch([lines[i] for i in order[k * rows : (k + 1) * rows]])
@@ -451,8 +487,9 @@ def train(texts: DataFrame, lexicon: Lexicon, rounds: int = 2, width: int = 32,
 
 def network_scores(flat: np.ndarray, lines: list[np.ndarray], window: int = 64, rows: int = 1024) -> np.ndarray:
     """Natural log probability of each whole line of word indices under the network, RARE for rare words."""
+    _hold_memory()
     w = Shape.views(flat)
-    table = w["embed"] @ w["w_x"] + w["b_x"]  # the input part of every word, once
+    embed, w_x = _inputs(w)
     out = np.zeros(len(lines))
     order = sorted(range(len(lines)), key=lambda i: -len(lines[i]))
     for a in range(0, len(order), rows):
@@ -461,7 +498,7 @@ def network_scores(flat: np.ndarray, lines: list[np.ndarray], window: int = 64,
         h = np.zeros((len(chosen), HIDDEN), dtype=np.float32)
         for t in range(0, int(batch.lengths[0]), window):
             inputs, target, there = batch.window(t, window)
-            states, _ = _steps(w, Looked(table, inputs), h[: inputs.shape[1]], False)
+            states, _ = _steps(w, Looked(embed, inputs, w_x), h[: inputs.shape[1]], False)
             h = states[-1]  # a text that ended within the window is not active again
             states, target = states.reshape(-1, HIDDEN), target.reshape(-1)
             if there[-1].all():

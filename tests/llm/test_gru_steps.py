@@ -1,5 +1,7 @@
 """The network's hand-written steps against plain ones, and scores that do not depend on which texts lie side by side."""
 
+import platform
+
 import numpy as np
 import pytest
 
@@ -90,3 +92,40 @@ def test_steps_take_their_inputs_when_they_come():
     there, kept = g._steps(w, table[inputs], h, True)
     looked, _ = g._steps(w, g.Looked(table, inputs), h, False)
     assert (there == looked).all() and kept[0].shape == (9, 4, g.HIDDEN)
+
+
+def test_windows_do_not_fetch_new_memory():
+    """What a window's arrays leave is used for the next; before, each window met thousands of new pages."""
+    resource = pytest.importorskip("resource")
+    if not platform.libc_ver()[0].startswith("glibc"):
+        pytest.skip("tells how this C library keeps memory")
+    rng = np.random.default_rng(7)
+    lines = [rng.integers(0, g.RARE + 1, 320).astype(np.int16) for _ in range(256)]
+    trainer = g.Trainer(example()[0], 0.01)
+    g.learn(trainer, lines, 32, 256)
+    before, steps = resource.getrusage(resource.RUSAGE_SELF).ru_minflt, trainer.t
+    g.learn(trainer, lines, 32, 256)
+    assert trainer.t == steps + 10
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before < 10 * 100
+
+
+def test_rows_of_classes_are_grouped_whole():
+    classes = [(0, slice(0, 3000)), (1, slice(3000, 3001)), (5, slice(3001, 3900)), (9, slice(3900, 4100))]
+    groups = g._grouped(classes)
+    assert all(x[-1][1].stop - x[0][1].start <= g.BLOCK for x in groups)
+    assert [k for x in groups for c, at in x for k in range(at.start, at.stop)] == list(range(4100))
+    assert {c: sum(at.stop - at.start for x in groups for k, at in x if k == c) for c, _ in classes} == {0: 3000, 1: 1, 5: 899, 9: 200}
+
+
+def test_a_step_is_that_of_adam():
+    """Whatever part of the weights is worked on at once."""
+    trainer, rng = g.Trainer(example()[0], 0.015), np.random.default_rng(2)
+    want, m, v = trainer.flat.astype(np.float64), 0.0, 0.0
+    for t in range(1, 4):
+        gradient = rng.normal(0, 1e-3 if t < 3 else 1, len(want))
+        trainer.g[:] = gradient
+        trainer.step()
+        gradient /= max(1, np.linalg.norm(gradient))
+        m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
+        want -= 0.015 / (1 - 0.9**t) * m / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
+    assert np.allclose(trainer.flat, want, atol=1e-5)
