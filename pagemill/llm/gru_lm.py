@@ -25,6 +25,7 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -382,10 +383,10 @@ def count_tokens(texts: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: Counter[bytes] = Counter()
-            for t in batch.column("text").to_pylist():
-                seen.update(tokens(t))
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+            words = pc.ascii_split_whitespace(pc.ascii_lower(batch.column("text"))).flatten()
+            seen = words.filter(pc.not_equal(words, "")).value_counts()
+            yield pa.RecordBatch.from_arrays([seen.field("values").cast(pa.binary()), seen.field("counts")], ["word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([batch.num_rows], pa.int64())], ["word", "n"])
 
     return texts.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
@@ -442,27 +443,69 @@ def learn(trainer: Trainer, lines: list[np.ndarray], width: int, rows: int) -> N
             h = trainer.window(inputs, target, there, h[: inputs.shape[1]])
 
 
-def train(texts: DataFrame, lexicon: Lexicon, rounds: int = 2, width: int = 32, rows: int = 256, rate: float = 0.015, replica_tokens: int = 2_000_000) -> np.ndarray:
-    """Weights after ``rounds`` rounds; ``texts`` (doc_id, text) are split among the rounds, and each is learned whole.
+def coded(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """Each row of ``docs`` (doc_id, text), written, with its tokens as ``line``, 2 bytes each: texts are taken apart once for training and scoring.
+
+    ``row`` is a number of its own, ``deal`` and ``order`` are hashes that deal and order training texts, ``tail`` has the words that are not
+    common and how often they occur; the other columns are counts and sums over the common ones.
+    """
+    shared = shipped(docs.sparkSession, lexicon)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = shared()
+        get, logs = lexicon.index().get, np.log10(lexicon.counts + 1.0)
+        for batch in parts(batches, 500):
+            out, words, times, ends = [], [], [], [0]
+            for text in batch.column("text").to_pylist():
+                line = tokens(text)
+                at = np.fromiter(map(get, line, repeat(-1)), np.int64, len(line))
+                missing = np.flatnonzero(at < 0)
+                seen = Counter([line[i] for i in missing.tolist()])
+                words += seen
+                times += seen.values()
+                ends.append(len(words))
+                known = at[at >= 0]
+                rare = known[known >= VOCABULARY]
+                line = np.where((at < 0) | (at >= VOCABULARY), RARE, at).astype(np.int16).tobytes()
+                out.append((len(at), len(known), float(logs[known].sum()), float(logs[rare].sum()), len(rare) + len(missing), line))
+            tail = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int64())], ["word", "n"])
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), TYPES, strict=True)]
+            given = [batch.column(c) for c in ("row", "doc_id", "deal", "order")]
+            yield pa.RecordBatch.from_arrays([*given, *columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tail)], ["row", "doc_id", "deal", "order", *FIELDS, "tail"])
+
+    row = F.monotonically_increasing_id()
+    deal = F.xxhash64(F.coalesce("doc_id", row), "text", F.lit(5))  # texts without an id do not all meet in one part
+    rows = docs.select(row.alias("row"), "doc_id", deal.alias("deal"), F.xxhash64("doc_id", "text", F.lit(3)).alias("order"), "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return written(rows.mapInArrow(run, f"row long, doc_id {kind}, deal long, order long, {CODED}, tail array<struct<word: binary, n: bigint>>"), "coded")
+
+
+CODED = "n_tokens long, n_known long, known_log double, rare_log double, n_rare long, line binary"
+FIELDS = [x.split()[0] for x in CODED.split(", ")]
+TYPES = [{"long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}[x.split()[1]] for x in CODED.split(", ")]
+
+
+def train(texts: DataFrame, lexicon: Lexicon, **training) -> np.ndarray:
+    """The weights that ``texts`` (doc_id, text) teach."""
+    return train_lines(coded(texts, lexicon), lexicon, **training)
+
+
+def train_lines(coded: DataFrame, lexicon: Lexicon, rounds: int = 2, width: int = 32, rows: int = 256, rate: float = 0.015, replica_tokens: int = 2_000_000) -> np.ndarray:
+    """Weights after ``rounds`` rounds; texts of ``coded`` are split among the rounds, and each is learned whole.
 
     A replica learns the texts of one part, about ``replica_tokens`` tokens, so their number
     grows with the corpus. Replicas are averaged, each counting by its tokens, slice by
     slice, so the driver gets one set of weights however many there are.
     """
-    spark = texts.sparkSession
+    spark = coded.sparkSession
     flat = initial_weights(lexicon.counts[:VOCABULARY], lexicon.rare_total)
-    network = {w: i for i, w in enumerate(lexicon.words[:VOCABULARY])}
-    shared_words = shipped(spark, network)
     slices, n_parts = 64, max(1, round(lexicon.total / rounds / replica_tokens))
-    order = F.xxhash64("doc_id", "text", F.lit(3))
-    spread = F.coalesce("doc_id", F.monotonically_increasing_id())  # texts without an id do not all meet in one part
-    dealt = texts.select("text", order.alias("order"), F.pmod(F.xxhash64(spread, "text", F.lit(5)), F.lit(rounds * n_parts)).cast("int").alias("part"))
+    dealt = coded.select("line", "order", F.pmod("deal", F.lit(rounds * n_parts)).cast("int").alias("part"))
 
     def replica(shared, step: float):
         def run(group: pa.Table) -> pa.Table:
-            trainer, get = Trainer(shared(), step), shared_words().get
-            group = group.sort_by("order")
-            lines = [np.fromiter(map(get, tokens(t), repeat(RARE)), np.int16) for t in group.column("text").to_pylist()]
+            trainer = Trainer(shared(), step)
+            lines = _lines(group.sort_by("order"))
             learn(trainer, lines, width, rows)
             seen = sum(map(len, lines))
             pieces = [p.tobytes() for p in np.array_split(trainer.flat.astype(np.float64) * seen, slices)]
@@ -511,67 +554,49 @@ def network_scores(flat: np.ndarray, lines: list[np.ndarray], window: int = 64,
     return out
 
 
-def score_texts(docs: DataFrame, counts: DataFrame, lexicon: Lexicon, flat: np.ndarray) -> DataFrame:
-    """row, doc_id, n_tokens, n_known, base_score, score of each row of ``docs`` (row, doc_id, text)."""
-    shared = shipped(docs.sparkSession, (lexicon, flat))
+def _lines(table: pa.Table | pa.RecordBatch) -> list[np.ndarray]:
+    """The word indices of the texts of ``coded``."""
+    return [np.frombuffer(x, np.int16) for x in table.column("line").to_pylist()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, flat = shared()
-        get = lexicon.index().get
-        logs = np.log10(lexicon.counts + 1.0)
 
-        def table(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), TYPES, strict=True)], FIELDS)
+def score_lines(coded: DataFrame, counts: DataFrame, lexicon: Lexicon, flat: np.ndarray) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score, score of each row of ``coded``."""
+    shared = shipped(coded.sparkSession, flat)
 
-        def rest() -> pa.RecordBatch:
-            """The words that are not common, column by column, as they are many."""
-            of, found, n = tail
-            given = {"row": of, "word": found, "n": n}
-            return pa.RecordBatch.from_arrays([pa.array(given[f], t) if f in given else pa.nulls(len(of), t) for f, t in zip(FIELDS, TYPES, strict=True)], FIELDS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def scored() -> Iterator[pa.RecordBatch]:
+            scores, at = network_scores(shared(), lines), 0
+            for b in held:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores[at : at + b.num_rows])], [*b.schema.names, "network"])
+                at += b.num_rows
 
-        lines, out, tail, held = [], [], ([], [], []), 0
+        held, lines, n = [], [], 0
         for batch in parts(batches, 500):
-            for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                line = tokens(text)
-                at = np.fromiter(map(get, line, repeat(-1)), np.int64, len(line))
-                missing = np.flatnonzero(at < 0)
-                seen = Counter([line[i] for i in missing.tolist()])
-                for column, more in zip(tail, ([row] * len(seen), seen, seen.values()), strict=True):
-                    column += more
-                known = at[at >= 0]
-                rare = known[known >= VOCABULARY]
-                out.append((row, len(line), len(known), float(logs[known].sum()), float(logs[rare].sum()), len(rare) + len(missing)))
-                lines.append(np.where((at < 0) | (at >= VOCABULARY), RARE, at).astype(np.int16))
-                held += len(line)
-                if len(tail[0]) >= 50_000:
-                    yield rest()
-                    tail = ([], [], [])
-            if held >= TOGETHER:
-                yield table([(*r, float(s), None, None) for r, s in zip(out, network_scores(flat, lines), strict=True)])
-                lines, out, held = [], [], 0
-        if out:
-            yield table([(*r, float(s), None, None) for r, s in zip(out, network_scores(flat, lines), strict=True)])
-        if tail[0]:
-            yield rest()
-
-    scored = written(docs.select("row", "text").mapInArrow(run, SCORED), "scored")
-    tail = scored.filter(F.col("word").isNotNull()).select("row", "word", "n").join(counts, "word", "left").groupBy("row").agg(
+            more = _lines(batch)
+            held.append(batch.select(kept.names))
+            lines += more
+            n += sum(map(len, more))
+            if n >= TOGETHER:
+                yield from scored()
+                held, lines, n = [], [], 0
+        if lines:
+            yield from scored()
+
+    rows = coded.select("row", "doc_id", *FIELDS)
+    kept = rows.drop("line").schema
+    scored = written(rows.mapInArrow(run, type(kept)([*kept.fields]).add("network", "double")), "scored")
+    tail = coded.select("row", F.inline("tail")).join(counts, "word", "left").groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("t_known"),
         F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("t_log"))
     base = float(np.log10(lexicon.total + 1.0 * (lexicon.distinct + 1)))
     rare = float(np.log10(lexicon.rare_total + lexicon.rare_distinct + 1.0))
     t_log = F.coalesce("t_log", F.lit(0.0))
-    return scored.filter(F.col("word").isNull()).join(tail, "row", "left").join(docs.select("row", "doc_id"), "row").select(
-        "row", "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("t_known", F.lit(0))).alias("n_known"),
+    return scored.join(tail, "row", "left").select(
+        "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("t_known", F.lit(0))).alias("n_known"),
         (F.col("known_log") + t_log - F.col("n_tokens") * base).alias("base_score"),
         (F.col("network") / float(np.log(10)) + F.col("rare_log") + t_log - F.col("n_rare") * rare).alias("score"))
 
 
-SCORED = "row long, n_tokens long, n_known long, known_log double, rare_log double, n_rare long, network double, word binary, n long"
-FIELDS = [x.split()[0] for x in SCORED.split(", ")]
-TYPES = [{"long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}[x.split()[1]] for x in SCORED.split(", ")]
-
-
 def language_model(docs: DataFrame, room: int = 200_000, **training) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``.
 
@@ -580,10 +605,9 @@ def language_model(docs: DataFrame, room: int = 200_000, **training) -> DataFram
     empty table gives an empty result. Rows with a null id are rows like any other.
     """
     held_out = remainder(F.col("doc_id"), 7) == 2
-    texts = docs.select("doc_id", "text").filter(~held_out)
-    counts = written(count_tokens(texts), "counts")
+    counts = written(count_tokens(docs.filter(~held_out)), "counts")
     lexicon = common_words(counts, room)
-    flat = train(texts, lexicon, **training)
-    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows")
-    return score_texts(rows, counts, lexicon, flat).select(
+    lines = coded(docs, lexicon)
+    flat = train_lines(lines.filter(~held_out), lexicon, **training)
+    return score_lines(lines, counts, lexicon, flat).select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(lexicon.total).cast("long").alias("train_tokens"), "base_score", "score")
