@@ -633,6 +633,24 @@ def test_language_model_trains_on_every_token(spark):
     assert gru_lm.network_scores(flat, [line])[0] / len(line) > -0.5  # 96 tokens teach little more than the counts, about -1.6
 
 
+def test_texts_are_taken_apart_once(spark):
+    """Training and scoring get word indices, not texts; words are counted as ``tokens`` tells them."""
+    rows = [(1, " a  b\x0bA\x1cb\u00a0c\n"), (2, None), (3, ""), (4, "\t\r\x0c"), (5, "É é É a zz zz y"), (None, "b É a")]
+    d, lines = docs(spark, rows), [gru_lm.tokens(t) for _, t in rows]
+    counts = {bytes(r.word): r.c for r in gru_lm.count_tokens(d).collect()}
+    assert counts == Counter(w for line in lines for w in line)
+    lexicon = gru_lm.Lexicon([b"a", gru_lm.END, "É".encode()], np.array([4, 6, 3]), sum(counts.values()), len(counts))
+    coded, index = gru_lm.coded(d, lexicon), lexicon.index()
+    assert "text" not in coded.columns
+    got = {r.doc_id: r for r in coded.collect()}
+    assert len(got) == len(rows)
+    for (i, _), line in zip(rows, lines, strict=True):
+        r = got[i]
+        assert np.frombuffer(r.line, np.int16).tolist() == [index.get(w, gru_lm.RARE) for w in line]
+        assert {bytes(x.word): x.n for x in r.tail} == Counter(w for w in line if w not in index)
+        assert (r.n_tokens, r.n_known, r.n_rare) == (len(line), sum(w in index for w in line), sum(w not in index for w in line))
+
+
 def test_weights_do_not_depend_on_the_split_into_tasks(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
     lexicon = gru_lm.common_words(gru_lm.count_tokens(d), 5000)
