@@ -306,17 +306,18 @@ class Trainer:
         turned = lambda of: of.transpose(0, 2, 1)
         dh_all = turned(dh_all.reshape(states.shape))
         states, z, r, n, u_n = (turned(x) for x in (states, *kept))  # (T, H, B), as they lie in memory
-        # slopes along what comes to n from h, z, r, and n from the inputs: the first three meet w_h, the last three w_x
-        slopes = np.empty((len(inputs), 4, HIDDEN, len(h)), dtype=np.float32)
-        by_h, by_x = (slopes[:, k : k + 3].reshape(len(inputs), 3 * HIDDEN, len(h)) for k in (0, 1))
-        back = np.roll(w["w_h"], HIDDEN, axis=1)
+        # slopes of a step along what comes to n from h, z, r, and n from the inputs: the first three meet w_h, the last three w_x
+        slopes = np.empty((4, HIDDEN, len(h)), dtype=np.float32)
+        d_u, d_z, d_r, d_n = slopes
+        by_h, by_x = (slopes[k : k + 3].reshape(3 * HIDDEN, len(h)) for k in (0, 1))
+        back, d_h, d_x, d_e = np.roll(w["w_h"], HIDDEN, axis=1), np.zeros_like(w["w_h"]), np.zeros_like(w_x), np.empty((*inputs.shape, EMBEDDED), dtype=np.float32)
         dh, old, a, b, more = np.zeros((HIDDEN, len(h)), dtype=np.float32), *(np.empty(states.shape[1:], dtype=np.float32) for _ in range(4))
         for t in reversed(range(len(inputs))):
-            d_u, d_z, d_r, d_n = slopes[t]
+            before = states[t - 1] if t else h.T
             dh += dh_all[t]
             np.multiply(dh, z[t], out=old)
             np.subtract(dh, old, out=a)  # what goes to n
-            np.subtract(states[t - 1] if t else h.T, n[t], out=b)
+            np.subtract(before, n[t], out=b)
             b *= z[t]
             np.multiply(b, a, out=d_z)
             np.multiply(n[t], n[t], out=b)
@@ -326,16 +327,12 @@ class Trainer:
             np.subtract(1, r[t], out=a)
             a *= d_u
             np.multiply(a, u_n[t], out=d_r)
-            np.matmul(back, by_h[t], out=more)
+            np.matmul(back, by_h, out=more)
             np.add(old, more, out=dh)
-        d_h = h.T @ by_h[0].T
-        for t in range(1, len(inputs)):
-            d_h += states[t - 1] @ by_h[t].T
+            d_h += before @ by_h.T
+            d_x += (by_x @ embed.take(inputs[t], axis=0)).T
+            np.matmul(by_x.T, w["w_x"].T, out=d_e[t])
         g["w_h"][:] = np.roll(d_h, -HIDDEN, axis=1)
-        d_x, d_e = np.zeros_like(w_x), np.empty((*inputs.shape, EMBEDDED), dtype=np.float32)
-        for t in range(len(inputs)):
-            d_x += (by_x[t] @ embed.take(inputs[t], axis=0)).T
-            np.matmul(by_x[t].T, w["w_x"].T, out=d_e[t])
         g["w_x"][:], g["b_x"][:] = d_x[:EMBEDDED], d_x[EMBEDDED]
         by_word = np.argsort(inputs.astype(np.int16), axis=None, kind="stable")  # numbers of two bytes are sorted by counting
         words = inputs.reshape(-1).take(by_word)
